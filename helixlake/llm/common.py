@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,3 +39,21 @@ def crc_mod(doc_id: Column, n: int) -> Column:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Bits of a filter: its size is bounded whatever its number of members; when it fills up it only filters less.
+FILTER_BITS = 1 << 23
+
+
+def filter_bit(h: Column) -> Column:
+    """The bit for a hashed value of type long."""
+    return h.bitwiseAND(F.lit(FILTER_BITS - 1))
+
+
+def filter_of(df: DataFrame, h: Column) -> np.ndarray:
+    """FILTER_BITS zeros and ones: one where some row's hash h falls."""
+    rows = df.select(filter_bit(h).alias("bit")).groupBy(F.shiftright("bit", 6).alias("word"))
+    found = rows.agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("bits")).toPandas()
+    bits = np.zeros(FILTER_BITS // 64, np.int64)
+    bits[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.int64)
+    return np.unpackbits(bits.view(np.uint8), bitorder="little")
