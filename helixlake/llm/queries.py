@@ -5,11 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from helixlake.llm.common import table
+from helixlake.llm import language
+from helixlake.llm.common import crc_mod, table
 from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.near_dup import near_duplicates
 from helixlake.llm.packing import pack_documents
+from helixlake.llm.quality import quality
 
 SEQUENCE_LENGTH = 2048
 
@@ -20,6 +23,18 @@ def word_tokenizer() -> str:
     return str(public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = crc_mod(F.col("doc_id"), 3)
+    model = language.fit(docs, remainder != 1)
+    named = language.identify(docs, model)
+    return named.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -33,6 +48,8 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_language": op1_language,
+    "op2_quality": op2_quality,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pack": op8_pack,
     "op10_decontaminate": op10_decontaminate,
