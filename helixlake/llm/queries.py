@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm import language
+from helixlake.llm import language, toxicity
 from helixlake.llm.common import crc_mod, table
 from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.near_dup import near_duplicates
@@ -35,6 +35,14 @@ def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    remainder = crc_mod(F.col("doc_id"), 4)
+    labels = table(spark, sf_dir, "labels").where(remainder != 2)
+    found = toxicity.toxicity(docs, toxicity.fit(docs, labels))
+    return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -50,6 +58,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
+    "op3_toxicity": op3_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pack": op8_pack,
     "op10_decontaminate": op10_decontaminate,
