@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from helixlake.llm import language, toxicity
 from helixlake.llm.common import crc_mod, table
 from helixlake.llm.decontaminate import decontaminate
+from helixlake.llm.html_text import main_texts
 from helixlake.llm.near_dup import near_duplicates
 from helixlake.llm.packing import pack_documents
 from helixlake.llm.quality import quality
@@ -43,6 +44,10 @@ def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.coalesce(remainder == 2, F.lit(False)).alias("held_out"), "score", "predicted", "spans")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_texts(table(spark, sf_dir, "pages"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -59,6 +64,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
+    "op4_main_text": op4_main_text,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pack": op8_pack,
     "op10_decontaminate": op10_decontaminate,
