@@ -13,9 +13,13 @@ from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.html_text import main_texts
 from helixlake.llm.near_dup import near_duplicates
 from helixlake.llm.packing import pack_documents
+from helixlake.llm.pseudonyms import pseudonym_report
 from helixlake.llm.quality import quality
+from helixlake.llm.sharding import assign_shards
 
 SEQUENCE_LENGTH = 2048
+#: A deployment passes its own secret to the operator.
+PSEUDONYM_KEY = b"documented key for tests"
 
 
 def word_tokenizer() -> str:
@@ -48,6 +52,10 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return assign_shards(table(spark, sf_dir, "documents"))
+
+
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -56,6 +64,10 @@ def op8_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), word_tokenizer(), SEQUENCE_LENGTH)
 
 
+def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pseudonym_report(table(spark, sf_dir, "documents"), PSEUDONYM_KEY)
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -65,8 +77,10 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_main_text": op4_main_text,
+    "op6_shards": op6_shards,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pack": op8_pack,
+    "op9_pseudonyms": op9_pseudonyms,
     "op10_decontaminate": op10_decontaminate,
 }
 
