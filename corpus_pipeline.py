@@ -1,20 +1,74 @@
-"""The corpus pipeline: each stage keeps or changes documents, the last packs them."""
+"""The corpus pipeline: language ID, near-duplicates, benchmark decontamination, pseudonyms, packing.
+
+Each stage takes the documents that the one before kept. All but the last return the columns of documents:
+
+* language: documents that the classifier rejects go: no letter in the text, or the likeliest language is less likely
+  than LEAST_SCORE. It is fitted on the documents' own labels.
+* near_duplicates: of each group one document stays, the one with the least doc_id (one row of it, if rows repeat).
+* decontaminate: documents with benchmark passages in a twentieth of their words or more go.
+* pseudonyms: personal data in texts gives way to pseudonyms; n_chars is the new text's.
+* pack: sequences of at most 2048 tokens, one row for each piece.
+
+A row without doc_id passes the filters that go by doc_id.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from helixlake.llm import language
 from helixlake.llm.common import store, table
-from helixlake.llm.queries import SEQUENCE_LENGTH, word_tokenizer
+from helixlake.llm.decontaminate import decontaminate
+from helixlake.llm.near_dup import near_duplicates
 from helixlake.llm.packing import pack_documents
+from helixlake.llm.pseudonyms import pseudonymise
+from helixlake.llm.queries import PSEUDONYM_KEY, SEQUENCE_LENGTH, word_tokenizer
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+LEAST_SCORE = 0.5
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    named = language.identify(docs, language.fit(docs, F.lit(True)), *COLUMNS[1:])
+    return named.where((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE)).select(*COLUMNS)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = store(near_duplicates(docs), "near-duplicates")
+    gone = found.where("not kept").select("doc_id").distinct()
+    kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
+    again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
+    if again.isEmpty():
+        return kept
+    # Rows that share a doc_id are one document; only these are gathered by it.
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once).select(*COLUMNS)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    found = decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return docs.join(found.where("contaminated").select("doc_id").distinct(), "doc_id", "left_anti").select(*COLUMNS)
+
+
+def pseudonymise_texts(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    made = pseudonymise(docs.select(*COLUMNS), PSEUDONYM_KEY)
+    return made.withColumn("n_chars", F.when(F.size("pii") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return pack_documents(docs, word_tokenizer(), SEQUENCE_LENGTH)
 
 
-STAGES = [("pack", pack)]
+STAGES = [
+    ("language", identify_language),
+    ("near_duplicates", drop_near_duplicates),
+    ("decontaminate", drop_contaminated),
+    ("pseudonyms", pseudonymise_texts),
+    ("pack", pack),
+]
 
+#: The classifier and the tokenizer are beyond SQL; tests hold every stage against brute force.
 ORACLE_SQL = None
 
 
