@@ -11,6 +11,7 @@ from helixlake.llm import language, toxicity
 from helixlake.llm.common import crc_mod, table
 from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.html_text import main_texts
+from helixlake.llm.licences import scan
 from helixlake.llm.near_dup import near_duplicates
 from helixlake.llm.packing import pack_documents
 from helixlake.llm.pseudonyms import pseudonym_report
@@ -52,6 +53,15 @@ def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return main_texts(table(spark, sf_dir, "pages"))
 
 
+#: Documents as files: a tree of directories under each source.
+PATH = "concat_ws('/', coalesce(source, 'unknown'), cast(floor(doc_id / 1000) as bigint), cast(floor(doc_id / 50) as bigint), doc_id)"
+
+
+def op5_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("file"), F.expr(PATH).alias("path"), "text")
+    return scan(files).withColumnRenamed("file", "doc_id")
+
+
 def op6_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return assign_shards(table(spark, sf_dir, "documents"))
 
@@ -77,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality": op2_quality,
     "op3_toxicity": op3_toxicity,
     "op4_main_text": op4_main_text,
+    "op5_licences": op5_licences,
     "op6_shards": op6_shards,
     "op7_near_duplicates": op7_near_duplicates,
     "op8_pack": op8_pack,
