@@ -1,4 +1,6 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+from helixlake.jobs.oracle import ORACLE_SQL
+from helixlake.jobs.variants import QUERIES
+
+__all__ = ["ORACLE_SQL", "QUERIES"]
