@@ -7,14 +7,15 @@ import math
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def erf(x: pd.Series) -> pd.Series:
     return x.map(math.erf, na_action="ignore").astype(float)
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def lgamma(x: pd.Series) -> pd.Series:
     return x.map(math.lgamma, na_action="ignore").astype(float)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixlake.operators import depth, evidence, reads, scoring
 from helixlake.sources import fixtures
+from helixlake.stored import store
 
 
 class Tables:
@@ -45,11 +46,11 @@ class Tables:
 
     @cached_property
     def sample(self) -> DataFrame:
-        return reads.fragment_sample(self.alignments)
+        return store(reads.fragment_sample(self.alignments), "fragments")
 
     @cached_property
     def band(self) -> DataFrame:
-        return reads.concordance_band(self.sample)
+        return store(reads.concordance_band(self.sample), "band")  # a row for each library
 
     @cached_property
     def classified(self) -> DataFrame:
@@ -67,10 +68,11 @@ class Tables:
         banded = joined.join(F.broadcast(self.band.select("library", "conc_min", "conc_max", "min_delta", "max_delta")), "library")
         rule = reads.PAIR_CLASS.replace("mate_pos", "pos2").replace("pos ", "pos1 ")
         rows = banded.withColumn("sv_type", F.expr(rule)).where("sv_type not in ('CONC', 'UNMAPPED') and mq1 > 5 and mq2 > 5")
-        return rows.selectExpr(
+        rows = rows.selectExpr(
             "rid as ev_id", "read_name", "chrom", "sample", "library", "pos1 as l_start", "pos1 + 99 as l_end", "or1 as l_or", "pos2 as r_start", "pos2 + 99 as r_end", "or2 as r_or", "sv_type", "mq1", "mq2",
             "edit", "cast(least(mq1, 40) as double) as phred", "min_delta", "max_delta", "conc_max",
         )
+        return store(rows, "evidence")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -113,13 +115,13 @@ class Tables:
 
     @cached_property
     def weights(self) -> DataFrame:
-        return scoring.cluster_weight(self.support, scoring.genotype_likelihood(self.scored))
+        return store(scoring.cluster_weight(self.support, scoring.genotype_likelihood(self.scored)), "weights")
 
     @cached_property
     def calls(self) -> DataFrame:
         region = scoring.score_region(self.bounds)
         enough = self.members.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n >= 5").select("cluster_id")
-        return region.join(enough, "cluster_id")
+        return store(region.join(enough, "cluster_id"), "calls")
 
     @cached_property
     def dna_clips(self) -> DataFrame:

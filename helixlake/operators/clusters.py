@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from helixlake.constants import CLUSTER_SPAN_CAPS, READ_CLUSTERS
 from helixlake.operators.ranges import islands
+from helixlake.stored import store
 
 SHAPE = ["start", "stop", "low", "high", "slope", "least", "most", "side"]
 
@@ -93,7 +94,8 @@ def sweep(rows: list[tuple], both_sides: bool) -> list[tuple[int, list[int]]]:
 def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2) -> DataFrame:
     """cluster_id, chrom, sv_type, left_brk, ev_id: members of the maximal sets with at least `least` rows."""
     keys = ["chrom", "sv_type"]
-    distinct = shaped.where("start < stop").groupBy(*keys, *SHAPE).agg(F.min("ev_id").alias("shape"))
+    shaped = store(shaped.where("start < stop"), "shapes")
+    distinct = store(shaped.groupBy(*keys, *SHAPE).agg(F.min("ev_id").alias("shape")), "distinct-shapes")
     grouped = islands(distinct, keys, "start", "stop")
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
@@ -103,8 +105,8 @@ def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2) -> Data
         return pd.DataFrame(rows, columns=["cluster_id", "chrom", "sv_type", "left_brk", "shape"])
 
     sets = grouped.groupBy(*keys, "island").applyInPandas(run, "cluster_id string, chrom string, sv_type string, left_brk long, shape long")
-    named = shaped.where("start < stop").join(distinct, [*keys, *SHAPE]).select("ev_id", "shape")
-    members = sets.join(named, "shape").select("cluster_id", "chrom", "sv_type", "left_brk", "ev_id")
+    named = shaped.join(distinct, [*keys, *SHAPE]).select("ev_id", "shape")
+    members = store(sets.join(named, "shape").select("cluster_id", "chrom", "sv_type", "left_brk", "ev_id"), "members")
     enough = members.groupBy("cluster_id").agg(F.count("*").alias("_n")).where(F.col("_n") >= least).select("cluster_id")
     return members.join(enough, "cluster_id")
 

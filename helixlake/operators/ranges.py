@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from helixlake.stored import store
+
 
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width)))
@@ -45,13 +47,13 @@ def islands(df: DataFrame, keys: list[str], start: str, stop: str, tile: int = 1
     chromosome out of one task: what reaches into a tile, and the island open at its start, come from a table with a row
     for each tile."""
     at = Window.partitionBy(*keys)
-    points = df.groupBy(*keys, start).agg(F.max(stop).alias("_stop")).withColumn("_tile", F.floor(F.col(start) / tile))
+    points = store(df.groupBy(*keys, start).agg(F.max(stop).alias("_stop")).withColumn("_tile", F.floor(F.col(start) / tile)), "points")
     reach = points.groupBy(*keys, "_tile").agg(F.max("_stop").alias("_reach"))
     before = at.orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
     points = points.join(reach.select(*keys, "_tile", F.max("_reach").over(before).alias("_before")), [*keys, "_tile"])
     inside = Window.partitionBy(*keys, "_tile").orderBy(start).rowsBetween(Window.unboundedPreceding, -1)
     so_far = F.greatest(F.max("_stop").over(inside), F.col("_before"))
-    points = points.withColumn("_head", F.when(F.coalesce(F.col(start) >= so_far, F.lit(True)), F.col(start)))
+    points = store(points.withColumn("_head", F.when(F.coalesce(F.col(start) >= so_far, F.lit(True)), F.col(start))).drop("_before"), "heads")
     heads = points.groupBy(*keys, "_tile").agg(F.max("_head").alias("_last"))
     points = points.join(heads.select(*keys, "_tile", F.max("_last").over(before).alias("_open")), [*keys, "_tile"])
     upto = Window.partitionBy(*keys, "_tile").orderBy(start).rowsBetween(Window.unboundedPreceding, 0)
