@@ -5,7 +5,7 @@ by a keyed Feistel network over the number of values that the format has, walkin
 up. The permutation depends on the key and the kind alone, so equal values get equal pseudonyms in all documents,
 different values get different ones, and the same key undoes it.
 
-Kinds: card (13 to 19 digits, Luhn), iban (mod 97), phone (North American, with or without country code), ssn, ip
+Kinds: card (13 to 19 digits, Luhn), iban (mod 97), phone (North American: with country code or brackets, or a possible number), ssn, ip
 (dotted quad), date (ISO, and day/month/year or month/day/year with slashes or dots: the day moves within 1900 to 2099),
 email (name; the domain stays), key (cloud access keys, and long values after token, secret, key or password).
 
@@ -113,9 +113,15 @@ class Pseudonyms:
         return _shaped(m["card"], checked(self._number("card", digits[:-1], back, lambda b: len(set(checked(b))) > 1)))
 
     def _iban(self, m: re.Match, back: bool) -> str | None:
-        bare = m["iban"].replace(" ", "")
-        digits = "".join(str(int(c, 36)) for c in bare[4:] + bare[:4])
-        if not 15 <= len(bare) <= 34 or int(digits) % 97 != 1:
+        parts = m["iban"].split(" ")
+        for k in range(len(parts), 0, -1):  # words in capitals may follow
+            if made := self._valid_iban(" ".join(parts[:k]), back):
+                return " ".join([made, *parts[k:]])
+        return None
+
+    def _valid_iban(self, text: str, back: bool) -> str | None:
+        bare = text.replace(" ", "")
+        if not 15 <= len(bare) <= 34 or int("".join(str(int(c, 36)) for c in bare[4:] + bare[:4])) % 97 != 1:
             return None
         at = [k for k in range(4, len(bare)) if bare[k].isdigit()]
         body = list(bare)
@@ -124,15 +130,18 @@ class Pseudonyms:
         rest = "".join(str(int(c, 36)) for c in "".join(body[4:]) + bare[:2] + "00")
         body[2:4] = f"{98 - int(rest) % 97:02d}"
         take = iter(body)
-        return "".join(c if c == " " else next(take) for c in m["iban"])
+        return "".join(c if c == " " else next(take) for c in text)
 
     def _phone(self, m: re.Match, back: bool) -> str | None:
         digits = re.sub(r"\D", "", m["phone"])
         country, national = digits[:-10], digits[-10:]
         valid = lambda x: x[0] in "23456789" and x[3] in "23456789"
-        if not valid(national):
+        plain = not country and "(" not in m["phone"]
+        if plain and not valid(national):
             return None
-        return _shaped(m["phone"], country + self._number("phone", national, back, valid))
+        # A number that no exchange can have is taken for one if it is written as one; it stays among its like.
+        own = valid(national)
+        return _shaped(m["phone"], country + self._number("phone", national, back, lambda x: valid(x) == own))
 
     def _ssn(self, m: re.Match, back: bool) -> str | None:
         valid = lambda x: x[:3] not in ("000", "666") and x[0] != "9" and x[3:5] != "00" and x[5:] != "0000"
@@ -199,7 +208,7 @@ class Pseudonyms:
         r"|(?<![\w./-])(?P<date>(?P<d1>\d{4}|\d{1,2})(?P<sep>[-/.])(?P<d2>\d{1,2})(?P=sep)(?P<d3>\d{4}|\d{1,2}))(?![\w/-]|\.\d)"
         r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
         r"|(?<![\w+])(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w)"
-        r"|(?<![\w.-])(?P<card>\d(?:[ -]?\d){12,18})(?![\w-])"
+        r"|(?<![\w.-])(?P<card>\d{13,19}|\d{4}(?P<cs>[ -])(?:\d{4}(?P=cs)\d{4}(?P=cs)\d{1,7}|\d{6}(?P=cs)\d{5}))(?![\w-]|\.\d)"
     )
 
     def replaced(self, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
