@@ -68,7 +68,7 @@ def genotype_likelihood(rows: DataFrame, whole: bool = False) -> DataFrame:
     rows = rows.withColumn("_homo", homo).withColumn("_hete", hete).withColumn("_none", none)
     ratio = F.greatest("_homo", "_hete") / F.col("_none") / F.col("op")
     return rows.select(
-        "cluster_id", "sample", "sv_type", F.when(F.col("op") == 0, INFINITE_SCORE).otherwise(F.round(ratio, 6)).alias("score"),
+        "cluster_id", "sample", "sv_type", F.when(F.col("op") == 0, INFINITE_SCORE).otherwise(ratio).alias("score"),
         F.when(F.col("op") == 0, 0).when(F.col("_homo") > F.col("_hete"), 3).otherwise(1).alias("zygosity"),
     )
 
