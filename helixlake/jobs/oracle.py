@@ -76,7 +76,7 @@ clash as (select a.cluster_id as a, b.cluster_id as b from calls a join calls b
   or (a.sv_type = 'DEL' and b.sv_type = 'INV' and a.start_pos > b.start_pos and a.end_pos < b.end_pos) or (b.sv_type = 'DEL' and a.sv_type = 'INV' and b.start_pos > a.start_pos and b.end_pos < a.end_pos))),
 votes as (select s.cluster_id, s.ev_id, s.l_end, s.r_start, count(*) filter (m.ev_id <> s.ev_id and (m.l_end = s.l_end or m.r_start = s.r_start)) as same,
   count(*) filter (m.ev_id <> s.ev_id and m.l_end <> s.l_end and m.r_start <> s.r_start) as different from members s join members m using (cluster_id) where s.library = 'SplitRead' group by all),
-records as (select b.chrom, s + 1 as pos, concat('vh_', lower(sv_type), '_', b.cluster_id) as id, 'N' as ref,
+records as (select b.chrom, s + 1 as pos, concat('sv_', lower(sv_type), '_', b.cluster_id) as id, 'N' as ref,
   case sv_type when 'DEL' then '<DEL>' when 'INS' then '<INS>' when 'INV' then '<INV>' else '<DUP:TANDEM>' end as alt, 255 as qual, case when rp <= 0 then 'LowQual' else 'PASS' end as filter,
   concat('END=', e + 1, ';SVLEN=', case when sv_type = 'DEL' then -abs(e - s + 1) else abs(e - s + 1) end, ';SVTYPE=', case sv_type when 'TDUP' then 'DUP:TANDEM' else sv_type end) as info
   from (select *, case when sv_type in ('DEL', 'INS') then inner_start else outer_start end as s, case when sv_type in ('DEL', 'INS') then inner_end else outer_end end as e from bounds) b

@@ -29,7 +29,7 @@ def records(calls: DataFrame) -> DataFrame:
     length = F.when(F.col("sv_type") == "DEL", -size).otherwise(size)
     info = F.concat(F.lit("END="), end + 1, F.lit(";SVLEN="), length, F.lit(";SVTYPE="), _lookup(TYPES))
     return calls.select(
-        "chrom", (start + 1).cast("int").alias("pos"), F.concat(F.lit("vh_"), F.lower("sv_type"), F.lit("_"), "cluster_id").alias("id"), F.lit("N").alias("ref"), _lookup(ALLELES).alias("alt"),
+        "chrom", (start + 1).cast("int").alias("pos"), F.concat(F.lit("sv_"), F.lower("sv_type"), F.lit("_"), "cluster_id").alias("id"), F.lit("N").alias("ref"), _lookup(ALLELES).alias("alt"),
         F.lit(255).alias("qual"), F.when(F.col("rp") <= 0, "LowQual").otherwise("PASS").alias("filter"), info.alias("info"),
     )
 

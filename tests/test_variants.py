@@ -123,4 +123,4 @@ def test_variant_files(spark, tmp_path):
     calls = spark.createDataFrame([("k1", "chr2", "DEL", 109, 99, 400, 420, 7), ("k2", "chr1", "INV", 9, 5, 40, 44, 0)], "cluster_id string, chrom string, sv_type string, inner_start int, outer_start int, inner_end int, outer_end int, rp int")
     vcf.write(vcf.records(calls), {"chr1": 1000, "chr2": 1000}, str(tmp_path / "calls"))
     lines = [r.value for r in spark.read.text(str(tmp_path / "calls/records")).collect()]
-    assert sorted(lines) == ["chr1\t6\tvh_inv_k2\tN\t<INV>\t255\tLowQual\tEND=45;SVLEN=40;SVTYPE=INV", "chr2\t110\tvh_del_k1\tN\t<DEL>\t255\tPASS\tEND=401;SVLEN=-292;SVTYPE=DEL"]
+    assert sorted(lines) == ["chr1\t6\tsv_inv_k2\tN\t<INV>\t255\tLowQual\tEND=45;SVLEN=40;SVTYPE=INV", "chr2\t110\tsv_del_k1\tN\t<DEL>\t255\tPASS\tEND=401;SVLEN=-292;SVTYPE=DEL"]
