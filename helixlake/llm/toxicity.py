@@ -175,7 +175,8 @@ def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
         return Model(np.zeros(FEATURES), np.zeros((2, 2)), trained=False)
     rate = F.when(F.col("toxic") == 1, min(1.0, p.rows_per_label / sizes[1])).otherwise(min(1.0, p.rows_per_label / sizes[0]))
     drawn = known.where(F.pmod(F.xxhash64("doc_id", F.lit(5)), F.lit(1 << 20)) < rate * (1 << 20))
-    sample = store(docs.where("text is not null").select("doc_id", "text").join(drawn, "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(p.shards))), "toxic-sample")
+    # The sample's ids are bounded (twice rows_per_label in expectation), so texts needn't move to meet them.
+    sample = store(docs.where("text is not null").select("doc_id", "text").join(F.broadcast(drawn), "doc_id").withColumn("shard", F.pmod(F.xxhash64("doc_id", F.lit(6)), F.lit(p.shards))), "toxic-sample")
     seeds = spark.sparkContext.broadcast(_seeds(sample, p))
     weights, move = np.zeros(FEATURES), np.zeros((2, 2))
     for epoch in range(p.epochs):
