@@ -2,12 +2,12 @@
 
 1. One pass over the texts gives each document its shingle set's size, a 128-bit key of the set, and its band keys.
    Documents with equal sets form a class; its least doc_id stands for it from here on.
-2. The first bands propose links between each bucket's members and one member of the bucket, drawn by hash anew in
-   every bucket: as many as the bucket has members, never all its pairs. Links are confirmed on full sets.
-3. A bucket of any band whose members then lie in more than one component is looked through once more: tasks compare
-   the signatures of its members from different components, in square blocks of bounded size, so that no task holds
-   a whole bucket; only pairs whose signatures agree far enough come out, each from the first band that they share,
-   to be confirmed likewise. Pairs within a component can change nothing and aren't looked at.
+2. Each bucket proposes links between its members and one of them, drawn by hash anew in every bucket: as many as it
+   has members, never all its pairs. Links are confirmed on full sets.
+3. A bucket of three or more whose members then lie in more than one component is looked through once more: tasks
+   compare its members from different components, in square blocks of bounded size, so that no task holds a whole
+   bucket; each pair is confirmed there on full sets if its signatures agree far enough, in the first band that it
+   shares. Only links that join components come out, fewer than a block has members.
 4. Components over all confirmed links, by alternating large-star and small-star.
 
 With r rows in b bands a pair of similarity s shares no bucket with probability (1 - s^r)^b: 1.2e-6 at s = 0.75 for the
@@ -30,14 +30,16 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import filter_bit, filter_of, store
+from helixlake.llm.common import batches_of, filter_bit, filter_of, store
 from helixlake.llm.components import connected_components
 from helixlake.llm.shingles import Minima, U, WordHashes, band_keys, mixed, shingle_set, words
 
-WIDTH, ROWS, BANDS, FIRST_BANDS = 5, 4, 36, 10
+WIDTH, ROWS, BANDS = 5, 4, 36
 #: Share of minima in which the signatures of a pair must agree to be compared on full sets.
 AGREE = 0.6
-BLOCK = 1024
+BLOCK = 512
+#: Rows that a task hands to Python at once: a row can hold the sets of two very long texts.
+BATCH = 200
 
 _hashes = WordHashes()
 
@@ -98,9 +100,7 @@ def confirmed(pairs: DataFrame, loaded: DataFrame, percent: int) -> DataFrame:
                 if np.mean(np.frombuffer(mx, np.uint32) == np.frombuffer(my, np.uint32)) < AGREE:
                     good.append(False)
                     continue
-                x, y = np.frombuffer(x, U), np.frombuffer(y, U)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                good.append(100 * both >= percent * (len(x) + len(y) - both))
+                good.append(_linked(np.frombuffer(x, U), np.frombuffer(y, U), percent))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     # Two texts under one doc_id (a data error) give two payloads; either may confirm.
@@ -110,16 +110,21 @@ def confirmed(pairs: DataFrame, loaded: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "set_a", "set_b", "min_a", "min_b").mapInArrow(check, "a long, b long")
 
 
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * both >= percent * (len(x) + len(y) - both)
+
+
 def _across(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Pairs of one block of a bucket that lie in different components and agree far enough; each pair only in the
-    first band in which its minima coincide."""
-    empty = pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
+    """Links between different components in one block of a bucket, as many as it takes to join what they join. A pair
+    is compared on full sets if its signatures agree far enough, and only in the first band in which they coincide."""
     side, rep, comp, size = (frame[c].to_numpy() for c in ("side", "rep", "component", "n"))
+    comp = comp.copy()
     minima = np.stack([np.frombuffer(x, np.uint32) for x in frame["minima"]])
-    same = frame["same"].iloc[0]
+    sets = [np.frombuffer(x, U) for x in frame["shingles"]]
+    same, bucket = frame["same"].iloc[0], frame["bucket"].iloc[0]
     left = np.arange(len(rep)) if same else np.flatnonzero(side == 0)
     right = left if same else np.flatnonzero(side == 1)
-    bucket = frame["bucket"].iloc[0]
     keys = band_keys(minima, ROWS).view(np.int64)
     out: list[tuple[int, int]] = []
     for i in left:
@@ -128,14 +133,17 @@ def _across(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
             j = j[j > i]
         if len(j):
             j = j[(minima[j] == minima[i]).mean(axis=1) >= AGREE]
+        if len(j):
             first = np.argmax(keys[j] == keys[i], axis=1)
-            j = j[keys[i][first] == bucket]
-            out += [(min(rep[i], rep[k]), max(rep[i], rep[k])) for k in j]
-    return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64) if out else empty
+            for k in j[keys[i][first] == bucket]:
+                if comp[k] != comp[i] and _linked(sets[i], sets[k], percent):
+                    out.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
+                    comp[comp == comp[k]] = comp[i]
+    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
 
 
-def cross_pairs(open_rows: DataFrame, loaded: DataFrame, percent: int) -> DataFrame:
-    """Candidate links between components within the buckets of open_rows (bucket, members, rep, n, component)."""
+def cross_links(open_rows: DataFrame, loaded: DataFrame, percent: int) -> DataFrame:
+    """Confirmed links between components within the buckets of open_rows (bucket, members, rep, n, component)."""
     blocks = F.ceil(F.col("members") / BLOCK).cast("int")
     mine = F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")
     dealt = open_rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -143,32 +151,37 @@ def cross_pairs(open_rows: DataFrame, loaded: DataFrame, percent: int) -> DataFr
         "bucket", "rep", "n", "component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("same"),
     )
-    with_minima = dealt.join(loaded.select("rep", "minima").dropDuplicates(["rep"]), "rep")
-    return with_minima.groupBy("bucket", "low", "high").applyInPandas(lambda frame: _across(frame, percent), "a long, b long")
+    return dealt.join(loaded, "rep").groupBy("bucket", "low", "high").applyInPandas(lambda frame: _across(frame, percent), "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
+    with batches_of(docs.sparkSession, BATCH):
+        return _near_duplicates(docs, percent)
+
+
+def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     sketch = store(sketches(docs), "sketches")
     # Equal keys have equal sets, and so equal bands: any of them will do.
     classes = store(
         sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
     )
-    rows = classes.select("rep", "n", F.posexplode("bands").alias("band", "bucket"))
+    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
     # One member of each bucket, drawn by a hash that differs from bucket to bucket.
     heads = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rep", "bucket"), F.col("rep"))).alias("head"))
     heads = heads.where("members > 1").select("bucket", "members", F.col("head.rep").alias("head"))
     shared = store(rows.join(heads, "bucket"), "buckets")
     loaded = store(payloads(docs, shared.select("rep")), "payloads")
 
-    star = shared.where((F.col("band") < FIRST_BANDS) & (F.col("rep") != F.col("head"))).select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+    star = shared.where(F.col("rep") != F.col("head")).select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
     first = store(confirmed(star, loaded, percent), "links")
     part = store(connected_components(first), "parts")
 
-    labelled = shared.join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    # The one pair of a bucket of two has been looked at.
+    labelled = shared.where("members > 2").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
     labelled = store(labelled.select("bucket", "members", "rep", "n", "component"), "labelled")
     unsettled = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    more = confirmed(cross_pairs(labelled.join(unsettled, "bucket"), loaded, percent).distinct(), loaded, percent)
+    more = cross_links(labelled.join(unsettled, "bucket"), loaded, percent)
     edges = part.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
     final = connected_components(edges)
 
