@@ -26,17 +26,29 @@ def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str],
 
 
 def overlap_filter(left: DataFrame, right: DataFrame, left_ends: tuple[str, str], right_ends: tuple[str, str], anti: bool, width: int = 5_000) -> DataFrame:
-    """Rows of left that overlap some row of right, or with anti none. Bins that right fills are few beside left's rows,
-    so left is dealt to its bins only for a semi-join; what it finds is taken off by the bins' own key."""
+    """Rows of left that overlap some row of right, or with anti none, whatever their length. Each row asks three tables and
+    is never multiplied: the spans in the bins of its two ends, and whether right fills some bin between those. Positions
+    are of 32 bits."""
     ls, le = (F.col(c) for c in left_ends)
     spans = right.select("chrom", F.col(right_ends[0]).alias("_rs"), F.col(right_ends[1]).alias("_re")).distinct()
     spans = spans.withColumn("_bin", _bins(F.col("_rs"), F.col("_re"), width)).groupBy("chrom", "_bin").agg(F.collect_set(F.struct("_rs", "_re")).alias("_spans"))
-    # At most two bins for an interval shorter than a bin: both lists hang on the row, and no row is multiplied.
     first = spans.select("chrom", F.col("_bin").alias("_b1"), F.col("_spans").alias("_s1"))
     second = spans.select("chrom", F.col("_bin").alias("_b2"), F.col("_spans").alias("_s2"))
     keyed = left.withColumn("_b1", F.floor(ls / width)).withColumn("_b2", F.floor(le / width))
-    joined = keyed.join(first, ["chrom", "_b1"], "left").join(second, ["chrom", "_b2"], "left")
-    hit = F.lit(False)
+    # The bins between lie inside the row, so one that is filled is a hit. The first and last of them part in the halves of
+    # one node of the binary tree over all bins: what is filled from `_from` on in its left half, or up to `_to` in its right.
+    height = ((1 << 32) // width).bit_length()
+    shifted = lambda c: c + F.lit(1 << (height - 1))
+    level = F.explode(F.sequence(F.lit(0), F.lit(height)))
+    nodes = spans.select("chrom", shifted(F.col("_bin")).alias("_at"), level.alias("_level")).withColumn("_node", F.expr("shiftright(_at, _level)"))
+    in_left = F.expr("_level = 0 or shiftright(_at, _level - 1) % 2 = 0")
+    in_right = F.expr("_level = 0 or shiftright(_at, _level - 1) % 2 = 1")
+    nodes = nodes.groupBy("chrom", "_level", "_node").agg(F.max(F.when(in_left, F.col("_at"))).alias("_last"), F.min(F.when(in_right, F.col("_at"))).alias("_next"))
+    keyed = keyed.withColumn("_from", shifted(F.col("_b1") + 1)).withColumn("_to", shifted(F.col("_b2") - 1))
+    parted = F.expr("case when _from > _to then -1 when _from = _to then 0 else length(bin(_from ^ _to)) end")
+    keyed = keyed.withColumn("_level", F.coalesce(parted, F.lit(-1))).withColumn("_node", F.expr("if(_level < 0, _from, shiftright(_from, _level))"))
+    joined = keyed.join(first, ["chrom", "_b1"], "left").join(second, ["chrom", "_b2"], "left").join(nodes, ["chrom", "_level", "_node"], "left")
+    hit = F.coalesce((F.col("_last") >= F.col("_from")) | (F.col("_next") <= F.col("_to")), F.lit(False))
     for c in ("_s1", "_s2"):
         hit = hit | F.coalesce(F.exists(c, lambda s: (ls <= s["_re"]) & (s["_rs"] <= le)), F.lit(False))
     return joined.where(~hit if anti else hit).select(*left.columns)

@@ -99,6 +99,20 @@ def test_binned_joins_equal_nested_loops(spark):
     assert {r["id"] for r in overlap_filter(a, b, ("s", "e"), ("s", "e"), anti=True, width=128).collect()} == {x[1] for x in left} - hit
 
 
+def test_filters_see_spans_between_the_ends(spark):
+    """Rows over many bins: also those whose ends lie in bins that right leaves empty."""
+    left = [("c", k, k * 7919 % 60_000, k * 7919 % 60_000 + (k * k * 37) % (40 << (k % 11))) for k in range(300)] + [("c", 900, 1000, 50_000), ("d", 901, 0, 5_000_000), ("e", 902, 10, 900_000)]
+    right = [("c", 20_000, 20_200), ("c", 40_000, 40_003), ("c", 70_000, 71_000), ("d", 2_500_000, 2_500_001)]
+    a = spark.createDataFrame(left, "chrom string, id int, s int, e int")
+    b = spark.createDataFrame(right, "chrom string, s int, e int")
+    hit = {x[1] for x in left if any(x[0] == c and x[2] <= e and s <= x[3] for c, s, e in right)}
+    assert {900, 901} < hit and 902 not in hit
+    for width in (64, 5_000):
+        kept = [r["id"] for r in overlap_filter(a, b, ("s", "e"), ("s", "e"), anti=False, width=width).collect()]
+        assert len(kept) == len(set(kept)) and set(kept) == hit
+        assert {r["id"] for r in overlap_filter(a, b, ("s", "e"), ("s", "e"), anti=True, width=width).collect()} == {x[1] for x in left} - hit
+
+
 def test_islands_across_tiles(spark):
     rows = [("c", 0, 5), ("c", 4, 30), ("c", 29, 31), ("c", 31, 33), ("c", 50, 51), ("c", 7, 8), ("d", 2, 90), ("d", 89, 95), ("d", 95, 96)]
     df = spark.createDataFrame(rows, "chrom string, s int, e int")
