@@ -433,7 +433,7 @@ def split_orientation(t: Tables) -> DataFrame:
 
 
 def _clustered(t: Tables, kind: str, both: bool = False) -> DataFrame:
-    return clusters.cluster(clusters.shapes(t.evidence.where(F.col("sv_type") == kind)), both)
+    return clusters.cluster(clusters.shapes(t.evidence.where(F.col("sv_type") == kind)), both, between=both)
 
 
 @query

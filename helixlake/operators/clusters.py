@@ -3,11 +3,12 @@
 Every kind of variant is one shape of row: it is active for left breakpoints in [start, stop), and at a left breakpoint b
 allows right breakpoints from low(b) to high(b), both linear in b and clipped. Rows whose activities overlap form islands,
 which can't share a cluster with others; equal shapes are one before they come together, so an island's size follows the
-distinct coordinates in it, not the depth of coverage. Inside an island a sweep over arrivals finds the sets.
+distinct coordinates in it, not the depth of coverage. Inside an island a sweep over arrivals, for inversions over all left breakpoints, finds the sets.
 """
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -47,15 +48,37 @@ def region_shapes(reads: DataFrame) -> DataFrame:
     return forward.unionByName(back)
 
 
-def sweep(rows: list[tuple], both_sides: bool) -> list[tuple[int, list[int]]]:
+def beginnings(rows: list[tuple]) -> set[int]:
+    """Left breakpoints, besides arrivals, at which two active shapes begin to overlap: where the upper bound of one rises
+    to the lower bound of the other. Bounds are linear or held by a clip, so they meet where two of such pieces do."""
+    found: set[int] = set()
+    table = np.array([r[1:8] for r in sorted(rows, key=lambda r: (r[1], r[0]))], np.int64).reshape(-1, 7)
+    active = table[:0]
+    for row in table:
+        active = active[active[:, 1] > row[0]]
+        own = np.broadcast_to(row, active.shape)
+        low, high = np.r_[own, active], np.r_[active, own]
+        first, stop = np.maximum(low[:, 0], high[:, 0]), np.minimum(low[:, 1], high[:, 1])
+        gap = lambda b, low=low, high=high: np.clip(high[:, 3] + high[:, 4] * b, high[:, 5], high[:, 6]) - np.clip(low[:, 2] + low[:, 4] * b, low[:, 5], low[:, 6])
+        zero = np.zeros(len(low), np.int64)
+        for lv, ls in ((low[:, 2], low[:, 4]), (low[:, 5], zero), (low[:, 6], zero)):
+            for hv, hs in ((high[:, 3], high[:, 4]), (high[:, 5], zero), (high[:, 6], zero)):
+                closing = hs - ls
+                b = -((hv - lv) // np.maximum(closing, 1))  # rounded up
+                found.update(b[(closing > 0) & (first < b) & (b < stop) & (gap(b) >= 0) & (gap(b - 1) < 0)].tolist())
+        active = np.r_[active, row[None]]
+    return found
+
+
+def sweep(rows: list[tuple], both_sides: bool, between: bool = False) -> list[tuple[int, list[int]]]:
     """Maximal sets of shapes (id, start, stop, low, high, slope, least, most, side) that share a left and a right
-    breakpoint, with the left breakpoint where each was first complete."""
-    found: list[tuple[int, frozenset[int]]] = []
+    breakpoint, with the left breakpoint where each was first complete. Looked for where shapes arrive, or with between at
+    all left breakpoints: a set that is new at one without an arrival has two shapes that begin to overlap there."""
+    found: dict[frozenset[int], int] = {}
     by_start = sorted(rows, key=lambda r: (r[1], r[0]))
     active: list[tuple] = []
     at = 0
-    while at < len(by_start):
-        b = by_start[at][1]
+    for b in sorted({r[1] for r in rows} | (beginnings(rows) if between else set())):
         active = [r for r in active if r[2] > b]
         while at < len(by_start) and by_start[at][1] == b:
             active.append(by_start[at])
@@ -72,13 +95,13 @@ def sweep(rows: list[tuple], both_sides: bool) -> list[tuple[int, list[int]]]:
                 grown = True
             else:
                 if grown:
-                    found.append((b, frozenset(open_now)))
+                    found.setdefault(frozenset(open_now), b)
                     grown = False
                 open_now.discard(name)
     side = {r[0]: r[8] for r in rows}
     kept: list[tuple[int, frozenset[int]]] = []
     holds: dict[int, list[int]] = {}
-    for b, own in sorted(set(found), key=lambda x: (-len(x[1]), x[0], sorted(x[1]))):
+    for own, b in sorted(found.items(), key=lambda x: (-len(x[0]), x[1], sorted(x[0]))):
         if both_sides and len({side[x] for x in own}) < 2:
             continue
         # A superset holds every member, so it is among those that hold the rarest one.
@@ -91,8 +114,9 @@ def sweep(rows: list[tuple], both_sides: bool) -> list[tuple[int, list[int]]]:
     return [(b, sorted(own)) for b, own in sorted(kept, key=lambda x: (x[0], sorted(x[1])))]
 
 
-def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2) -> DataFrame:
-    """cluster_id, chrom, sv_type, left_brk, ev_id: members of the maximal sets with at least `least` rows."""
+def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2, between: bool = False) -> DataFrame:
+    """cluster_id, chrom, sv_type, left_brk, ev_id: members of the maximal sets with at least `least` rows. both_sides and
+    between: see sweep."""
     keys = ["chrom", "sv_type"]
     shaped = store(shaped.where("start < stop"), "shapes")
     distinct = store(shaped.groupBy(*keys, *SHAPE).agg(F.min("ev_id").alias("shape")), "distinct-shapes")
@@ -100,7 +124,7 @@ def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2) -> Data
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame.iloc[0]
-        sets = sweep(list(frame[["shape", *SHAPE]].itertuples(index=False, name=None)), both_sides)
+        sets = sweep(list(frame[["shape", *SHAPE]].itertuples(index=False, name=None)), both_sides, between)
         rows = [(f"{head['chrom']}:{head['sv_type']}:{head['island']}:{k}", head["chrom"], head["sv_type"], b, x) for k, (b, own) in enumerate(sets) for x in own]
         return pd.DataFrame(rows, columns=["cluster_id", "chrom", "sv_type", "left_brk", "shape"])
 

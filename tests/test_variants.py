@@ -70,6 +70,40 @@ def test_sweep_finds_the_maximal_sets(shapes, both):
     assert set(got) == brute_sets(rows, both)
 
 
+def brute_sets_anywhere(rows, both):
+    """All sets active and overlapping at some left breakpoint from start to stop."""
+    found = set()
+    for b in range(min((r[1] for r in rows), default=0), max((r[2] for r in rows), default=0)):
+        spans = {r[0]: tuple(min(max(v + r[5] * b, r[6]), r[7]) for v in r[3:5]) for r in rows if r[1] <= b < r[2]}
+        for at in {x for s in spans.values() for x in s}:
+            found.add(frozenset(k for k, (lo, hi) in spans.items() if lo <= at <= hi))
+    side = {r[0]: r[8] for r in rows}
+    found = {s for s in found if s and (not both or len({side[x] for x in s}) > 1)}
+    return {s for s in found if not any(s < t for t in found)}
+
+
+clipped = st.tuples(st.integers(0, 30), st.integers(1, 20), st.integers(0, 60), st.integers(0, 15), st.sampled_from([-1, 0, 1]), st.integers(0, 40), st.integers(0, 40), st.sampled_from("FR"))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(clipped, max_size=9), st.booleans())
+def test_sweep_between_arrivals_finds_the_maximal_sets(shapes, both):
+    rows = [(k, a, a + n, lo, lo + w, slope, least, least + room, side) for k, (a, n, lo, w, slope, least, room, side) in enumerate(shapes)]
+    got = [frozenset(s) for _, s in sweep(rows, both, between=True)]
+    assert len(got) == len(set(got))
+    assert set(got) == brute_sets_anywhere(rows, both)
+
+
+def test_inversion_that_begins_between_arrivals(spark):
+    from helixlake.operators import clusters
+
+    rows = [(1, "c", "INV", 901, 1000, "F", 4901, 5000, "F", 119, 327), (2, "c", "INV", 1200, 1299, "R", 5050, 5149, "R", 119, 327)]
+    df = spark.createDataFrame(rows, "ev_id long, chrom string, sv_type string, l_start int, l_end int, l_or string, r_start int, r_end int, r_or string, min_delta int, max_delta int")
+    got = clusters.cluster(clusters.shapes(df), both_sides=True, between=True).collect()
+    # F reaches down to 5000 + 119 - (b - 1000), R up to 5050 at most until b = 1081: they meet at 1069.
+    assert {(r["ev_id"], r["left_brk"]) for r in got} == {(1, 1069), (2, 1069)}
+
+
 def test_micro_fixture_of_deletions():
     row = lambda k, le, rs: (k, le, le + 200, rs - le - 200, rs - le, 1, le, rs, "A")
     near = [row(0, 100, 600), row(1, 110, 590), row(2, 120, 610)]
