@@ -456,19 +456,20 @@ def cluster_inv(t: Tables) -> DataFrame:
     return _clustered(t, "INV", both=True)
 
 
-def _region(t: Tables, kind: str, which: str) -> DataFrame:
-    rows = t.evidence.where(which).selectExpr("ev_id", "chrom", f"'{kind}' as sv_type", "l_start as pos", "l_end as pos_end", "l_or as or", "max_delta", "conc_max")
+def _region(t: Tables, kind: str) -> DataFrame:
+    """Every row of evidence stands for one-ended evidence of the kind."""
+    rows = t.evidence.selectExpr("ev_id", "chrom", f"'{kind}' as sv_type", "l_start as pos", "l_end as pos_end", "l_or as or", "max_delta", "conc_max")
     return clusters.cluster(clusters.region_shapes(rows), both_sides=False, least=3 if kind == "MEI" else 2)
 
 
 @query
 def cluster_mei(t: Tables) -> DataFrame:
-    return _region(t, "MEI", "ev_id % 4 = 0")
+    return _region(t, "MEI")
 
 
 @query
 def cluster_numt(t: Tables) -> DataFrame:
-    return _region(t, "NUMT", "ev_id % 4 = 1")
+    return _region(t, "NUMT")
 
 
 def _duplications(t: Tables, kind: str) -> DataFrame:

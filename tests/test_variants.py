@@ -46,6 +46,22 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, str(TINY)).count() > 0
 
 
+@pytest.mark.parametrize(("name", "least"), [("cluster_mei", 3), ("cluster_numt", 2)])
+def test_regions_come_from_all_evidence(spark, name, least):
+    """Every row of evidence whose activity meets enough others at its own start is in a cluster."""
+    from helixlake.jobs.tables import Tables
+    from helixlake.operators.clusters import region_shapes
+
+    rows = Tables(spark, str(TINY)).evidence.selectExpr("ev_id", "chrom", "'x' as sv_type", "l_start as pos", "l_end as pos_end", "l_or as or", "max_delta", "conc_max")
+    shaped = [r for r in region_shapes(rows).collect() if r["start"] < r["stop"]]
+    want = set()
+    for x in shaped:
+        there = {y["ev_id"] for y in shaped if y["chrom"] == x["chrom"] and y["start"] <= x["start"] < y["stop"]}
+        want |= there if len(there) >= least else set()
+    got = {r["ev_id"] for r in QUERIES[name](spark, str(TINY)).select("ev_id").distinct().collect()}
+    assert got == want and {k % 4 for k in got} == {0, 1, 2, 3}
+
+
 def brute_sets(rows, both):
     """All sets active and overlapping at some arrival, from every right breakpoint that is an end of an interval."""
     found = set()
