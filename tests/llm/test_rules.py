@@ -194,6 +194,18 @@ def test_shards_of_the_whole_table(spark, sf_dir):
     assert np.mean([x == y for x, y in pairs]) > 0.9
 
 
+def test_groups_that_fit_a_shard_stay_whole(spark):
+    """Four shards of 1,000: groups far above an eighth of a shard, one above a whole shard, and unlinked documents."""
+    sizes = {"a": 1300, "b": 600, "c": 400, "d": 300, "e": 130}
+    texts = [name for name, n in sizes.items() for _ in range(n)] + [f"alone {k}" for k in range(4000 - sum(sizes.values()))]
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    got = {r["doc_id"]: r["shard"] for r in assign_shards(docs, 4).collect()}
+    assert sorted(got) == list(range(4000)) and all(sum(s == k for s in got.values()) == 1000 for k in range(4))
+    shards = {name: {got[k] for k, t in rows if t == name} for name in sizes}
+    assert {name: len(s) for name, s in shards.items()} == {"a": 2, "b": 1, "c": 1, "d": 1, "e": 1}
+
+
 def test_shards_defined_cases(spark):
     assert assign_shards(frame(spark, [])).collect() == []
     rows = ODD + [(k, "one text for a third") for k in range(100, 140)] + [(k, f"text {k}") for k in range(200, 275)]
