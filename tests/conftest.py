@@ -26,6 +26,7 @@ def spark():
         .config("spark.driver.memory", "6g")
         .config("spark.local.dir", scratch)
         .config("spark.sql.warehouse.dir", f"{scratch}/warehouse")
+        .config("spark.checkpoint.dir", f"file://{scratch}/shared")
         .getOrCreate()
     )
     session.sparkContext.setLogLevel("ERROR")
