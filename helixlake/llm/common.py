@@ -1,33 +1,72 @@
-"""Tables, stored intermediates and small column helpers shared by the corpus operators."""
+"""Tables, stored intermediates, bounded memories and small column helpers shared by the corpus operators."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
+from functools import reduce
+from typing import Any
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.stored import scratch_dir, store
+from helixlake.stored import scratch, scratch_dir, store
 
-__all__ = ["batches_of", "crc_mod", "filter_bit", "filter_of", "scratch_dir", "store", "table"]
+__all__ = ["Memory", "bound_batches", "crc_mod", "filter_bit", "filter_of", "free_name", "scratch", "scratch_dir", "store", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-@contextmanager
-def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within, what runs hands Python at most so many rows at once: for rows that can be long."""
+#: What Python gets at once, in bytes of text and in rows.
+BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+
+
+def bound_batches(df: DataFrame, *texts: str, size: int = BATCH_BYTES, most: int = BATCH_ROWS) -> None:
+    """From here on, this session hands Python so few rows at once that the texts in them take `size` bytes at most,
+    or one row. The longest row tells how many: a pass over the texts inside the JVM. The number is only ever lowered,
+    since results that are still to be computed count on it."""
+    long = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts])
+    longest = df.agg(F.max(long).alias("n")).first()["n"] or 0
+    limit_rows(df.sparkSession, min(most, size // max(1, longest)))
+
+
+def limit_rows(spark: SparkSession, rows: int) -> None:
+    """Lowers the number of rows that Python gets at once."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(key, before)
+    now = int(spark.conf.get(key))
+    if now <= 0 or now > rows:
+        spark.conf.set(key, str(max(1, rows)))
+
+
+class Memory(dict):
+    """Remembers what `make` gives for a key (bytes or text), up to about `most` bytes; a full memory is emptied, which
+    costs time only. Each task makes its own, so that no memory outlives its task in a reused worker."""
+
+    #: What an entry takes besides its key's characters and its value's bytes.
+    ENTRY = 160
+
+    def __init__(self, make: Callable[[Any], Any], most: int = 24 << 20):
+        super().__init__()
+        self.make, self.most, self.held = make, most, 0
+
+    def __missing__(self, key: bytes | str) -> Any:
+        value = self.make(key)
+        self.held += self.ENTRY + len(key) + (len(value) if isinstance(value, bytes) else 0)
+        if self.held > self.most:
+            self.clear()
+            self.held = 0
+        self[key] = value
+        return value
+
+
+def free_name(taken: list[str], name: str) -> str:
+    """A column name like `name` that none of `taken` is, whatever the case of its letters."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
 
 
 def crc_mod(doc_id: Column, n: int) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from helixlake.llm.common import store
+from helixlake.stored import discard
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -42,7 +43,8 @@ def connected_components(edges: DataFrame, label: str = "components", rounds: in
     for _ in range(rounds):
         if _stars(found):
             break
-        found = store(_small_star(_large_star(found)), label)
+        before, found = found, store(_small_star(_large_star(found)), label)
+        discard(edges.sparkSession, before.stored_at)
     else:
         raise RuntimeError(f"no fixed point after {rounds} rounds")
     return found.select(F.col("b").alias("node"), F.col("a").alias("component")).union(found.select(F.col("a").alias("node"), F.col("a").alias("component")).distinct())

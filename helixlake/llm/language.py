@@ -8,7 +8,9 @@ temperature. The model's size is bounded by n-gram buckets times languages.
 Training rows have a non-null doc_id, lang and text; `train` chooses among them. A prediction depends on the text alone.
 
 Defined cases: a text that is null, empty or without a letter is `und` with score 0; without training rows every text
-is; repeated rows are predicted alike; an empty table gives an empty result; other columns are ignored.
+is; of equally likely languages the first by name is predicted; a text of any length is taken whole; repeated rows are
+predicted alike; an empty table gives an empty result; other columns are ignored, and a kept column that is called like
+a new one gives way to it.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import store
+from helixlake.llm.common import bound_batches, free_name, scratch, store
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -123,8 +125,8 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                df += gram_counts(text) > 0
+            for text in batch.column(0):
+                df += gram_counts(text.as_py()) > 0
                 n += 1
         at = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.r_[at, -1]), pa.array(np.r_[df[at], n])], ["bucket", "n"])
@@ -137,6 +139,12 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, train: Column, p: Params = Params()) -> Model:
+    bound_batches(docs, "text")
+    with scratch(docs.sparkSession):  # the sample goes when the model is there
+        return _fit(docs, train, p)
+
+
+def _fit(docs: DataFrame, train: Column, p: Params) -> Model:
     spark = docs.sparkSession
     rows = docs.where(train & F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
     # As many rows as there are languages: a handful of names, for a model that has a column for each.
@@ -203,14 +211,19 @@ def _temperature(sample: DataFrame, model: Model) -> float:
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """doc_id, the columns in keep, lang_pred and score for every row of docs."""
+    bound_batches(docs, "text")
     known = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(F.col("doc_id").cast("long"), *keep, F.col("text").alias("_text"))
+    keep = [c for c in keep if c not in ("doc_id", "lang_pred", "score")]
+    # The text goes to Python once, whether it is kept or not.
+    name = "text" if "text" in keep else free_name(docs.columns, "text_")
+    rows = docs.select(F.col("doc_id").cast("long"), *keep, *([] if "text" in keep else [F.col("text").alias(name)]))
+    at, count = rows.columns.index(name), 1 + len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = [known.value.predict(t) for t in batch.column(batch.num_columns - 1).to_pylist()]
-            arrays = [*batch.columns[:-1], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
-            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:-1], "lang_pred", "score"])
+            found = [known.value.predict(t.as_py()) for t in batch.column(at)]
+            arrays = [*batch.columns[:count], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
+            yield pa.RecordBatch.from_arrays(arrays, [*batch.schema.names[:count], "lang_pred", "score"])
 
-    schema = kept.drop("_text").schema.add("lang_pred", "string").add("score", "double")
-    return kept.mapInArrow(predict, schema)
+    schema = rows.select("doc_id", *keep).schema.add("lang_pred", "string").add("score", "double")
+    return rows.mapInArrow(predict, schema)

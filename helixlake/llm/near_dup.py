@@ -11,12 +11,12 @@
 4. Components over all confirmed links, by alternating large-star and small-star.
 
 With r rows in b bands a pair of similarity s shares no bucket with probability (1 - s^r)^b: 1.2e-6 at s = 0.75 for the
-defaults. A pair in a common bucket is dropped unread if its signatures agree in fewer than `agree` of the minima:
-for s = 0.75 that is 4.5 standard deviations below the mean. Everything else is exact.
+defaults. A pair in a common bucket is dropped unread if its signatures agree in fewer than half of the minima: for
+s = 0.75 and 144 minima that has probability 3e-11. Everything else is exact.
 
 Defined cases: null texts and texts without words have an empty set and are linked with nothing; a row without doc_id
-is returned with a null component and kept; rows that share a doc_id count as one document; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+is returned with a null component and kept; rows that share a doc_id count as one document; a text of any length is
+taken whole; an empty table gives an empty result; columns other than doc_id and text are ignored.
 """
 
 from __future__ import annotations
@@ -30,31 +30,30 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import batches_of, filter_bit, filter_of, store
+from helixlake.llm.common import BATCH_BYTES, bound_batches, filter_bit, filter_of, scratch, store
 from helixlake.llm.components import connected_components
 from helixlake.llm.shingles import Minima, U, WordHashes, band_keys, mixed, shingle_set, words
 
 WIDTH, ROWS, BANDS = 5, 4, 36
 #: Share of minima in which the signatures of a pair must agree to be compared on full sets.
-AGREE = 0.6
-BLOCK = 512
-#: Rows that a task hands to Python at once: a row can hold the sets of two very long texts.
+AGREE = 0.5
+#: A block of a bucket: so many members, and so many shingles of theirs, in expectation at most.
+BLOCK, BLOCK_SHINGLES = 512, 500_000
+#: Rows that Python gets at once: a row can hold the sets of two texts, of 8 bytes for each word of them.
 BATCH = 200
 
-_hashes = WordHashes()
 
-
-def _sets(texts: pa.Array) -> list[np.ndarray]:
-    return [shingle_set(_hashes.of(words(t)), WIDTH) for t in pc.cast(texts, pa.binary()).to_pylist()]
+def _sets(texts: pa.Array, hashes: WordHashes) -> list[np.ndarray]:
+    return [shingle_set(hashes.of(words(t)), WIDTH) for t in pc.cast(texts, pa.binary()).to_pylist()]
 
 
 def sketches(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set), bands."""
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minima = Minima(ROWS * BANDS)
+        minima, hashes = Minima(ROWS * BANDS), WordHashes()
         for batch in batches:
-            sets = _sets(batch.column(1))
+            sets = _sets(batch.column(1), hashes)
             full = [s for s in sets if len(s)]
             bands = iter(band_keys(minima.of(full), ROWS).view(np.int64).tolist() if full else [])
             key = [s.sum(dtype=U).tobytes() + mixed(s ^ U(len(s))).sum(dtype=U).tobytes() if len(s) else None for s in sets]
@@ -73,10 +72,10 @@ def payloads(docs: DataFrame, ids: DataFrame) -> DataFrame:
     wanted = spark.sparkContext.broadcast(filter_of(ids, F.xxhash64("rep")))
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        minima = Minima(ROWS * BANDS)
+        minima, hashes = Minima(ROWS * BANDS), WordHashes()
         for batch in batches:
             batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()] == 1))
-            sets = _sets(batch.column(1))
+            sets = _sets(batch.column(1), hashes)
             keep = [k for k, s in enumerate(sets) if len(s)]
             if keep:
                 rows = minima.of([sets[k] for k in keep])
@@ -143,11 +142,21 @@ def _across(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
 
 
 def cross_links(open_rows: DataFrame, loaded: DataFrame, percent: int) -> DataFrame:
-    """Confirmed links between components within the buckets of open_rows (bucket, members, rep, n, component)."""
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("rep", F.lit(3)), blocks).cast("int")
-    dealt = open_rows.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select(
+    """Confirmed links between components within the buckets of open_rows (bucket, rep, n, component). Members of a
+    bucket's largest component needn't meet each other: each goes once to every block of the others, while these go to
+    all blocks. Blocks are bounded by members and by shingles."""
+    by_part = open_rows.groupBy("bucket", "component").agg(F.count("*").alias("c"), F.sum("n").alias("s"))
+    parts = by_part.groupBy("bucket").agg(F.max(F.struct("c", "s", "component")).alias("major"), F.sum("c").alias("c"), F.sum("s").alias("s"))
+    blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
+    major = F.col("major")
+    parts = parts.select(
+        "bucket", major["component"].alias("major"), blocks(F.col("c") - major["c"], F.col("s") - major["s"]).alias("few"), blocks(major["c"], major["s"]).alias("many")
+    )
+    dealt = open_rows.join(parts, "bucket").withColumn("in_major", F.col("component") == F.col("major"))
+    spread = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), n).cast("int")
+    dealt = dealt.withColumn("mine", F.when(F.col("in_major"), F.col("few") + spread(F.col("many"))).otherwise(spread(F.col("few"))))
+    to = F.sequence(F.lit(0), F.when(F.col("in_major"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
+    dealt = dealt.withColumn("other", F.explode(to)).select(
         "bucket", "rep", "n", "component", F.least("mine", "other").alias("low"), F.greatest("mine", "other").alias("high"),
         (F.col("mine") > F.col("other")).cast("int").alias("side"), (F.col("mine") == F.col("other")).alias("same"),
     )
@@ -156,8 +165,11 @@ def cross_links(open_rows: DataFrame, loaded: DataFrame, percent: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    with batches_of(docs.sparkSession, BATCH):
-        return _near_duplicates(docs, percent)
+    bound_batches(docs, "text", size=BATCH_BYTES // 2, most=BATCH)
+    with scratch(docs.sparkSession) as kept:
+        found = store(_near_duplicates(docs, percent), "near-duplicates")
+        kept.append(found.stored_at)
+    return found
 
 
 def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
@@ -179,14 +191,15 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
 
     # The one pair of a bucket of two has been looked at.
     labelled = shared.where("members > 2").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = store(labelled.select("bucket", "members", "rep", "n", "component"), "labelled")
+    labelled = store(labelled.select("bucket", "rep", "n", "component"), "labelled")
     unsettled = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    more = cross_links(labelled.join(unsettled, "bucket"), loaded, percent)
+    more = cross_links(store(labelled.join(unsettled, "bucket"), "unsettled"), loaded, percent)
     edges = part.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
     final = connected_components(edges)
 
     named = classes.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep").select("set_key", "component")
-    named = classes.select("set_key", "rep").join(named, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component"))
+    # Stored, so that the join below is one of two plain tables, in which Spark splits a class of very many documents.
+    named = store(classes.select("set_key", "rep").join(named, "set_key", "left").select("set_key", F.coalesce("component", "rep").alias("component")), "named")
     out = sketch.select("doc_id", "n_shingles", "set_key").join(named, "set_key", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import store
+from helixlake.llm.common import Memory, bound_batches, scratch, store
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
@@ -47,15 +47,14 @@ def _byte_letters() -> dict[str, int]:
 class WordTokens:
     """Ids of whole texts by a public word-end BPE tokenizer, whose splits always fall on white space.
 
-    The ids of a text are those of its chunks, one after the other, so each worker remembers the chunks and
-    letter runs that it has met. Both memories are bounded: a full one is emptied, which costs time only.
-    New letter runs take the merges of the tokenizer's file through tiktoken's BPE, which needs a fifth of the
+    The ids of a text are those of its chunks, one after the other, so each task remembers the chunks and letter
+    runs that it has met, up to some bytes. New letter runs take the merges of the tokenizer's file through tiktoken's BPE, which needs a fifth of the
     time (a byte that no text holds stands for the end of a word); all else goes through the tokenizer itself.
     """
 
     END = b"\xff"
 
-    def __init__(self, path: str, chunks: int = 800_000, runs: int = 600_000):
+    def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tiktoken import _tiktoken
         from tokenizers import Tokenizer
@@ -73,15 +72,20 @@ class WordTokens:
         order = [bytes([b]) for b in range(256)] + [bytes([b]) + self.END for b in range(255)]
         order += [written("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
         ids = {written(token): k for token, k in model["vocab"].items() if not token.startswith("<|")}
-        self.id_bytes = [np.uint32(ids.get(t, 0)).astype("<u4").tobytes() for t in order]
+        self.id_bytes = [np.uint32(ids[t]).astype("<u4").tobytes() if t in ids else None for t in order]
         self.merge = _tiktoken.CoreBPE({t: k for k, t in enumerate(order)}, {}, r"\S+").encode_single_piece
-        self.chunks, self.runs = _Memory(self._chunk, chunks), _Memory(self._run, runs)
+        self.forget()
+
+    def forget(self) -> None:
+        """Empties the memories, at the end of a task."""
+        self.chunks, self.runs = Memory(self._chunk, 16 << 20), Memory(self._run, 2 << 20)
 
     def _whole(self, text: str) -> bytes:
         return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _run(self, run: str) -> bytes:
-        return b"".join(map(self.id_bytes.__getitem__, self.merge(run.encode() + self.END)))
+        parts = [self.id_bytes[k] for k in self.merge(run.encode() + self.END)]
+        return self._whole(run) if None in parts else b"".join(parts)  # a merge that the vocabulary lacks
 
     def _chunk(self, chunk: str) -> bytes:
         if not (m := LATIN.fullmatch(chunk)):
@@ -101,23 +105,11 @@ class WordTokens:
         return b"".join(map(self.chunks.__getitem__, text.split()))
 
 
-class _Memory(dict):
-    def __init__(self, make, most: int):
-        super().__init__()
-        self.make, self.most = make, most
-
-    def __missing__(self, key: str) -> bytes:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[key] = self.make(key)
-        return value
-
-
 _tokens: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
-    """One for each worker process, kept from task to task."""
+    """One for each worker process, kept from task to task: of fixed size but for its memories, which each task empties."""
     if path not in _tokens:
         _tokens[path] = WordTokens(path)
     return _tokens[path]
@@ -163,16 +155,19 @@ def tokenise_and_pack(docs: DataFrame, tokenizer_path: str, size: int, open_bins
 
         first = TaskContext.get().partitionId() << 32
         bins, tokens = OpenBins(size, open_bins), word_tokens(tokenizer_path)
-        for batch in batches:
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = tokens.ids(text or "") + end
-                for piece, at in enumerate(range(0, len(ids), 4 * size)):
-                    part = ids[at : at + 4 * size]
-                    name, offset = bins.put(len(part) // 4)
-                    rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), first + name, offset))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], NAMES)
+        try:
+            for batch in batches:
+                rows: list[tuple] = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = tokens.ids(text.as_py() or "") + end
+                    for piece, at in enumerate(range(0, len(ids), 4 * size)):
+                        part = ids[at : at + 4 * size]
+                        name, offset = bins.put(len(part) // 4)
+                        rows.append((doc_id, piece, at // 4, len(part) // 4, zlib.crc32(part), first + name, offset))
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), TYPES)], NAMES)
+        finally:
+            tokens.forget()
 
     return docs.select("doc_id", "text").mapInArrow(pack, PIECES)
 
@@ -203,6 +198,14 @@ def repack(bins: DataFrame, size: int, open_bins: int, bins_per_task: int) -> Da
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, open_bins: int = 256, end_id: int = 0, bins_per_task: int = 50_000) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
+    bound_batches(docs, "text")
+    with scratch(docs.sparkSession) as kept:
+        found = store(_packed(docs, tokenizer_path, size, open_bins, end_id, bins_per_task), "packed")
+        kept.append(found.stored_at)
+    return found
+
+
+def _packed(docs: DataFrame, tokenizer_path: str, size: int, open_bins: int, end_id: int, bins_per_task: int) -> DataFrame:
     pieces = store(tokenise_and_pack(docs, tokenizer_path, size, open_bins, end_id), "pieces")
     used = pieces.groupBy("sequence_id").agg(F.sum("length").alias("used")).where(F.col("used") < size)
     moved = repack(store(used, "bins"), size, open_bins, bins_per_task)

@@ -10,7 +10,8 @@ Kinds: card (13 to 19 digits, Luhn), iban (mod 97), phone (North American: with
 email (name; the domain stays), key (cloud access keys, and long values after token, secret, key or password).
 
 Defined cases: a null text stays null, an empty one empty; what fails its checks stays as it is; repeated rows and null
-ids are rows like others; an empty table gives an empty result; other columns pass through untouched.
+ids are rows like others; a text of any length is taken whole; an empty table gives an empty result; other columns pass
+through untouched, but for one called pii, which the result replaces.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.llm.common import bound_batches
+
 ROUNDS = 8
 
 
@@ -103,7 +106,7 @@ class Pseudonyms:
         return "".join(reversed(out))
 
     def _card(self, m: re.Match, back: bool) -> str | None:
-        digits = re.sub(r"\D", "", m["card"])
+        digits = re.sub("[^0-9]", "", m["card"])
         if luhn(digits) or len(set(digits)) < 2:
             return None
 
@@ -133,7 +136,7 @@ class Pseudonyms:
         return "".join(c if c == " " else next(take) for c in text)
 
     def _phone(self, m: re.Match, back: bool) -> str | None:
-        digits = re.sub(r"\D", "", m["phone"])
+        digits = re.sub("[^0-9]", "", m["phone"])
         country, national = digits[:-10], digits[-10:]
         valid = lambda x: x[0] in "23456789" and x[3] in "23456789"
         plain = not country and "(" not in m["phone"]
@@ -203,12 +206,12 @@ class Pseudonyms:
     PATTERN = re.compile(
         r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
         r"|(?P<key>\b(?P<k1>A[KS]IA[A-Z0-9]{16})\b|\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<k2>[A-Za-z0-9+/=_.-]*[A-Za-z0-9+/=_-]))"
-        r"|\b(?P<iban>[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
-        r"|(?<![\w.])(?P<ip>\d{1,3}(?:\.\d{1,3}){3})(?![\w]|\.\d)"
-        r"|(?<![\w./-])(?P<date>(?P<d1>\d{4}|\d{1,2})(?P<sep>[-/.])(?P<d2>\d{1,2})(?P=sep)(?P<d3>\d{4}|\d{1,2}))(?![\w/-]|\.\d)"
-        r"|(?<![\w-])(?P<ssn>\d{3}-\d{2}-\d{4})(?![\w-])"
-        r"|(?<![\w+])(?P<phone>(?:\+?1[ .-]?)?(?:\(\d{3}\) ?|\d{3}[ .-])\d{3}[ .-]\d{4})(?!\w)"
-        r"|(?<![\w.-])(?P<card>\d{13,19}|\d{4}(?P<cs>[ -])(?:\d{4}(?P=cs)\d{4}(?P=cs)\d{1,7}|\d{6}(?P=cs)\d{5}))(?![\w-]|\.\d)"
+        r"|\b(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
+        r"|(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
+        r"|(?<![\w./-])(?P<date>(?P<d1>[0-9]{4}|[0-9]{1,2})(?P<sep>[-/.])(?P<d2>[0-9]{1,2})(?P=sep)(?P<d3>[0-9]{4}|[0-9]{1,2}))(?![\w/-]|\.[0-9])"
+        r"|(?<![\w-])(?P<ssn>[0-9]{3}-[0-9]{2}-[0-9]{4})(?![\w-])"
+        r"|(?<![\w+])(?P<phone>(?:\+?1[ .-]?)?(?:\([0-9]{3}\) ?|[0-9]{3}[ .-])[0-9]{3}[ .-][0-9]{4})(?!\w)"
+        r"|(?<![\w.-])(?P<card>[0-9]{13,19}|[0-9]{4}(?P<cs>[ -])(?:[0-9]{4}(?P=cs)[0-9]{4}(?P=cs)[0-9]{1,7}|[0-9]{6}(?P=cs)[0-9]{5}))(?![\w-]|\.[0-9])"
     )
 
     def replaced(self, text: str, back: bool = False) -> tuple[str, list[tuple[str, int, int]]]:
@@ -230,12 +233,14 @@ class Pseudonyms:
         return "".join(out), found
 
 
-#: Without one of these a text has nothing to replace.
-HINT = re.compile(r"[0-9@]|token|secret|passw|key", re.I)
+#: Every match of PATTERN holds one of these: an e-mail name has @, keys are of three kinds, and all else has digits.
+HINT = re.compile(r"[0-9@]|A[KS]IA|token|secret|passw|key")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
-    """docs with the text replaced, and pii (kind, start, end in the new text)."""
+    """docs with the text replaced, and pii (kind, start, end in the new text), in place of a column of that name."""
+    bound_batches(docs, text)
+    docs = docs.drop("pii")
     names = docs.columns
     at = names.index(text)
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
@@ -243,7 +248,7 @@ def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Pseudonyms(key)
         for batch in batches:
-            made = [own.replaced(t) if t and HINT.search(t) else (t, []) for t in batch.column(at).to_pylist()]
+            made = [own.replaced(t) if t and HINT.search(t) else (t, []) for t in (x.as_py() for x in batch.column(at))]
             arrays = list(batch.columns)
             arrays[at] = pa.array([t for t, _ in made], pa.string())
             arrays.append(pa.array([[{"kind": k, "start": a, "end": b} for k, a, b in f] for _, f in made], kind))

@@ -25,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from helixlake.llm.common import bound_batches
 from helixlake.llm.shingles import U, WordHashes, mixed
 
 
@@ -48,7 +49,6 @@ for _k, _chars in enumerate(CLASSES):
 _CLASS[128:] = 8
 N_CLASSES = 9
 _STOPS = b".,;:!?'\"()[]{}"
-_hashes = WordHashes(300_000)
 
 
 def class_histogram(text: bytes) -> np.ndarray:
@@ -65,12 +65,12 @@ def bare_words(text: bytes) -> list[bytes]:
     return [w.strip(_STOPS) for w in text.lower().split()]
 
 
-def repeated(words: list[bytes], width: int = 8) -> int:
+def repeated(words: list[bytes], known: WordHashes, width: int = 8) -> int:
     """How many words lie in a run of `width` words that the text has twice or more."""
     n = len(words) - width + 1
     if n < 2:
         return 0
-    hashes = _hashes.of(words)
+    hashes = known.of(words)
     odd = mixed(np.arange(1, width + 1, dtype=U)) | U(1)
     h = hashes[:n] * odd[0]
     for k in range(1, width):
@@ -198,12 +198,12 @@ NAMES = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repea
 KINDS = [*["long"] * 6, "boolean", "boolean", "double", "double"]
 
 
-def judge(text: bytes | None, reference: Reference, p: Params) -> tuple:
+def judge(text: bytes | None, reference: Reference, p: Params, known: WordHashes) -> tuple:
     text = text or b""
     words = text.split()
     n, symbols = len(words), sum(map(text.count, (b"#", b"*", b"$", b"%", b"&", b"|", b"<", b">")))
     chars = len(b"".join(words).decode())
-    again = repeated(words)
+    again = repeated(words, known)
     failed = n < p.min_words or 100 * again > 30 * n
     by_class, by_word = reference.divergence(class_histogram(text), words) if n else (0.0, 0.0)
     kept = not failed and by_class <= p.most_classes and (n < p.min_words_for_words or by_word <= p.most_words)
@@ -211,12 +211,14 @@ def judge(text: bytes | None, reference: Reference, p: Params) -> tuple:
 
 
 def quality(docs: DataFrame, p: Params = Params()) -> DataFrame:
+    bound_batches(docs, "text")
     known = docs.sparkSession.sparkContext.broadcast(fit_reference(docs, p))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kinds = [{"long": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}[k] for k in KINDS[1:]]
+        hashes = WordHashes()
         for batch in batches:
-            found = [judge(t, known.value, p) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
+            found = [judge(t, known.value, p, hashes) for t in pc.cast(batch.column(1), pa.binary()).to_pylist()]
             columns = zip(*found) if found else [[]] * len(kinds)
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], NAMES)
 

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import numpy as np
 
+from helixlake.llm.common import Memory
+
 U = np.uint64
 
 
@@ -14,20 +16,13 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, remembered up to a bound; a full memory is emptied."""
-
-    def __init__(self, most: int = 400_000):
-        super().__init__()
-        self.most = most
+class WordHashes(Memory):
+    """64-bit hashes of words."""
 
-    def __missing__(self, word: bytes) -> int:
+    def __init__(self):
         import xxhash
 
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = xxhash.xxh3_64_intdigest(word)
-        return value
+        super().__init__(xxhash.xxh3_64_intdigest)
 
     def of(self, words: list[bytes]) -> np.ndarray:
         return np.fromiter(map(self.__getitem__, words), U, len(words))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import store
+from helixlake.llm.common import Memory, bound_batches, scratch, store
 
 FEATURES = 1 << 17
 SEQUENCE = 128
@@ -40,7 +40,6 @@ class Params:
     rows_per_label: int = 2500
     least_documents: int = 4
     least_odds: float = 12.0
-    most_seeds: int = 5000
     shards: int = 4
     epochs: int = 4
     rate: float = 0.5
@@ -61,18 +60,11 @@ def features(word: str) -> list[int]:
     return [xxhash.xxh3_64_intdigest(x) & (FEATURES - 1) for x in names]
 
 
-class _Scores(dict):
-    """Emission scores of words, remembered up to a bound."""
+class _Scores(Memory):
+    """Emission scores of words."""
 
-    def __init__(self, weights: np.ndarray, most: int = 500_000):
-        super().__init__()
-        self.weights, self.most = weights, most
-
-    def __missing__(self, word: str) -> float:
-        if len(self) >= self.most:
-            self.clear()
-        value = self[word] = float(self.weights[features(word)].sum())
-        return value
+    def __init__(self, weights: np.ndarray):
+        super().__init__(lambda word: float(weights[features(word)].sum()))
 
 
 def forward_backward(scores: np.ndarray, lengths: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -149,7 +141,7 @@ def summary(p: np.ndarray) -> np.ndarray:
 
 
 def _seeds(sample: DataFrame, p: Params) -> set[str]:
-    """Words and beginnings of words that set toxic documents apart: the `most_seeds` commonest at most."""
+    """Words and beginnings of words that set toxic documents apart: as many as the bounded sample has."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: tuple[Counter, Counter] = (Counter(), Counter())
@@ -162,12 +154,17 @@ def _seeds(sample: DataFrame, p: Params) -> set[str]:
     counts = sample.select("text", "toxic").mapInArrow(count, "stem string, clean long, toxic long").groupBy("stem").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     odds = (F.col("toxic") / F.lit(max(1, sizes.get(1, 0)))) / ((F.col("clean") + 0.5) / F.lit(max(1, sizes.get(0, 0))))
-    top = counts.where((F.col("toxic") >= p.least_documents) & (odds >= p.least_odds)).orderBy(F.desc("toxic"), "stem").limit(p.most_seeds)
-    return set(top.toPandas()["stem"])
+    return set(counts.where((F.col("toxic") >= p.least_documents) & (odds >= p.least_odds)).select("stem").toPandas()["stem"])
 
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """labels: doc_id and toxic (0 or 1)."""
+    bound_batches(docs, "text")
+    with scratch(docs.sparkSession):  # the sample goes when the model is there
+        return _fit(docs, labels, p)
+
+
+def _fit(docs: DataFrame, labels: DataFrame, p: Params) -> Model:
     spark = docs.sparkSession
     known = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
     sizes = {r["toxic"]: r["n"] for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
@@ -254,20 +251,19 @@ def _document_weights(sample: DataFrame, model: Model, sizes: dict[int, int]) ->
 
 def toxicity(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     """doc_id, score, predicted, spans (start and end of offending words, in code points) for every row of docs."""
+    bound_batches(docs, "text")
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scores = _Scores(known.value.weights)
         spans_type = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for k in range(0, batch.num_rows, 1000):
-                part = batch.slice(k, 1000)
-                texts = part.column(1).to_pylist()
-                marginals = known.value.marginals(texts, scores)
-                score = [known.value.score(m) for m in marginals]
-                spans = [_spans(t, m, p.offending) for t, m in zip(texts, marginals)]
-                arrays = [part.column(0), pa.array(score), pa.array([int(s >= p.threshold) for s in score], pa.int32()), pa.array(spans, spans_type)]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "predicted", "spans"])
+            texts = batch.column(1).to_pylist()
+            marginals = known.value.marginals(texts, scores)
+            score = [known.value.score(m) for m in marginals]
+            spans = [_spans(t, m, p.offending) for t, m in zip(texts, marginals)]
+            arrays = [batch.column(0), pa.array(score, pa.float64()), pa.array([int(s >= p.threshold) for s in score], pa.int32()), pa.array(spans, spans_type)]
+            yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "score", "predicted", "spans"])
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(rows, "doc_id long, score double, predicted int, spans array<struct<start:int,end:int>>")
 

@@ -2,8 +2,11 @@
 
 import re
 
+import numpy as np
+
 import corpus_pipeline
-from helixlake.llm.packing import WordTokens
+from tokenizers import Tokenizer
+
 from helixlake.llm.pseudonyms import Pseudonyms
 from helixlake.llm.queries import PSEUDONYM_KEY, word_tokenizer
 from tests.llm.test_pairs import brute_components, check_packing
@@ -31,7 +34,10 @@ def test_pipeline_keeps_what_brute_force_keeps(spark, sf_dir):
     clean = {i: t for i, t in first.items() if not contaminated(t, windows)}
     p = Pseudonyms(PSEUDONYM_KEY)
     rows = [(i, p.replaced(t)[0]) for i, t in clean.items()]
-    made, least = check_packing(rows, WordTokens(word_tokenizer()).ids, corpus_pipeline.run(spark, sf_dir).collect(), 2048)
+    tokenizer = Tokenizer.from_file(word_tokenizer())
+    tokenizer.encode_special_tokens = True
+    ids_of = lambda text: np.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    made, least = check_packing(rows, ids_of, corpus_pipeline.run(spark, sf_dir).collect(), 2048)
     assert made <= 1.03 * least + 1
 
 

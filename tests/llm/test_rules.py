@@ -17,6 +17,7 @@ from helixlake.llm.licences import scan
 from helixlake.llm.pseudonyms import Feistel, Pseudonyms, luhn, pseudonymise
 from helixlake.llm.quality import fit_reference, quality, repeated
 from helixlake.llm.sharding import assign_shards
+from helixlake.llm.shingles import WordHashes
 from tests.llm.test_pairs import DOCS, frame
 
 ODD = [(1, None), (2, ""), (3, " \n\t "), (4, "12 !! 34"), (4, "12 !! 34"), (None, "some words")]
@@ -67,7 +68,8 @@ def test_quality_defined_cases(spark):
     got = quality(frame(spark, ODD)).collect()
     assert len(got) == len(ODD) and not any(r.kept for r in got)
     assert quality(frame(spark, [])).collect() == [] and fit_reference(frame(spark, [])).languages == []
-    assert repeated([b"a"] * 9) == 9 and repeated([b"a"] * 8) == 0 and repeated([]) == 0
+    known = WordHashes()
+    assert repeated([b"a"] * 9, known) == 9 and repeated([b"a"] * 8, known) == 0 and repeated([], known) == 0
 
 
 def test_toxicity_held_out(spark, sf_dir):
