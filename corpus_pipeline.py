@@ -18,12 +18,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import language
-from helixlake.llm.common import store, table
+from helixlake.llm.common import scratch, store, table
 from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.near_dup import near_duplicates
 from helixlake.llm.packing import pack_documents
 from helixlake.llm.pseudonyms import pseudonymise
 from helixlake.llm.queries import PSEUDONYM_KEY, SEQUENCE_LENGTH, word_tokenizer
+from helixlake.stored import discard
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 LEAST_SCORE = 0.5
@@ -35,7 +36,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    found = store(near_duplicates(docs), "near-duplicates")
+    found = near_duplicates(docs)
     gone = found.where("not kept").select("doc_id").distinct()
     kept = docs.join(gone, "doc_id", "left_anti").select(*COLUMNS)
     again = found.where("kept and doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
@@ -73,9 +74,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each stage's result is written and read again; what a stage stored on its way, and its predecessor's result, go."""
     docs = table(spark, sf_dir, "documents")
-    for k, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if k < len(STAGES) - 1:
-            docs = store(docs, f"stage-{name}")
+    for name, stage in STAGES:
+        with scratch(spark) as kept:
+            before, docs = docs, store(stage(spark, docs, sf_dir), f"stage-{name}")
+            kept.append(docs.stored_at)
+        if hasattr(before, "stored_at"):
+            discard(spark, before.stored_at)
     return docs
