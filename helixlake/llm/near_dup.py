@@ -89,24 +89,18 @@ def payloads(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
 
 def confirmed(pairs: DataFrame, loaded: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union; others are dropped by their
-    signatures where those agree too little."""
+    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            good = []
-            for x, y, mx, my in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4, 5))):
-                if np.mean(np.frombuffer(mx, np.uint32) == np.frombuffer(my, np.uint32)) < AGREE:
-                    good.append(False)
-                    continue
-                good.append(_linked(np.frombuffer(x, U), np.frombuffer(y, U), percent))
+            good = [_linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent) for x, y in zip(batch.column(2), batch.column(3))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(good, pa.bool_()))
 
     # Two texts under one doc_id (a data error) give two payloads; either may confirm.
-    a = loaded.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"), F.col("minima").alias("min_a"))
-    b = loaded.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"), F.col("minima").alias("min_b"))
+    a = loaded.select(F.col("rep").alias("a"), F.col("shingles").alias("set_a"))
+    b = loaded.select(F.col("rep").alias("b"), F.col("shingles").alias("set_b"))
     sized = pairs.join(b, "b").join(a, "a").where(f"100 * least(length(set_a), length(set_b)) >= {percent} * greatest(length(set_a), length(set_b))")
-    return sized.select("a", "b", "set_a", "set_b", "min_a", "min_b").mapInArrow(check, "a long, b long")
+    return sized.select("a", "b", "set_a", "set_b").mapInArrow(check, "a long, b long")
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -149,10 +143,10 @@ def cross_links(open_rows: DataFrame, loaded: DataFrame, percent: int) -> DataFr
     parts = by_part.groupBy("bucket").agg(F.max(F.struct("c", "s", "component")).alias("major"), F.sum("c").alias("c"), F.sum("s").alias("s"))
     blocks = lambda c, s: F.ceil(F.greatest(c / BLOCK, s / BLOCK_SHINGLES)).cast("int")
     major = F.col("major")
-    parts = parts.select(
+    parts = parts.select(  # stored, so that Spark can split a bucket of very many members in the join below
         "bucket", major["component"].alias("major"), blocks(F.col("c") - major["c"], F.col("s") - major["s"]).alias("few"), blocks(major["c"], major["s"]).alias("many")
     )
-    dealt = open_rows.join(parts, "bucket").withColumn("in_major", F.col("component") == F.col("major"))
+    dealt = open_rows.join(store(parts, "blocks"), "bucket").withColumn("in_major", F.col("component") == F.col("major"))
     spread = lambda n: F.pmod(F.xxhash64("rep", F.lit(3)), n).cast("int")
     dealt = dealt.withColumn("mine", F.when(F.col("in_major"), F.col("few") + spread(F.col("many"))).otherwise(spread(F.col("few"))))
     to = F.sequence(F.lit(0), F.when(F.col("in_major"), F.col("few")).otherwise(F.col("few") + F.col("many")) - 1)
@@ -178,22 +172,24 @@ def _near_duplicates(docs: DataFrame, percent: int) -> DataFrame:
     classes = store(
         sketch.where("set_key is not null and doc_id is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands")), "classes"
     )
-    rows = classes.select("rep", "n", F.explode("bands").alias("bucket"))
+    rows = classes.select("rep", F.explode("bands").alias("bucket"))
     # One member of each bucket, drawn by a hash that differs from bucket to bucket.
-    heads = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min(F.struct(F.xxhash64("rep", "bucket"), F.col("rep"))).alias("head"))
-    heads = heads.where("members > 1").select("bucket", "members", F.col("head.rep").alias("head"))
-    shared = store(rows.join(heads, "bucket"), "buckets")
+    draw = F.xxhash64("rep", "bucket")
+    heads = rows.groupBy("bucket").agg(F.count("*").alias("members"), F.min(draw).alias("drawn")).where("members > 1")
+    shared = store(rows.join(heads, "bucket").select("bucket", "rep", "members", (draw == F.col("drawn")).alias("is_head")), "buckets")
     loaded = store(payloads(docs, shared.select("rep")), "payloads")
 
-    star = shared.where(F.col("rep") != F.col("head")).select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
+    head = shared.where("is_head").select("bucket", F.col("rep").alias("head"))
+    star = shared.where("not is_head").join(head, "bucket").select(F.least("rep", "head").alias("a"), F.greatest("rep", "head").alias("b")).distinct()
     first = store(confirmed(star, loaded, percent), "links")
     part = store(connected_components(first), "parts")
 
     # The one pair of a bucket of two has been looked at.
     labelled = shared.where("members > 2").join(part.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
-    labelled = store(labelled.select("bucket", "rep", "n", "component"), "labelled")
-    unsettled = labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket")
-    more = cross_links(store(labelled.join(unsettled, "bucket"), "unsettled"), loaded, percent)
+    labelled = store(labelled.select("bucket", "rep", "component"), "labelled")
+    unsettled = store(labelled.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("bucket"), "unsettled")
+    opened = labelled.join(unsettled, "bucket").join(classes.select("rep", "n"), "rep")
+    more = cross_links(store(opened.select("bucket", "rep", "n", "component"), "opened"), loaded, percent)
     edges = part.select(F.col("component").alias("a"), F.col("node").alias("b")).union(more)
     final = connected_components(edges)
 
