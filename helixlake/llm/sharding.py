@@ -4,15 +4,15 @@ Documents with equal texts are linked. Groups above an eighth of a shard, of whi
 placed first, the largest first, each in the fullest shard that holds it whole; only a group that no shard has room for is
 cut, into as few pieces as fit. The others are units. Labels start at random; in each round every unit's members vote, a
 join brings the votes' result to them, and they move to that shard as far as its free quota allows: where more would come
-than fit, a share of the units, drawn by hash, moves and the others try the next best shard in the next round. Units above
-a shard's quota leave whole and go with the unlinked documents, unit by unit, which fill every shard up to its exact
+than fit, a share of the units, drawn by hash, moves and the others try one of the emptier shards; rounds go on until no
+unit moves. Units above a shard's quota leave whole and go with the unlinked documents, unit by unit, which fill every shard up to its exact
 count; there only units at the end of a shard's free part are cut.
 
 The law is `rows`: shards' counts differ by one at most. Ranks and slots are numbered in two steps, by counts of hash
 buckets and within each bucket, so that no task takes a whole shard.
 
 Defined cases: null texts have no bytes and no links; an empty text is a text; repeated rows are documents like others;
-a null doc_id is allowed; an empty table gives an empty result; other columns are ignored.
+a null doc_id is allowed; a text of any length counts in full; groups of equal size go by their hash; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,10 +20,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import store
+from helixlake.llm.common import scratch, store
+from helixlake.stored import discard
 
 BUCKET_ROWS = 20_000
-ROUNDS = 4
+#: At most so many rounds; labels usually come to rest after two or three.
+ROUNDS = 12
 
 
 def _ranked(df: DataFrame, within: list[str], order: list[str], rows: int, name: str, together: list[str] | None = None) -> DataFrame:
@@ -44,7 +46,15 @@ def _share(unit: Column, salt: int) -> Column:
 
 
 def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard for every row of docs."""
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard and cut_links (how many documents with the same text lie in
+    other shards) for every row of docs."""
+    with scratch(docs.sparkSession) as kept:
+        found = store(_assigned(docs, shards), "shards")
+        kept.append(found.stored_at)
+    return found
+
+
+def _assigned(docs: DataFrame, shards: int) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     rows = docs.select(
         F.col("doc_id").cast("long"), (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"),
@@ -62,7 +72,11 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
     linked = rows.join(groups.where(~large), "group")
     linked = store(linked.select("doc_id", "size", "text_crc32", F.xxhash64("group").alias("unit"), F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(shards)).cast("int").alias("shard")), "labels")
     for k in range(ROUNDS):
-        linked = store(_moved(linked, free, k), "labels")
+        moved = _moved(linked, free, k)
+        if moved is None:
+            break
+        before, linked = linked, store(moved, "labels")
+        discard(docs.sparkSession, before.stored_at)
 
     # What is above a quota is as free as unlinked documents; a unit that a quota would cut leaves whole.
     limit = F.create_map(*[F.lit(x) for kv in free.items() for x in kv])
@@ -78,9 +92,15 @@ def assign_shards(docs: DataFrame, shards: int = 40) -> DataFrame:
         ends.append(at)
     filled = _ranked(loose.withColumn("_all", F.lit(0)), ["_all"], ["unit", "doc_id", "text_crc32"], total, "rank", ["unit"])
     shard = F.size(F.filter(F.array(*[F.lit(x) for x in ends]), lambda e: e <= F.col("rank"))).cast("int")
-    placed = held.where("stays").select("doc_id", "size", "text_crc32", "shard").unionByName(filled.select("doc_id", "size", "text_crc32", shard.alias("shard"))).unionByName(big)
-    slotted = _ranked(store(placed, "placed"), ["shard"], ["doc_id", "text_crc32"], max(1, total // shards), "slot")
-    return slotted.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+    placed = held.where("stays").select("doc_id", "size", "text_crc32", "unit", "shard").unionByName(filled.select("doc_id", "size", "text_crc32", "unit", shard.alias("shard"))).unionByName(big)
+    placed = store(placed, "placed")
+    slotted = _ranked(placed, ["shard"], ["doc_id", "text_crc32"], max(1, total // shards), "slot")
+    # Units are cut at the ends of shards, and groups above a shard into pieces: a few rows for each shard.
+    counts = placed.groupBy("unit", "shard").agg(F.count("*").alias("_n"))
+    cut = counts.groupBy("unit").agg(F.sum("_n").alias("_all"), F.count("*").alias("_places")).where("_places > 1")
+    cut = store(counts.join(cut, "unit").select("unit", "shard", (F.col("_all") - F.col("_n")).alias("cut_links")), "cut")
+    found = slotted.join(F.broadcast(cut), ["unit", "shard"], "left")
+    return found.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"), F.coalesce("cut_links", F.lit(0)).cast("long").alias("cut_links"))
 
 
 def _placed(groups: list[tuple[bytes, int]], free: dict[int, int]) -> list[tuple[bytes, int, int, int]]:
@@ -100,24 +120,31 @@ def _placed(groups: list[tuple[bytes, int]], free: dict[int, int]) -> list[tuple
 
 def _big(rows: DataFrame, pieces: list[tuple[bytes, int, int, int]], docs: DataFrame) -> DataFrame:
     """Documents of the large groups, with their piece's shard. Only groups that are cut are numbered."""
-    spark, columns = docs.sparkSession, ["doc_id", "size", "text_crc32", "shard"]
+    spark, columns = docs.sparkSession, ["doc_id", "size", "text_crc32", "unit", "shard"]
     cut = {g for g, at, _, _ in pieces if at}
     schema = "`group` binary, _from long, _to long, shard int"
     whole = F.broadcast(spark.createDataFrame([p for p in pieces if p[0] not in cut], schema))
+    names = F.broadcast(spark.createDataFrame([(g,) for g in sorted(cut)], "`group` binary"))
     parts = F.broadcast(spark.createDataFrame([p for p in pieces if p[0] in cut], schema))
     most = max((p[2] for p in pieces if p[0] in cut), default=1)
-    cut_rows = store(rows.join(parts.select("group").distinct(), "group"), "cut")
+    cut_rows = store(rows.join(names, "group"), "cut")
     numbered = _ranked(cut_rows, ["group"], ["doc_id", "text_crc32"], most, "at")
     inside = numbered.join(parts, "group").where("at >= _from and at < _to")
-    return rows.join(whole, "group").select(*columns).unionByName(inside.select(*columns))
+    both = rows.join(whole, "group").unionByName(inside.drop("at"))
+    return both.withColumn("unit", F.xxhash64("group")).select(*columns)
 
 
-def _moved(linked: DataFrame, free: dict[int, int], k: int) -> DataFrame:
-    """One round: votes by unit and shard, the winner of each unit, and moves as far as quotas allow."""
+def _moved(linked: DataFrame, free: dict[int, int], k: int) -> DataFrame | None:
+    """One round: votes by unit and shard, the winner of each unit, and moves as far as quotas allow. None if all is at
+    rest: every unit lies in one shard, and no shard holds more than its quota."""
     votes = linked.groupBy("unit", "shard").agg(F.count("*").alias("n"))
-    best = votes.groupBy("unit").agg(F.max_by("shard", F.struct("n", F.xxhash64("unit", "shard", F.lit(k)))).alias("goal"), F.sum("n").alias("members"))
+    best = votes.groupBy("unit").agg(F.max_by("shard", F.struct("n", F.xxhash64("unit", "shard", F.lit(k)))).alias("goal"), F.sum("n").alias("members"), F.count("*").alias("places"))
+    best = store(best, "votes")
     # Forty rows or so: the load that each shard would have.
-    load = {r["goal"]: r["n"] for r in best.groupBy("goal").agg(F.sum("members").alias("n")).collect()}
+    loads = best.groupBy("goal").agg(F.sum("members").alias("n"), F.max("places").alias("places")).collect()
+    load = {r["goal"]: r["n"] for r in loads}
+    if all(r["places"] == 1 and r["n"] <= free[r["goal"]] for r in loads):
+        return None
     share = F.create_map(*[F.lit(x) for s in free for x in (s, min(1.0, 0.9 * free[s] / load[s]) if s in load else 1.0)])
     light = sorted(free, key=lambda s: load.get(s, 0) - free[s])[: max(1, len(free) // 2)]
     elsewhere = F.element_at(F.array(*[F.lit(s) for s in light]), (F.pmod(F.xxhash64("unit", F.lit(k)), F.lit(len(light))) + 1).cast("int"))
