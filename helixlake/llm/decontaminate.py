@@ -56,13 +56,15 @@ def test_windows(items: DataFrame) -> DataFrame:
     return items.select(F.col("item_id").cast("long"), "text").mapInArrow(cut, "item_id long, words array<long>")
 
 
-def rarest_words(windows: DataFrame, near_terms: int) -> DataFrame:
-    """item_id and the hashes of its `near_terms` words that the fewest items have."""
-    own = windows.where("item_id is not null").select("item_id", F.explode("words").alias("word")).distinct()
+def rarest_words(items: DataFrame, near_terms: int) -> DataFrame:
+    """item_id and its `near_terms` words that the fewest items have, the rarest first, then by the words themselves."""
+    letters = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = F.filter(F.split(letters, "[\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"), lambda w: w != "")
+    own = items.where("item_id is not null").select(F.col("item_id").cast("long"), F.explode(words).alias("word")).distinct()
     common = own.groupBy("word").agg(F.count("*").alias("n"))
     rank = F.row_number().over(Window.partitionBy("item_id").orderBy("n", "word"))  # an item's words: one text's
     top = own.join(common, "word").withColumn("k", rank).where(F.col("k") <= near_terms)
-    return top.groupBy("item_id").agg(F.collect_list("word").alias("words"))
+    return top.groupBy("item_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("k", "word"))), lambda x: x["word"]).alias("words"))
 
 
 INDEX = "shard long, doc_ids array<long>, lengths array<int>, terms binary, starts binary, postings binary"
@@ -122,7 +124,8 @@ class TestBlock:
         number = {w: k for k, w in enumerate(names)}
         self.lengths = np.array([len(w) // 8 for w in names], np.int64)
         flat = np.frombuffer(b"".join(names), U)
-        near = [np.asarray(w, np.int64).view(U) for w in rarest["words"]]
+        hashes = WordHashes()
+        near = [hashes.of([x.encode() for x in w]) for w in rarest["words"]]
         self.vocabulary, inverse = np.unique(np.concatenate([flat, *near]), return_inverse=True)
         self.words = np.full((len(names), WINDOW), -1, np.int64)
         self.words[np.arange(WINDOW)[None, :] < self.lengths[:, None]] = inverse[: len(flat)]
@@ -178,7 +181,6 @@ def look_up(lengths: np.ndarray, terms: np.ndarray, starts: np.ndarray, postings
             items.setdefault(d, set()).update(block.owner_item[a:b].tolist())
     for item, own in block.rarest.items():
         if len(own) and (size[own] > 0).all():
-            own = own[np.argsort(size[own], kind="stable")]
             at = listed(own[0])
             for word in own[1:]:
                 other = listed(word)
@@ -225,7 +227,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, near_terms: int = 4, near_s
 def _decontaminated(docs: DataFrame, items: DataFrame, near_terms: int, near_span: int, percent: int) -> DataFrame:
     gap = max(WINDOW, near_span) + 1  # so that no match reaches into the next document
     windows = store(test_windows(items), "windows")
-    rarest = store(rarest_words(windows, near_terms), "rarest")
+    rarest = store(rarest_words(items, near_terms), "rarest")
     index = store(build_index(docs, filter_of(windows.select(F.explode("words").alias("word")), F.col("word")), gap), "index")
     blocks = -(-windows.count() // BLOCK_WINDOWS)
     part = lambda df, *names: df.where(F.pmod(F.xxhash64(*names), F.lit(blocks)) == k).toPandas()

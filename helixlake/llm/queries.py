@@ -13,11 +13,14 @@ from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.html_text import main_texts
 from helixlake.llm.licences import scan
 from helixlake.llm.near_dup import near_duplicates
+from helixlake.llm.oracle import ORACLE_SQL
 from helixlake.llm.packing import pack_documents
 from helixlake.llm.pseudonyms import pseudonym_report
 from helixlake.llm.quality import quality
 from helixlake.llm.sharding import assign_shards
 
+__all__ = ["ORACLE_SQL", "QUERIES"]
+
 SEQUENCE_LENGTH = 2048
 #: A deployment passes its own secret to the operator.
 PSEUDONYM_KEY = b"documented key for tests"
@@ -38,7 +41,8 @@ def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality(table(spark, sf_dir, "documents"))
+    judged = quality(table(spark, sf_dir, "documents"))
+    return judged.withColumns({c: F.round(c, 6) for c in ("class_distance", "word_distance")})
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +83,7 @@ def op9_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -95,4 +99,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_decontaminate": op10_decontaminate,
 }
 
-ORACLE_SQL: dict[str, str] = {}
