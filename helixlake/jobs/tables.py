@@ -7,7 +7,8 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.operators import depth, evidence, reads, scoring
+from helixlake.functions.sequence import reverse_complement
+from helixlake.operators import calling, depth, evidence, reads, scoring
 from helixlake.sources import fixtures
 from helixlake.stored import store
 
@@ -63,16 +64,7 @@ class Tables:
 
     @cached_property
     def evidence(self) -> DataFrame:
-        """Discordant pairs above the mapping quality, with their library's window."""
-        joined = reads.mate_join(self.alignments)
-        banded = joined.join(F.broadcast(self.band.select("library", "conc_min", "conc_max", "min_delta", "max_delta")), "library")
-        rule = reads.PAIR_CLASS.replace("mate_pos", "pos2").replace("pos ", "pos1 ")
-        rows = banded.withColumn("sv_type", F.expr(rule)).where("sv_type not in ('CONC', 'UNMAPPED') and mq1 > 5 and mq2 > 5")
-        rows = rows.selectExpr(
-            "rid as ev_id", "read_name", "chrom", "sample", "library", "pos1 as l_start", "pos1 + 99 as l_end", "or1 as l_or", "pos2 as r_start", "pos2 + 99 as r_end", "or2 as r_or", "sv_type", "mq1", "mq2",
-            "edit", "cast(least(mq1, 40) as double) as phred", "min_delta", "max_delta", "conc_max",
-        )
-        return store(rows, "evidence")
+        return store(calling.discordant_pairs(self.alignments, self.band), "evidence")
 
     @cached_property
     def members(self) -> DataFrame:
@@ -80,6 +72,15 @@ class Tables:
         name = F.concat_ws(":", "chrom", "sv_type", F.floor(F.col("l_start") / 3700).cast("string"))
         return self.evidence.withColumn("cluster_id", name).withColumn("library", F.when(F.col("edit") <= 4, "SplitRead").otherwise(F.col("library")))
 
+    @cached_property
+    def sided(self) -> DataFrame:
+        """The stand-in clusters, and again as types with bounds of their own kinds."""
+        other = F.expr(
+            "case sv_type when 'INV' then element_at(array('MEI_F', 'NUMT_R', 'INVDUP_RIGHT'), cast(floor(l_start / 3700) % 3 + 1 as int)) when 'TDUP' then 'INTERDUP_LEFT' when 'DEL' then 'INVDUP_LEFT' else 'INTERDUP_RIGHT' end"
+        )
+        again = self.members.withColumn("sv_type", other).withColumn("cluster_id", F.concat_ws(":", "sv_type", "cluster_id"))
+        return self.members.unionByName(again)
+
     @cached_property
     def barcoded(self) -> DataFrame:
         keys = self.pairs.select(F.col("rid").alias("ev_id"), "l_orderkey")
@@ -106,12 +107,17 @@ class Tables:
         """A span for every gap, and those of the stand-in clusters' regions have names of their own."""
         return self.gaps.select(F.xxhash64("chrom", "start_pos").alias("_"), "chrom", "start_pos", F.expr("end_pos + 2000 as end_pos")).selectExpr("cast(substring(chrom, 4, 1) as bigint) * 10000000 + start_pos as span_id", "chrom", "start_pos", "end_pos").distinct()
 
+    @cached_property
+    def profile(self) -> DataFrame:
+        return store(depth.gc_depth(self.depth, self.windows), "profile")
+
+    @cached_property
+    def libraries(self) -> DataFrame:
+        return self.pairs.select("sample", "library").distinct()
+
     @cached_property
     def scored(self) -> DataFrame:
-        """Observed and expected depth and pairs of the stand-in clusters, by simple stand-ins for the profile."""
-        return self.support.join(self.bounds.select("cluster_id", "sv_type", "inner_start", "outer_end"), "cluster_id").selectExpr(
-            "cluster_id", "sample", "sv_type", "rp + sr as op", "cast(rp + sr as double) * 0.8 + 1 as ep", "(outer_end - inner_start) % 300 + 5 as od", "cast(abs(outer_end) % 200 as double) + 10.5 as ed"
-        )
+        return store(scoring.score_inputs(self.bounds, self.members, self.depth, self.profile, self.windows, self.band, self.libraries), "scored")
 
     @cached_property
     def weights(self) -> DataFrame:
@@ -119,31 +125,36 @@ class Tables:
 
     @cached_property
     def calls(self) -> DataFrame:
-        region = scoring.score_region(self.bounds)
+        region = scoring.call_spans(self.bounds)
         enough = self.members.groupBy("cluster_id").agg(F.count("*").alias("n")).where("n >= 5").select("cluster_id")
         return store(region.join(enough, "cluster_id"), "calls")
 
     @cached_property
     def dna_clips(self) -> DataFrame:
-        """Clips of twelve to twenty bases from every tenth sequence, some with a changed last base."""
+        """Clips of twelve to twenty bases of each sequence, some with a changed last base, a third of the other strand.
+        Sequences lie one after the other, dealt to four chromosomes."""
         text = "concat(substring(seq, 5, 12 + cast(seq_id % 8 as int)), if(seq_id % 20 = 0, 'A', ''))"
-        return self.dna.where("seq_id % 10 = 0").selectExpr("seq_id as clip_id", "seq_id * 64 + 4 as pos", f"{text} as seq")
+        rows = self.dna.selectExpr("seq_id as clip_id", "concat('chr', seq_id % 4 + 1) as chrom", "seq_id * 64 + 4 as pos", f"{text} as seq")
+        return rows.withColumn("seq", F.when(F.col("clip_id") % 3 == 0, reverse_complement(F.col("seq"))).otherwise(F.col("seq")))
 
     @cached_property
     def reference_kmers(self) -> DataFrame:
         """K-mers of a reference made of the sequences in order, without those that span two."""
         found = self.dna.select("seq_id", "seq", F.explode(evidence.kmers(F.col("seq"))).alias("k"))
-        return found.selectExpr("k.kmer", "seq_id * 64 + k.at as at", "substring(seq, k.at + 1, 40) as ref_tail")
+        return found.selectExpr("concat('chr', seq_id % 4 + 1) as chrom", "k.kmer", "seq_id * 64 + k.at as at", "substring(seq, k.at + 1, 40) as ref_tail")
 
     @cached_property
     def hits(self) -> DataFrame:
         seeded = evidence.seed_join(self.dna_clips, self.reference_kmers).withColumn("ref_seq", F.expr("substring(ref_tail, 1, length(seq))"))
-        return evidence.verify(seeded).select("clip_id", "pos", "seq", "at", "mismatches")
+        return evidence.verify(seeded).select("clip_id", "pos", "hit_or", "at", "mismatches")
 
     @cached_property
     def split_hits(self) -> DataFrame:
-        """A hit of the clip of every read of odd edit distance, placed by its mate."""
-        return self.pairs.where("edit % 2 = 1").selectExpr("rid as clip_id", "chrom", "pos1 as pos", "pos2 - 700 as hit_pos", "or2 as hit_or", "if(mapq % 2 = 0, 'HEAD', 'TAIL') as clip_side")
+        """A hit of the clip of every read, placed by its mate: at either side of the read and on both strands."""
+        return self.pairs.selectExpr(
+            "rid as clip_id", "chrom", "pos1 as pos", "if(edit % 2 = 1, pos2 - 700, pos2 + 40) as hit_pos", "or2 as hit_or", "if(mapq % 2 = 0, 'HEAD', 'TAIL') as clip_side",
+            "mapq as qual", "edit * 6 as hit_mapq", "11 + edit as clip_len",
+        )
 
     @cached_property
     def reads(self) -> DataFrame:
@@ -155,4 +166,4 @@ class Tables:
     def xa(self) -> DataFrame:
         """Left mates with two alternative places in the tag."""
         text = "concat(chrom, ',+', pos + 51, ',100M,', nm, ';', 'chr', cast(pos % 4 + 1 as int), ',-', pos + 701, ',100M,', nm + 1, ';')"
-        return self.alignments.where("isize > 0 and rid % 20 = 0").selectExpr("read_name", "chrom", "pos", "nm", f"{text} as xa")
+        return self.alignments.where("isize > 0").selectExpr("read_name", "chrom", "pos", "nm", f"{text} as xa")

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from helixlake.constants import MAX_CALLS, Params
 from helixlake.functions import sequence as s
 from helixlake.functions.likelihood import log_poisson
 from helixlake.jobs.tables import Tables
-from helixlake.operators import clusters, depth, evidence, reads, scoring, vcf
+from helixlake.operators import calling, clusters, depth, evidence, reads, scoring, vcf
 from helixlake.operators.ranges import overlap_filter, overlap_join
-from helixlake.sources import text
+from helixlake.sources import files, fixtures, text
+from helixlake.stored import scratch_dir
 
 P = Params()
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -286,26 +288,24 @@ def ref_upper(t: Tables) -> DataFrame:
 
 @query
 def ref_subsequence(t: Tables) -> DataFrame:
-    """Bases [start, end) over chunks of 64: the chunks that a span touches, put together."""
-    spans = t.dna.where("seq_id % 11 = 0").selectExpr("seq_id as span_id", "seq_id * 64 + 30 as start_pos", "seq_id * 64 + 120 as end_pos")
-    chunk = spans.select("*", F.explode(F.expr("sequence(cast(floor(start_pos / 64) as bigint), cast(floor((end_pos - 1) / 64) as bigint))")).alias("seq_id"))
-    joined = chunk.join(t.dna, "seq_id").groupBy("span_id", "start_pos", "end_pos").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq_id", "seq"))), lambda x: x["seq"]), "").alias("all"))
-    return joined.select("span_id", F.expr("substring(all, cast(start_pos % 64 + 1 as int), cast(end_pos - start_pos as int))").alias("seq"))
+    """Bases [start, end) over pages of 64."""
+    spans = t.dna.selectExpr("seq_id as span_id", "'all' as chrom", "seq_id * 64 + 30 as start_pos", "seq_id * 64 + 120 as end_pos")
+    return files.subsequences(spans, t.dna.selectExpr("'all' as chrom", "seq_id * 64 as start_pos", "seq"), 64)
 
 
 @query
 def kmer_seed_join(t: Tables) -> DataFrame:
-    return evidence.seed_join(t.dna_clips, t.reference_kmers).select("clip_id", "pos", "at")
+    return evidence.seed_join(t.dna_clips, t.reference_kmers).select("clip_id", "pos", "hit_or", "at")
 
 
 @query
 def seed_verify(t: Tables) -> DataFrame:
-    return t.hits.select("clip_id", "at", "mismatches")
+    return t.hits.select("clip_id", "hit_or", "at", "mismatches")
 
 
 @query
 def hit_cap(t: Tables) -> DataFrame:
-    return evidence.hit_cap(t.hits).select("clip_id", "at", "hits", "hit_mapq")
+    return evidence.hit_cap(t.hits).select("clip_id", "hit_or", "at", "hits", "hit_mapq")
 
 
 @query
@@ -339,7 +339,7 @@ def _fastq(t: Tables, mate: int) -> DataFrame:
 @query
 def discordant_fastq(t: Tables) -> DataFrame:
     """Records of discordant reads, reverse strands turned back."""
-    seq = t.evidence.join(t.dna, F.expr("seq_id = ev_id % 200")).select("read_name", "l_or", "seq")
+    seq = t.evidence.join(t.dna, F.expr("seq_id = ev_id % 2000")).select("read_name", "l_or", "seq")
     return seq.select(F.concat(F.lit("@"), "read_name").alias("name"), F.when(F.col("l_or") == "R", s.reverse_complement(F.col("seq"))).otherwise(F.col("seq")).alias("seq"))
 
 
@@ -349,8 +349,18 @@ def fastq_pair_join(t: Tables) -> DataFrame:
 
 
 def _records(t: Tables) -> DataFrame:
-    sums = t.support.groupBy("cluster_id").agg(F.sum("rp").alias("rp"))
-    return vcf.records(t.bounds.join(sums, "cluster_id"))
+    """The stand-in clusters, refined by their split reads, with genotypes by the profile; every seventh's deletion is of a
+    mobile element, and insertions of one and duplications stand beside them."""
+    support = scoring.cluster_support(t.sided)
+    ends = calling.refined_ends(scoring.cluster_bounds(t.sided), t.sided, support)
+    ends = ends.where("coalesce(inner_start + outer_start + inner_end + outer_end, -1) >= 0")  # regions with reads of both strands
+    genotypes = scoring.genotype_likelihood(t.scored).select("cluster_id", "sample", "zygosity", "score")
+    again = t.sided.select("cluster_id", F.expr("regexp_replace(cluster_id, '^[A-Z]+_[A-Z]+:', '')").alias("plain")).distinct()
+    genotypes = again.join(genotypes.withColumnRenamed("cluster_id", "plain"), "plain").drop("plain")
+    element = F.expr("case when sv_type = 'MEI_F' or sv_type = 'DEL' and outer_start % 7 = 0 then 'SINE/Alu' end")
+    length = F.expr("case when sv_type = 'MEI_F' and outer_start % 2 = 0 then 300 end")
+    calls = calling.with_samples(ends, support, genotypes).withColumns({"element": element, "element_length": length, "filtered": F.col("outer_start") % 5 == 0})
+    return vcf.records(calls.withColumn("ref", F.lit(None).cast("string")))
 
 
 @query
@@ -373,7 +383,7 @@ def _entries(t: Tables) -> DataFrame:
 
 
 def _primary(t: Tables, side: str) -> DataFrame:
-    return t.alignments.where(f"isize {side} 0 and rid % 20 = 0").selectExpr("read_name", "chrom", "pos", "if(flag & 16 = 0, 'F', 'R') as or", "nm")
+    return t.alignments.where(f"isize {side} 0").selectExpr("read_name", "chrom", "pos", "if(flag & 16 = 0, 'F', 'R') as or", "nm")
 
 
 def _alternatives(t: Tables) -> DataFrame:
@@ -432,8 +442,50 @@ def split_orientation(t: Tables) -> DataFrame:
     return evidence.split_orientation(t.split_hits).select("clip_id", "split_class")
 
 
+@query
+def split_accept(t: Tables) -> DataFrame:
+    return evidence.split_accept(t.split_hits, t.satellites).select("clip_id", "l_start", "l_end", "r_start", "r_end")
+
+
+@query
+def usable_clips(t: Tables) -> DataFrame:
+    clips = evidence.softclip_candidates(t.reads).selectExpr("*", "if(clip_side = 'HEAD', pos, pos + 100 - clip_len) as brk", "mapq as avg_phred")
+    near = evidence.softclip_neighbours(_histogram(t)).select("chrom", "brk", "neighbours")
+    return evidence.usable_clips(clips.join(near, ["chrom", "brk"])).select("read_name", "pos", "brk", "neighbours")
+
+
+@query
+def chromosome_range(t: Tables) -> DataFrame:
+    named = t.alignments.selectExpr("read_name", "pos", "if(rid % 9 = 0, concat(chrom, '_GL000220'), chrom) as chrom")
+    return reads.chromosome_range(named, ["chr1", "chr2", "chr3", "chr4"], "chr2", "chr3")
+
+
+@query
+def library_validity(t: Tables) -> DataFrame:
+    odd = t.band.withColumn("conc_min", F.expr("if(library = 'lib1', -1, conc_min)"))
+    return reads.valid_libraries(odd).select("library", "conc_max")
+
+
+@query
+def chromosome_names(t: Tables) -> DataFrame:
+    other = t.repeats.selectExpr("if(mei_code = 0, concat('chr', substring(chrom, 4)), substring(chrom, 4)) as name").distinct()
+    return reads.named_alike(t.alignments.select("chrom").distinct(), other)
+
+
+@query
+def mei_ends(t: Tables) -> DataFrame:
+    return t.reads.select("read_name", "pos", (F.col("pos") + s.soft_clipped(F.col("cigar"))).alias("pos_end"))
+
+
+@query
+def numt_ends(t: Tables) -> DataFrame:
+    start, end = reads.clipped_ends(F.col("pos"), F.col("cigar"))
+    return t.reads.select("read_name", "pos", start.alias("start_pos"), end.alias("end_pos"))
+
+
 def _clustered(t: Tables, kind: str, both: bool = False) -> DataFrame:
-    return clusters.cluster(clusters.shapes(t.evidence.where(F.col("sv_type") == kind)), both, between=both)
+    found = clusters.cluster(clusters.shapes(t.evidence.where(F.col("sv_type") == kind)), both, between=both)
+    return found.select("chrom", "sv_type", "left_brk", "ev_id", F.count("*").over(Window.partitionBy("cluster_id")).alias("size"))
 
 
 @query
@@ -456,20 +508,27 @@ def cluster_inv(t: Tables) -> DataFrame:
     return _clustered(t, "INV", both=True)
 
 
-def _region(t: Tables, kind: str) -> DataFrame:
-    """Every row of evidence stands for one-ended evidence of the kind."""
-    rows = t.evidence.selectExpr("ev_id", "chrom", f"'{kind}' as sv_type", "l_start as pos", "l_end as pos_end", "l_or as or", "max_delta", "conc_max")
-    return clusters.cluster(clusters.region_shapes(rows), both_sides=False, least=3 if kind == "MEI" else 2)
+def _region(rows: DataFrame, t: Tables, least: int, length: int, further: int) -> DataFrame:
+    """rows: ev_id, chrom, sv_type (the type of the forward reads), pos, or, library. A forward read reaches from `length`
+    bases after its start to its library's window and `further` bases more."""
+    wide = rows.join(F.broadcast(t.band.select("library", (F.col("max_delta") + further).alias("max_delta"), "conc_max")), "library").withColumn("pos_end", F.col("pos") + length)
+    found = clusters.regions(wide, least)
+    return found.select("chrom", "sv_type", "left_brk", "ev_id", F.count("*").over(Window.partitionBy("cluster_id")).alias("size"))
 
 
 @query
 def cluster_mei(t: Tables) -> DataFrame:
-    return _region(t, "MEI")
+    """Of every read whose mate lies in a mobile element."""
+    rows = reads.mei(t.alignments.where("mapq > 5"), t.elements)
+    own = "if(flag & 16 = 0, 'F', 'R')"
+    return _region(rows.selectExpr("rid * 2 + if(isize > 0, 0, 1) as ev_id", "chrom", f"concat('MEI', mei_type ^ if({own} = 'R', 1, 0)) as sv_type", "pos", f"{own} as or", "library"), t, 2, 0, 0)
 
 
 @query
 def cluster_numt(t: Tables) -> DataFrame:
-    return _region(t, "NUMT")
+    rows = reads.numt(t.mates)
+    own = "if(flag & 16 = 0, 'F', 'R')"
+    return _region(rows.selectExpr("rid * 2 + if(isize > 0, 0, 1) as ev_id", "chrom", f"concat('NUMT', if(numt_type = 'R', 1, 0) ^ if({own} = 'R', 1, 0)) as sv_type", "pos", f"{own} as or", "library"), t, 0, 100, 200)
 
 
 def _duplications(t: Tables, kind: str) -> DataFrame:
@@ -540,7 +599,7 @@ def read_cluster_edges(t: Tables) -> DataFrame:
 
 @query
 def cluster_bounds(t: Tables) -> DataFrame:
-    return t.bounds
+    return scoring.cluster_bounds(t.sided)
 
 
 @query
@@ -565,7 +624,7 @@ def del_length_bounds(t: Tables) -> DataFrame:
 
 @query
 def score_region(t: Tables) -> DataFrame:
-    return scoring.score_region(t.bounds)
+    return scoring.score_region(scoring.cluster_bounds(t.sided))
 
 
 @query
@@ -577,6 +636,28 @@ def log_poisson_score(t: Tables) -> DataFrame:
 QUERIES["log_poisson"] = QUERIES.pop("log_poisson_score")
 
 
+@query
+def score_inputs(t: Tables) -> DataFrame:
+    return t.scored.select("cluster_id", "sample", "sv_type", "op", "od", F.round("ep", 5).alias("ep"), F.round("ed", 5).alias("ed"))
+
+
+@query
+def expected_pairs(t: Tables) -> DataFrame:
+    return scoring.long_inserts(t.band).select("library", F.round("spanning", 6).alias("spanning"))
+
+
+@query
+def genome_depth(t: Tables) -> DataFrame:
+    """Mean depth and GC profile over all chromosomes together."""
+    whole = t.profile.join(t.windows.groupBy("chrom", "gc").agg(F.count("*").alias("windows")), ["chrom", "gc"])
+    return whole.groupBy("sample", "gc").agg(F.round(F.sum(F.col("mean_rd") * F.col("windows")) / F.sum("windows"), 9).alias("mean_rd"))
+
+
+@query
+def widest_delta(t: Tables) -> DataFrame:
+    return t.band.agg(F.max("max_delta").alias("max_delta"))
+
+
 @query
 def genotype_likelihood(t: Tables) -> DataFrame:
     return scoring.genotype_likelihood(t.scored).withColumn("score", F.round("score", 5))
@@ -621,7 +702,7 @@ def breakpoint_votes(t: Tables) -> DataFrame:
 @query
 def refine_breakpoints(t: Tables) -> DataFrame:
     rough = t.members.withColumn("l_end", F.col("l_end") - F.col("l_end") % 1000).withColumn("r_start", F.col("r_start") - F.col("r_start") % 1000)
-    return scoring.refine(scoring.breakpoint_votes(rough), t.support)
+    return scoring.refine(scoring.breakpoint_votes(rough), t.support, t.bounds.select("cluster_id", "sv_type"))
 
 
 @query
@@ -642,4 +723,78 @@ def call_limit(t: Tables) -> DataFrame:
 
 @query
 def set_cover(t: Tables) -> DataFrame:
-    return scoring.set_cover(t.calls, t.members, t.weights)
+    return scoring.set_cover(t.bounds, t.members, t.scored, t.elements)
+
+
+@query
+def call_variants(t: Tables) -> DataFrame:
+    """From alignments to records: the whole run."""
+    calls = calling.call_variants(t.alignments, t.satellites, t.gaps, t.elements, t.windows)
+    return vcf.records(calls).withColumn("size", F.regexp_extract("info", "SVLEN=(-?[0-9]+)", 1).cast("int"))
+
+
+def _kept(t: Tables, df: DataFrame, name: str, **options: str) -> str:
+    """Writes lines as a text file in the shared folder, for a reader."""
+    path = f"{scratch_dir(t.spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.options(**options).text(path)
+    return path
+
+
+def _sam_rows(t: Tables) -> DataFrame:
+    seq = F.translate(F.md5(F.col("read_name").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
+    return t.mates.withColumns({"cigar": F.lit("32M"), "seq": seq, "quals": F.translate(seq, "ACGT", "I5#!")})
+
+
+@query
+def sam_reader(t: Tables) -> DataFrame:
+    header = t.libraries.groupBy("library").agg(F.min("sample").alias("sample")).select(F.concat(F.lit("@RG\tID:"), "library", F.lit("\tSM:"), "sample").alias("value"))
+    path = _kept(t, header.unionByName(files.sam_lines(_sam_rows(t))).coalesce(1), "sam")
+    return files.sam(t.spark, path).select("read_name", "flag", "chrom", "pos", "mapq", "mate_chrom", "mate_pos", "isize", "library", "sample", "nm", "seq", F.element_at("base_quals", 1).alias("first_quality"))
+
+
+@query
+def fasta_reader(t: Tables) -> DataFrame:
+    rows = t.dna.selectExpr("seq_id", "explode(array(struct(0 as k, concat('>s', seq_id, ' of the fixture') as value), struct(1 as k, lower(substring(seq, 1, 40)) as value), struct(2 as k, substring(seq, 41, 24) as value))) as l")
+    path = _kept(t, rows.select("seq_id", "l.k", "l.value").repartitionByRange(4, "seq_id").sortWithinPartitions("seq_id", "k").select("value"), "fasta")
+    return files.fasta(t.spark, path, width=25)
+
+
+@query
+def fastq_reader(t: Tables) -> DataFrame:
+    rows = _fastq(t, 1).repartitionByRange(4, "file").sortWithinPartitions("file", "line_no").select(F.col("line").alias("value"))
+    return files.fastq_files(t.spark, _kept(t, rows, "fastq", compression="gzip")).select("qname", "seq", "qual")
+
+
+@query
+def bed_reader(t: Tables) -> DataFrame:
+    rows = t.gaps.select(F.concat_ws("\t", "chrom", "start_pos", "end_pos", F.lit("gap")).alias("value"))
+    head = t.spark.createDataFrame([("track name=gaps",), ("# gaps",)], "value string")
+    return files.bed(t.spark, _kept(t, head.unionByName(rows), "bed"))
+
+
+@query
+def repeat_masker_reader(t: Tables) -> DataFrame:
+    """repeats as the table of a masker, and read back."""
+    f = ["463", "1.3", "0.6", "1.7", "chrom", "start_pos + 1", "end_pos", "'(0)'", "if(strand = '-', 'C', '+')", "concat(substring_index(repeat_class, '/', -1), 'x')", "repeat_class", "1", "9", "'(0)'", "7"]
+    rows = t.repeats.selectExpr(f"concat('  ', concat_ws('  ', {', '.join(f)})) as value")
+    head = t.spark.createDataFrame([("   SW  perc perc",), ("score  div. del.",), ("",)], "value string")
+    return files.repeat_masker(t.spark, _kept(t, head.unionByName(rows), "masker"))
+
+
+@query
+def input_list(t: Tables) -> DataFrame:
+    rows = fixtures.table(t.spark, t.sf_dir, "nation").selectExpr("concat(n_name, '.bam, ', n_regionkey, '.bam,') as value")
+    return files.input_paths(t.spark.read.text(_kept(t, rows, "inputs")))
+
+
+@query
+def cluster_dump(t: Tables) -> DataFrame:
+    """Lines of the debugging dump of clusters."""
+    order = F.array_sort(F.collect_list(F.struct("edit", "ev_id", "read_name")))
+    rows = t.members.groupBy("cluster_id", "chrom", "sv_type").agg(order.alias("m"))
+    return rows.select(F.concat_ws(" ", "chrom", "sv_type", "cluster_id", F.size("m"), F.array_join(F.transform("m", lambda x: x["read_name"]), " ")).alias("line"))
+
+
+@query
+def read_name_dump(t: Tables) -> DataFrame:
+    return evidence.unique_reads([t.evidence, reads.numt(t.mates)]).agg(F.count("*").alias("n"), F.min("read_name").alias("first_name"), F.max("read_name").alias("last_name"))

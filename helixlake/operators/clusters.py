@@ -135,6 +135,16 @@ def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2, between
     return members.join(enough, "cluster_id")
 
 
+def regions(rows: DataFrame, least: int) -> DataFrame:
+    """Clusters of insertion regions: maximal sets of reads whose reaches share a place, with more than `least` of either
+    strand. rows: see region_shapes; sv_type is the one of the forward reads, so that reverse reads of the complementary
+    type meet them."""
+    members = cluster(region_shapes(rows), least=2)
+    sided = members.join(rows.select("ev_id", "or").distinct(), "ev_id")
+    counts = sided.groupBy("cluster_id").agg(F.count_if(F.col("or") == "F").alias("_f"), F.count_if(F.col("or") == "R").alias("_r"))
+    return members.join(counts.where((F.col("_f") > least) & (F.col("_r") > least)).select("cluster_id"), "cluster_id")
+
+
 def clonal_dedup(members: DataFrame) -> DataFrame:
     """One mapping for each read name in a cluster, and one row for each (l_end, r_start, edit): PCR copies count once."""
     by_name = Window.partitionBy("cluster_id", "read_name").orderBy("edit", "l_end", "r_start", "ev_id")

@@ -40,6 +40,7 @@ def gc_depth(depth: DataFrame, windows: DataFrame) -> DataFrame:
 def observed_depth(spans: DataFrame, depth: DataFrame, tile: int = 10_000) -> DataFrame:
     """Depth in [start_pos, end_pos) of every span and sample, by prefix sums: within tiles, on top of the tiles before, so
     no chromosome is summed up in one task and no span meets each of its positions."""
+    kind = depth.schema["n"].dataType
     tiled = depth.withColumn("tile", F.floor(F.col("pos") / tile))
     totals = tiled.groupBy("sample", "chrom", "tile").agg(F.sum("n").alias("t"))
     before = Window.partitionBy("sample", "chrom").orderBy("tile").rowsBetween(Window.unboundedPreceding, -1)
@@ -48,8 +49,8 @@ def observed_depth(spans: DataFrame, depth: DataFrame, tile: int = 10_000) -> Da
     ends = spans.select("span_id", "chrom", F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("start_pos").alias("at")), F.struct(F.lit(1).alias("sign"), F.col("end_pos").alias("at")))).alias("e"))
     ends = ends.crossJoin(F.broadcast(samples)).select("span_id", "chrom", "sample", "e.sign", "e.at")  # a row for each sample
     # A position event: 0 for depth, 1 for the end of a span; depth at the end itself doesn't count.
-    events = tiled.select("sample", "chrom", "tile", F.col("pos").alias("at"), F.lit(1).alias("kind"), "n", F.lit(None).cast("long").alias("span_id"), F.lit(0).alias("sign"))
-    events = events.unionByName(ends.select("sample", "chrom", F.floor(F.col("at") / tile).alias("tile"), "at", F.lit(0).alias("kind"), F.lit(0).cast("long").alias("n"), F.col("span_id").cast("long"), "sign"))
+    events = tiled.select("sample", "chrom", "tile", F.col("pos").alias("at"), F.lit(1).alias("kind"), F.col("n").cast(kind).alias("n"), F.lit(None).cast(spans.schema["span_id"].dataType).alias("span_id"), F.lit(0).alias("sign"))
+    events = events.unionByName(ends.select("sample", "chrom", F.floor(F.col("at") / tile).alias("tile"), "at", F.lit(0).alias("kind"), F.lit(0).cast(kind).alias("n"), "span_id", "sign"))
     upto = Window.partitionBy("sample", "chrom", "tile").orderBy("at", "kind").rowsBetween(Window.unboundedPreceding, 0)
     summed = events.withColumn("inside", F.sum("n").over(upto)).where("kind = 0")
     # Of tiles without depth the last before them knows the sum.
@@ -63,8 +64,14 @@ def observed_depth(spans: DataFrame, depth: DataFrame, tile: int = 10_000) -> Da
 
 
 def expected_depth(spans: DataFrame, profile: DataFrame, windows: DataFrame) -> DataFrame:
-    """Sum over the grid windows that start in [start_pos, end_pos) of the profile at their GC, a window's bases each."""
-    by_window = windows.join(profile, ["chrom", "gc"]).select("sample", "chrom", "start_pos", (F.col("mean_rd") * GC_WINDOW).alias("e"))
-    first, last = F.ceil(F.col("start_pos") / GC_WINDOW), F.ceil(F.col("end_pos") / GC_WINDOW) - 1
-    touched = spans.where(first <= last).select("span_id", "chrom", F.explode(F.sequence(first, last)).alias("w")).select("span_id", "chrom", (F.col("w") * GC_WINDOW).alias("start_pos"))
-    return touched.join(by_window, ["chrom", "start_pos"]).groupBy("span_id", "sample").agg(F.round(F.sum("e"), 6).alias("expected_rd"))
+    """Sum over the bases in [start_pos, end_pos) of the profile at the GC of their grid window: whole windows by prefix
+    sums, and at both ends the bases of the window that the end lies in."""
+    rates = windows.join(profile, ["chrom", "gc"]).select("sample", "chrom", "start_pos", "mean_rd")
+    down = lambda c: F.floor(F.col(c) / GC_WINDOW) * GC_WINDOW
+    whole = spans.select("span_id", "chrom", down("start_pos").alias("start_pos"), down("end_pos").alias("end_pos"))
+    sums = observed_depth(whole, rates.select("sample", "chrom", F.col("start_pos").alias("pos"), (F.col("mean_rd") * GC_WINDOW).alias("n")))
+    ends = F.array(*[F.struct(F.lit(sign).alias("sign"), F.col(c).alias("at")) for sign, c in ((-1, "start_pos"), (1, "end_pos"))])
+    ends = spans.select("span_id", "chrom", F.explode(ends).alias("e")).select("span_id", "chrom", (F.floor(F.col("e.at") / GC_WINDOW) * GC_WINDOW).alias("start_pos"), (F.col("e.sign") * F.pmod("e.at", F.lit(GC_WINDOW))).alias("bases"))
+    parts = ends.join(rates, ["chrom", "start_pos"]).select("span_id", "sample", (F.col("bases") * F.col("mean_rd")).alias("e"))
+    both = sums.select("span_id", "sample", F.col("observed_rd").alias("e")).unionByName(parts)
+    return both.groupBy("span_id", "sample").agg(F.round(F.sum("e"), 6).alias("expected_rd"))

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixlake.constants import CLIP_WINDOW, KMER_CAP, MAX_CIGAR_OPS, MAX_HITS, MIN_SOFT_CLIP, MISMATCH_SHARE, SEED_BAND, SPAN_CAPS, Params
-from helixlake.functions.sequence import cigar_ops, hamming, kmer_valid, kmers
-from helixlake.operators.ranges import overlap_filter
+from helixlake.constants import CLIP_WINDOW, KMER, KMER_CAP, MAX_CIGAR_OPS, MAX_HITS, MIN_SOFT_CLIP, MISMATCH_SHARE, SEED_BAND, SPAN_CAPS, Params
+from helixlake.functions.sequence import cigar_ops, hamming, kmer_valid, kmers, reverse_complement
+from helixlake.operators.ranges import free_name, overlap_filter
+from helixlake.stored import store
 
 P = Params()
 
@@ -67,34 +68,54 @@ def kmer_counts(sequences: DataFrame) -> DataFrame:
 
 
 def seed_join(clips: DataFrame, reference: DataFrame) -> DataFrame:
-    """Places of each clip's first k-mer in the reference within the band. clips: clip_id, pos, seq; reference: chrom-wide
-    positions `at` of k-mers, and the sequence from there on."""
-    seeds = clips.withColumn("kmer", F.substring("seq", 1, 10)).where(kmer_valid(F.col("kmer")))
-    return seeds.join(reference, "kmer").where(F.abs(F.col("at") - F.col("pos")) < SEED_BAND)
+    """Places of each clip's first k-mer, and of its reverse complement's, in its chromosome within the band. K-mers at the
+    cap or above have no places. clips: clip_id, chrom, pos, seq; reference: chrom, kmer, at. Adds hit_or and probe, the
+    sequence that lies at the place."""
+    counts = reference.groupBy("chrom", "kmer").agg(F.count("*").alias("_n")).where(F.col("_n") >= KMER_CAP).select("chrom", "kmer")
+    ways = F.array(F.struct(F.lit("F").alias("hit_or"), F.col("seq").alias("probe")), F.struct(F.lit("R").alias("hit_or"), reverse_complement(F.col("seq")).alias("probe")))
+    seeds = clips.withColumn("_w", F.explode(ways)).select(*clips.columns, "_w.hit_or", "_w.probe").withColumn("kmer", F.substring("probe", 1, KMER)).where(kmer_valid(F.col("kmer")))
+    rare = reference.join(counts, ["chrom", "kmer"], "left_anti")
+    return seeds.join(rare, ["chrom", "kmer"]).where(F.abs(F.col("at") - F.col("pos")) < SEED_BAND)
 
 
 def verify(seeded: DataFrame) -> DataFrame:
     """Seeds whose whole clip differs from the reference in at most five in a hundred bases."""
-    distance = hamming(F.col("seq"), F.col("ref_seq"))
+    distance = hamming(F.col("probe"), F.col("ref_seq"))
     kept = seeded.where(F.length("seq") == F.length("ref_seq")).withColumn("mismatches", distance)
     return kept.where(F.col("mismatches") <= F.floor(F.length("seq") * MISMATCH_SHARE))
 
 
 def hit_cap(hits: DataFrame) -> DataFrame:
-    """Clips with fewer than MAX_HITS hits keep them, with a mapping quality of sixty shared among them."""
+    """Clips with fewer than MAX_HITS hits on both strands together keep them, with a mapping quality of sixty shared among them."""
     counts = hits.groupBy("clip_id").agg(F.count("*").alias("hits")).where(F.col("hits") < MAX_HITS)
     return hits.join(counts, "clip_id").withColumn("hit_mapq", F.floor(60 / F.col("hits")).cast("int"))
 
 
-SPLIT_CLASS = """case when hit_or = 'R' then case when clip_side = 'HEAD' then case when hit_pos < pos then 'RFBA' else 'FRAB' end
-    else case when hit_pos < pos then 'RFAB' else 'FRBA' end end
-  when clip_side = 'TAIL' then case when hit_pos > pos then 'FFAB' else 'FFBA' end
-  else case when hit_pos < pos then 'FFAB' else 'FFBA' end end"""
+SPLIT_CLASS = """case
+  when hit_or = 'F' and (clip_side = 'TAIL' and pos < hit_pos or clip_side = 'HEAD' and hit_pos < pos) then 'FFAB'
+  when hit_or = 'F' and (clip_side = 'TAIL' and hit_pos < pos or clip_side = 'HEAD' and pos < hit_pos) then 'FFBA'
+  when hit_or = 'R' and clip_side = 'TAIL' and pos < hit_pos then 'FRAB' when hit_or = 'R' and clip_side = 'HEAD' and hit_pos < pos then 'RFAB'
+  when hit_or = 'R' and clip_side = 'TAIL' and hit_pos < pos then 'RFBA' when hit_or = 'R' and clip_side = 'HEAD' and pos < hit_pos then 'FRBA' end"""
+
+
+def split_accept(hits: DataFrame, satellites: DataFrame, p: Params = P) -> DataFrame:
+    """Hits of split reads with both qualities, both places inside the chromosome, no satellite at either, and one part
+    wholly before the other. Adds l_start, l_end, r_start, r_end. Needs qual, hit_mapq, pos, hit_pos, clip_len."""
+    rows = hits.where((F.col("qual") > p.mapq) & (F.col("hit_mapq") > 0) & (F.least("pos", "hit_pos") > 0) & (F.greatest("pos", "hit_pos") < p.chrom_length))
+    first = F.col("pos") < F.col("hit_pos")
+    kept, clipped = p.read_length - F.col("clip_len"), F.col("clip_len")
+    rows = rows.withColumn("l_start", F.least("pos", "hit_pos")).withColumn("r_start", F.greatest("pos", "hit_pos"))
+    rows = rows.withColumn("l_end", F.col("l_start") + F.when(first, kept).otherwise(clipped)).withColumn("r_end", F.col("r_start") + F.when(first, clipped).otherwise(kept))
+    rows = rows.where("l_end < r_start and pos <> hit_pos")
+    for at in ("pos", "hit_pos"):
+        end = free_name(rows.columns, f"{at}_end")
+        rows = overlap_filter(rows.withColumn(end, F.col(at) + 1), satellites, (at, end), ("start_pos", "end_pos"), anti=True).drop(end)
+    return rows
 
 
 def split_orientation(hits: DataFrame) -> DataFrame:
-    """Class from the clip's side, the hit's strand and which comes first."""
-    return hits.withColumn("split_class", F.expr(SPLIT_CLASS))
+    """Class from the clip's side, the hit's strand and which comes first; hits at the read's own place have none."""
+    return hits.withColumn("split_class", F.expr(SPLIT_CLASS)).where("split_class is not null")
 
 
 def split_fanout(hits: DataFrame) -> DataFrame:
@@ -141,15 +162,21 @@ def unique_reads(parts: list[DataFrame]) -> DataFrame:
     return names.distinct()
 
 
-def read_ids(names: DataFrame, buckets: int = 64) -> DataFrame:
-    """Dense numbers from 0 in the order of names, counted by the first bytes of their hash order: names sort within ranges
-    of equal beginnings, on top of the counts of the ranges before."""
-    keyed = names.withColumn("_head", F.substring("read_name", 1, 3))
-    counts = keyed.groupBy("_head").agg(F.count("*").alias("_n"))
-    before = F.sum("_n").over(Window.orderBy("_head").rowsBetween(Window.unboundedPreceding, -1))
-    starts = counts.select("_head", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each beginning
-    inside = F.row_number().over(Window.partitionBy("_head").orderBy("read_name")) - 1
-    return keyed.withColumn("_inside", inside).join(starts, "_head").select("read_name", (F.col("_start") + F.col("_inside")).alias("read_id"))
+def read_ids(names: DataFrame, ranges: int = 256) -> DataFrame:
+    """Dense numbers from 0 in the order of names. Names are dealt to ranges of about equal size, whatever beginnings they
+    share, and numbered within a range on top of the counts of the ranges before."""
+    dealt = store(names.repartitionByRange(ranges, "read_name").withColumn("_range", F.spark_partition_id()), "ranges")
+    counts = dealt.groupBy("_range").agg(F.count("*").alias("_n"))
+    before = F.sum("_n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1))
+    starts = counts.select("_range", F.coalesce(before, F.lit(0)).alias("_start"))  # a row for each range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy("read_name")) - 1
+    return dealt.withColumn("_inside", inside).join(F.broadcast(starts), "_range").select("read_name", (F.col("_start") + F.col("_inside")).alias("read_id"))
+
+
+def usable_clips(clips: DataFrame, least_quality: int = P.mapq) -> DataFrame:
+    """Soft clips of good mean quality near whose breakpoint there are some others, but not very many. Needs avg_phred and
+    neighbours."""
+    return clips.where((F.col("avg_phred") > least_quality) & (F.col("neighbours") > 1) & (F.col("neighbours") < 100))
 
 
 def read_name_stats(evidence: DataFrame) -> DataFrame:

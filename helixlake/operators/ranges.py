@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from helixlake.stored import store
 
 
+def free_name(taken: list[str], name: str) -> str:
+    """A column name like `name` that none of `taken` is, whatever the case of its letters."""
+    lower = {t.lower() for t in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def _bins(start: Column, end: Column, width: int) -> Column:
     return F.explode(F.sequence(F.floor(start / width), F.floor(F.greatest(start, end) / width)))
 
@@ -16,6 +24,8 @@ def overlap_join(left: DataFrame, right: DataFrame, left_ends: tuple[str, str],
     """All pairs of rows on one chrom whose closed intervals overlap. Both sides are dealt to the bins that they touch; a
     pair counts in the bin where its later start lies, so once. The right side's columns get the prefix `r_`."""
     names = right_columns or [c for c in right.columns if c != "chrom"]
+    if clash := {f"r_{c}".lower() for c in {*names, *right_ends}} & {c.lower() for c in left.columns}:
+        raise ValueError(f"left has columns of the names that right's get: {sorted(clash)}")
     ls, le = (F.col(c) for c in left_ends)
     rs, re = (F.col(f"r_{c}") for c in right_ends)
     r = right.select("chrom", *[F.col(c).alias(f"r_{c}") for c in {*names, *right_ends}]).withColumn("_bin", _bins(rs, re, width))
@@ -29,7 +39,10 @@ def overlap_filter(left: DataFrame, right: DataFrame, left_ends: tuple[str, str]
     """Rows of left that overlap some row of right, or with anti none, whatever their length. Each row asks three tables and
     is never multiplied: the spans in the bins of its two ends, and whether right fills some bin between those. Positions
     are of 32 bits."""
-    ls, le = (F.col(c) for c in left_ends)
+    # Left's own columns travel in one struct, so that none of them can clash.
+    columns = left.columns
+    left = left.select("chrom", F.col(left_ends[0]).alias("_ls"), F.col(left_ends[1]).alias("_le"), F.struct(*[F.col(f"`{c}`") for c in columns]).alias("_left"))
+    ls, le = F.col("_ls"), F.col("_le")
     spans = right.select("chrom", F.col(right_ends[0]).alias("_rs"), F.col(right_ends[1]).alias("_re")).distinct()
     spans = spans.withColumn("_bin", _bins(F.col("_rs"), F.col("_re"), width)).groupBy("chrom", "_bin").agg(F.collect_set(F.struct("_rs", "_re")).alias("_spans"))
     first = spans.select("chrom", F.col("_bin").alias("_b1"), F.col("_spans").alias("_s1"))
@@ -51,7 +64,7 @@ def overlap_filter(left: DataFrame, right: DataFrame, left_ends: tuple[str, str]
     hit = F.coalesce((F.col("_last") >= F.col("_from")) | (F.col("_next") <= F.col("_to")), F.lit(False))
     for c in ("_s1", "_s2"):
         hit = hit | F.coalesce(F.exists(c, lambda s: (ls <= s["_re"]) & (s["_rs"] <= le)), F.lit(False))
-    return joined.where(~hit if anti else hit).select(*left.columns)
+    return joined.where(~hit if anti else hit).select(*[F.col(f"_left.`{c}`") for c in columns])
 
 
 def islands(df: DataFrame, keys: list[str], start: str, stop: str, tile: int = 100_000) -> DataFrame:

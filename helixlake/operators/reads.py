@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.constants import BAND_SIGMAS, FRAGMENT_SAMPLE, MAX_INVERSION, MEI_DISTANCE, MIN_INSERT, PROPER_MASK, Params
+from helixlake.functions.sequence import cigar_ops
 from helixlake.operators.ranges import overlap_filter, overlap_join
 
 P = Params()
@@ -131,9 +132,28 @@ def mate_join(alignments: DataFrame) -> DataFrame:
     return left.join(right, keys).select(*keys, "rid", "chrom", "pos1", "pos2", strand(0x10).alias("or1"), strand(0x20).alias("or2"), "flag", "isize", "mq1", "mq2", (F.col("nm1") + F.col("nm2")).alias("edit"))
 
 
-def clips(rows: DataFrame) -> DataFrame:
-    """Leading and trailing soft clips of the fixture's reads, from their mapping quality and edit distance."""
-    return rows.withColumn("lead", F.when(F.col("mapq") % 5 == 0, F.col("nm") * 2).otherwise(0).cast("int")).withColumn("trail", F.when(F.col("mapq") % 5 == 1, F.col("nm") * 3).otherwise(0).cast("int"))
+def clipped_ends(pos: Column, cigar: Column, read_length: int = P.read_length) -> tuple[Column, Column]:
+    """Start after a leading soft clip, and end before a trailing one."""
+    ops = cigar_ops(cigar)
+    clip = lambda at: F.when(F.element_at(ops, at)["op"] == "S", F.element_at(ops, at)["len"]).otherwise(0)
+    return pos + clip(1), pos + read_length - clip(-1)
+
+
+def chromosome_range(rows: DataFrame, order: list[str], first: str, last: str, barred: str = "GL000220") -> DataFrame:
+    """Rows of the chromosomes from first to last in the given order, without those that have `barred` in their name."""
+    wanted = order[order.index(first) : order.index(last) + 1]
+    return rows.where(F.col("chrom").isin(*wanted) & ~F.col("chrom").contains(barred))
+
+
+def valid_libraries(band: DataFrame) -> DataFrame:
+    """Libraries none of whose statistics is missing or below zero."""
+    return band.where(" and ".join(f"coalesce({c} >= 0, false)" for c in ("median", "mean", "std", "conc_min", "conc_max")))
+
+
+def named_alike(chromosomes: DataFrame, annotation: DataFrame) -> DataFrame:
+    """chrom of the alignments, and the name of the same chromosome in the annotation. chromosomes: chrom; annotation: name.
+    Both have a row for each chromosome."""
+    return chromosomes.join(F.broadcast(annotation), F.col("chrom") == F.col("name")).select("chrom", "name")
 
 
 def pair_geometry(pairs: DataFrame, read_length: int = P.read_length) -> DataFrame:

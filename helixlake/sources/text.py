@@ -16,9 +16,11 @@ def read_groups(lines: DataFrame) -> DataFrame:
 
 
 def divet(lines: DataFrame) -> DataFrame:
-    """Thirteen fields between blanks or tabs; blank lines are skipped."""
+    """Thirteen fields between blanks or tabs; blank lines are skipped. A line with other fields is no row of the format:
+    that is an error, not a row less."""
     fields = F.split(F.trim(F.regexp_replace("line", "[ \\t\\r\\n]+", " ")), " ")
-    rows = lines.where(F.trim("line") != "").select(fields.alias("f")).where(F.size("f") == len(DIVET))
+    odd = F.raise_error(F.concat(F.lit("not a row of thirteen fields: "), "line"))
+    rows = lines.where(F.trim("line") != "").select(F.when(F.size(fields) == len(DIVET), fields).otherwise(odd.cast("array<string>")).alias("f"))
     return rows.select(*[F.col("f")[k].cast(NUMBERS.get(name, "string")).alias(name) for k, name in enumerate(DIVET)])
 
 
@@ -26,7 +28,7 @@ def fastq(rows: DataFrame) -> DataFrame:
     """Records of four lines (file, line_no from 0, line)."""
     at = (F.col("line_no") % 4).cast("int")
     pick = lambda k: F.max(F.when(at == k, F.col("line")))
-    return rows.groupBy("file", F.floor(F.col("line_no") / 4).alias("record")).agg(F.substring(pick(0), 2, 1000).alias("qname"), pick(1).alias("seq"), pick(3).alias("qual"))
+    return rows.groupBy("file", F.floor(F.col("line_no") / 4).alias("record")).agg(F.expr("substring(max(case when line_no % 4 = 0 then line end), 2)").alias("qname"), pick(1).alias("seq"), pick(3).alias("qual"))
 
 
 def fastq_pairs(first: DataFrame, second: DataFrame) -> DataFrame:

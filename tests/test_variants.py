@@ -13,7 +13,8 @@ from hypothesis import strategies as st
 from helixlake.jobs import ORACLE_SQL, QUERIES
 from helixlake.operators.clusters import sweep
 from helixlake.operators.ranges import islands, overlap_filter, overlap_join
-from helixlake.operators.scoring import greedy_cover
+from helixlake.constants import INFINITE_SCORE
+from helixlake.operators.scoring import Candidate, clash, greedy_cover, pair_score
 from tests.conftest import TINY
 
 
@@ -46,22 +47,6 @@ def test_other_queries_run(spark, name):
     assert QUERIES[name](spark, str(TINY)).count() > 0
 
 
-@pytest.mark.parametrize(("name", "least"), [("cluster_mei", 3), ("cluster_numt", 2)])
-def test_regions_come_from_all_evidence(spark, name, least):
-    """Every row of evidence whose activity meets enough others at its own start is in a cluster."""
-    from helixlake.jobs.tables import Tables
-    from helixlake.operators.clusters import region_shapes
-
-    rows = Tables(spark, str(TINY)).evidence.selectExpr("ev_id", "chrom", "'x' as sv_type", "l_start as pos", "l_end as pos_end", "l_or as or", "max_delta", "conc_max")
-    shaped = [r for r in region_shapes(rows).collect() if r["start"] < r["stop"]]
-    want = set()
-    for x in shaped:
-        there = {y["ev_id"] for y in shaped if y["chrom"] == x["chrom"] and y["start"] <= x["start"] < y["stop"]}
-        want |= there if len(there) >= least else set()
-    got = {r["ev_id"] for r in QUERIES[name](spark, str(TINY)).select("ev_id").distinct().collect()}
-    assert got == want and {k % 4 for k in got} == {0, 1, 2, 3}
-
-
 def brute_sets(rows, both):
     """All sets active and overlapping at some arrival, from every right breakpoint that is an end of an interval."""
     found = set()
@@ -126,14 +111,54 @@ def test_micro_fixture_of_deletions():
     assert [s for _, s in sweep([*near, row(3, 900, 1500)], False) if len(s) > 1] == [[0, 1, 2]]
 
 
-def test_cover_takes_the_cheapest_and_bars_a_third_conflict():
-    reads = {"a": {1, 2, 3, 4}, "b": {3, 4, 5}, "c": {6, 7}, "d": {8}}
-    samples = {k: {"s"} for k in reads}
-    picked = greedy_cover(reads, {"a": 2.0, "b": 3.0, "c": 5.0, "d": 9.0}, {}, samples)
-    assert [p[0] for p in picked] == ["a", "c", "b", "d"] and picked[2][2] == 1
-    clash = {x: {y for y in "acd" if y != x} for x in "acd"}
-    assert [p[0] for p in greedy_cover(reads, {"a": 2.0, "b": 3.0, "c": 5.0, "d": 9.0}, clash, samples)] == ["a", "c", "b"]
-    assert greedy_cover({"a": {1}}, {"a": 1e7}, {}, {"a": {"s"}}) == []
+def brute_cover(calls, least):
+    """Every weight anew in every round."""
+    covered, barred, picked = set(), set(), []
+    while True:
+        best = None
+        for c, call in sorted(calls.items()):
+            left = {s: own - covered for s, own in call.reads.items()}
+            enough = {s: own for s, own in left.items() if (c, s) not in barred and len(own) >= least}
+            w = call.score(sum(map(len, left.values()))) if enough else INFINITE_SCORE
+            if c not in {p[0] for p in picked} and w < INFINITE_SCORE and (best is None or w < best[0]):
+                best = w, c, enough
+        if best is None:
+            return picked
+        w, c, enough = best
+        picked.append((c, w, {s: len(own) for s, own in enough.items()}))
+        covered |= set().union(*enough.values())
+        span = lambda x: (calls[x].kind, calls[x].start, calls[x].end)
+        for a, b in itertools.combinations([p for p in picked if clash(span(p[0]), span(c)) or p[0] == c], 2):
+            if clash(span(a[0]), span(b[0])):
+                barred |= {(k, s) for k in calls for s in a[2].keys() & b[2].keys() if k not in (a[0], b[0]) and clash(span(k), span(a[0])) and clash(span(k), span(b[0]))}
+
+
+candidate = st.tuples(st.sampled_from(["DEL", "INV", "TDUP", "MEI_F"]), st.integers(0, 40), st.integers(0, 30), st.lists(st.integers(0, 25), max_size=12), st.integers(1, 50))
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(candidate, max_size=7), st.integers(1, 3))
+def test_cover_equals_brute_force(rows, least):
+    calls = {}
+    for k, (kind, start, width, own, cost) in enumerate(rows):
+        reads = {s: {f"{x}" for x in own if x % 2 == j} for j, s in enumerate("ab")}
+        calls[f"c{k}"] = Candidate(kind, start, start + width, reads, lambda n, cost=cost: cost / n if n else INFINITE_SCORE)
+    assert greedy_cover(calls, least) == brute_cover(calls, least)
+
+
+def test_cover_bars_a_third_clash_and_stops_below_the_least_support():
+    made = lambda start, names, cost: Candidate("DEL", start, start + 100, {"s": set(names)}, lambda n: cost)
+    calls = {"a": made(0, "12345", 1.0), "b": made(50, "67890", 2.0), "c": made(60, "vwxyz", 3.0), "d": made(500, "vwx", 0.5)}
+    assert [p[0] for p in greedy_cover(calls, 5)] == ["a", "b"]
+
+
+def test_pair_score_equals_the_column(spark):
+    from helixlake.operators.scoring import genotype_likelihood
+
+    rows = [(f"k{k}", "s", kind, op, ep, od, ed) for k, (kind, op, ep, od, ed) in enumerate(itertools.product(["DEL", "INV", "TDUP", "INVDUP_LEFT"], [0, 7], [0.0, 9.5], [0, 12], [0.0, 30.25]))]
+    df = spark.createDataFrame(rows, "cluster_id string, sample string, sv_type string, op long, ep double, od long, ed double")
+    got = {r.cluster_id: r.score for r in genotype_likelihood(df).collect()}
+    assert got == {c: pytest.approx(pair_score(kind, False, op, ep, od, ed), rel=1e-9) for c, _, kind, op, ep, od, ed in rows}
 
 
 def test_binned_joins_equal_nested_loops(spark):
@@ -184,7 +209,104 @@ def test_special_functions(spark):
 def test_variant_files(spark, tmp_path):
     from helixlake.operators import vcf
 
-    calls = spark.createDataFrame([("k1", "chr2", "DEL", 109, 99, 400, 420, 7), ("k2", "chr1", "INV", 9, 5, 40, 44, 0)], "cluster_id string, chrom string, sv_type string, inner_start int, outer_start int, inner_end int, outer_end int, rp int")
-    vcf.write(vcf.records(calls), {"chr1": 1000, "chr2": 1000}, str(tmp_path / "calls"))
-    lines = [r.value for r in spark.read.text(str(tmp_path / "calls/records")).collect()]
-    assert sorted(lines) == ["chr1\t6\tsv_inv_k2\tN\t<INV>\t255\tLowQual\tEND=45;SVLEN=40;SVTYPE=INV", "chr2\t110\tsv_del_k1\tN\t<DEL>\t255\tPASS\tEND=401;SVLEN=-292;SVTYPE=DEL"]
+    own = "array(named_struct('sample', 's2', 'gt', '1/1', 'score', 0.5D, 'rp', 7L, 'sr', 1L), named_struct('sample', 's1', 'gt', '0/0', 'score', 0.25D, 'rp', 0L, 'sr', 0L)) as samples"
+    rows = [("k1", "chr2", "DEL", 109, 99, 400, 420, 7, False), ("k2", "chr1", "INV", 9, 5, 40, 44, 0, True)]
+    calls = spark.createDataFrame(rows, "cluster_id string, chrom string, sv_type string, inner_start int, outer_start int, inner_end int, outer_end int, rp int, precise boolean")
+    calls = calls.selectExpr("*", "0 as sr", "cast(null as string) as element", "cast(null as int) as element_length", "false as filtered", "'A' as ref", own)
+    vcf.write(vcf.records(calls), {"chr1": 1000, "chr2": 1000}, ["s1", "s2"], str(tmp_path / "calls"))
+    lines = [line for f in sorted((tmp_path / "calls").glob("part-*")) for line in f.read_text().splitlines()]
+    assert lines[0] == "##fileformat=VCFv4.3" and [x for x in lines if x.startswith("#CHROM")] == [lines[-3]] and lines[-3].endswith("FORMAT\ts1\ts2")
+    samples = "GT:CNVL:RP:SR\t0/0:0.250000:0:0\t1/1:0.500000:7:1"
+    assert lines[-2:] == [
+        f"chr1\t6\tsv_inv_k2\tA\t<INV>\t255\tLowQual\tEND=45;SVLEN=32;RPSUP=0;SRSUP=0;CIEND=0,0;CIPOS=0,0;PRECISE;SVTYPE=INV\t{samples}",
+        f"chr2\t110\tsv_del_k1\tA\t<DEL>\t255\tPASS\tEND=401;SVLEN=-292;RPSUP=7;SRSUP=0;CIEND=0,20;CIPOS=-10,0;IMPRECISE;SVTYPE=DEL\t{samples}",
+    ]
+
+
+def test_text_readers_over_many_splits(spark, tmp_path):
+    """Splits of some hundred bytes: sequences and records go over them."""
+    from helixlake.sources import files
+
+    seqs = {"one": "ACGTN" * 301, "two": "ggca" * 5, "three": "T" * 777}
+    (tmp_path / "a.fa").write_text("".join(f">{n} text\n" + "".join(s[k : k + 60] + "\n" for k in range(0, len(s), 60)) for n, s in seqs.items()))
+    (tmp_path / "b.fa").write_text(">four\nAC\nGT\n\n")
+    (tmp_path / "r.fq").write_text("".join(f"@r{k}\nACGT{k % 10}\n+\nIIII{k % 7}\n" for k in range(200)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "300")
+    try:
+        pages = files.fasta(spark, str(tmp_path / "a.fa"), str(tmp_path / "b.fa"), width=100)
+        got = {}
+        for r in sorted(pages.collect(), key=lambda r: (r.chrom, r.start_pos)):
+            assert r.start_pos == len(got.get(r.chrom, ""))
+            got[r.chrom] = got.get(r.chrom, "") + r.seq
+        assert got == {**{n: s.upper() for n, s in seqs.items()}, "four": "ACGT"}
+        assert files._split_order(spark.read.text(str(tmp_path / "a.fa"))).select("block").distinct().count() > 3
+        reads = {(r.qname, r.seq, r.qual) for r in files.fastq_files(spark, str(tmp_path / "r.fq")).collect()}
+        assert reads == {(f"r{k}", f"ACGT{k % 10}", f"IIII{k % 7}") for k in range(200)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    spans = spark.createDataFrame([(1, "one", 95, 310), (2, "two", 0, 3)], "span_id int, chrom string, start_pos int, end_pos int")
+    assert dict(files.subsequences(spans, pages, 100).collect()) == {1: seqs["one"][95:310], 2: "GGC"}
+
+
+def test_split_reads_on_both_strands_and_sides(spark):
+    from helixlake.operators import evidence
+
+    rows = [(k, side, strand, 1000, hit) for k, (side, strand, hit) in enumerate(itertools.product(["HEAD", "TAIL"], "FR", [500, 2000, 1000]))]
+    df = spark.createDataFrame(rows, "clip_id int, clip_side string, hit_or string, pos int, hit_pos int")
+    got = {(r.clip_side, r.hit_or, r.hit_pos): r.split_class for r in evidence.split_orientation(df).collect()}
+    assert got == {
+        ("HEAD", "F", 500): "FFAB", ("HEAD", "F", 2000): "FFBA", ("TAIL", "F", 500): "FFBA", ("TAIL", "F", 2000): "FFAB",
+        ("HEAD", "R", 500): "RFAB", ("HEAD", "R", 2000): "FRBA", ("TAIL", "R", 500): "RFBA", ("TAIL", "R", 2000): "FRAB",
+    }
+
+
+def test_calls_of_planted_variants(spark):
+    """Two samples with evenly spread pairs: a deletion in both, and an inversion and a tandem duplication in one each."""
+    from helixlake.operators.calling import call_variants
+
+    rows, n = [], 0
+
+    def pair(sample, a, b, or1, or2):
+        nonlocal n
+        n += 1
+        for first, (p, q, x, y) in enumerate([(a, b, or1, or2), (b, a, or2, or1)]):
+            flag = 1 + (64 if not first else 128) + (16 if x == "R" else 0) + (32 if y == "R" else 0)
+            rows.append((f"r{n}", n, "c", sample, f"lib-{sample}", p, q, flag, (b + 100 - a) * (1 if not first else -1), 40, 0))
+
+    for sample in "xy":
+        for p in range(0, 90_000, 10):
+            if not (20_000 - 500 < p < 22_000):
+                pair(sample, p, p + 300 + p // 10 % 30, "F", "R")
+        for k in range(12):  # a deletion of 20,000 to 22,000
+            pair(sample, 19_700 + 15 * k + (sample == "y"), 22_000 + 10 * k, "F", "R")  # equal places would count as copies
+    for k in range(9):  # an inversion of 50,000 to 53,000 in x, a duplication of 70,000 to 71,500 in y
+        pair("x", 49_750 + 12 * k, 52_750 + 12 * k, "F", "F")
+        pair("x", 50_020 + 12 * k, 53_020 + 12 * k, "R", "R")
+        pair("y", 70_010 + 11 * k, 71_250 + 11 * k, "R", "F")
+    schema = "read_name string, rid long, chrom string, sample string, library string, pos int, mate_pos int, flag int, isize int, mapq int, nm int"
+    alignments = spark.createDataFrame(rows, schema).repartition(4)
+    none = spark.createDataFrame([], "chrom string, start_pos int, end_pos int, strand string, repeat_class string, mei_code int")
+    windows = spark.range(900).selectExpr("'c' as chrom", "id * 100 as start_pos", "50 as gc")
+    calls = {r.sv_type: r for r in call_variants(alignments, none, none, none, windows).collect()}
+    assert set(calls) == {"DEL", "INV", "TDUP"}
+    d, i, t = calls["DEL"], calls["INV"], calls["TDUP"]
+    assert 19_900 <= d.inner_start <= 20_100 and 21_950 <= d.inner_end <= 22_100 and {x["sample"]: x["rp"] for x in d.samples} == {"x": 12, "y": 12}
+    assert 49_700 <= i.outer_start <= 50_300 and 52_700 <= i.outer_end <= 53_300 and {x["sample"]: x["rp"] for x in i.samples} == {"x": 18, "y": 0}
+    assert 69_900 <= t.outer_start <= 70_300 and 71_100 <= t.outer_end <= 71_600 and {x["sample"]: x["rp"] for x in t.samples} == {"x": 0, "y": 9}
+    assert {x["gt"] for x in d.samples} <= {"0/1", "1/1"} and d.rp == 24
+
+
+def test_columns_of_filters_may_clash(spark):
+    a = spark.createDataFrame([("c", 5, 9, 1, 2), ("c", 50, 60, 3, 4)], "chrom string, s int, e int, _bin int, _s1 int")
+    b = spark.createDataFrame([("c", 7, 8, 1)], "chrom string, s int, e int, _b1 int")
+    assert [tuple(r) for r in overlap_filter(a, b, ("s", "e"), ("s", "e"), anti=False).collect()] == [("c", 5, 9, 1, 2)]
+    with pytest.raises(ValueError, match="r_s"):
+        overlap_join(a.withColumnRenamed("_bin", "r_s"), b, ("s", "e"), ("s", "e"))
+
+
+def test_malformed_rows_of_evidence_are_errors(spark):
+    from helixlake.sources import text
+
+    with pytest.raises(Exception, match="thirteen"):
+        text.divet(spark.createDataFrame([("a b c",)], "line string")).collect()
