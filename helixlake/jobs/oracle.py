@@ -223,7 +223,7 @@ BODIES = {
     "cluster_del": "select chrom, sv_type, left_brk, ev_id, size from largest",
     "cluster_ins": "select chrom, sv_type, left_brk, ev_id, size from largest",
     "cluster_tdup": "select chrom, sv_type, left_brk, ev_id, size from largest",
-    "score_inputs": "select cluster_id, sample, sv_type, op, od, round(ep, 5) as ep, round(ed, 5) as ed from scored",
+    "score_inputs": "select cluster_id, sample, sv_type, op, od, round(ep, 5) as ep, ed from scored",
     "expected_pairs": "select library, round(spanning, 6) as spanning from spanning",
     "genome_depth": "select sample, gc, round(sum(mean_rd * w) / sum(w), 9) as mean_rd from gcd join (select chrom, gc, count(*) as w from grid group by all) using (chrom, gc) group by all",
     "widest_delta": "select max(max_delta) as max_delta from band",

@@ -638,7 +638,7 @@ QUERIES["log_poisson"] = QUERIES.pop("log_poisson_score")
 
 @query
 def score_inputs(t: Tables) -> DataFrame:
-    return t.scored.select("cluster_id", "sample", "sv_type", "op", "od", F.round("ep", 5).alias("ep"), F.round("ed", 5).alias("ed"))
+    return t.scored.select("cluster_id", "sample", "sv_type", "op", "od", F.round("ep", 5).alias("ep"), "ed")
 
 
 @query

@@ -281,8 +281,9 @@ def test_calls_of_planted_variants(spark):
         for k in range(12):  # a deletion of 20,000 to 22,000
             pair(sample, 19_700 + 15 * k + (sample == "y"), 22_000 + 10 * k, "F", "R")  # equal places would count as copies
     for k in range(9):  # an inversion of 50,000 to 53,000 in x, a duplication of 70,000 to 71,500 in y
-        pair("x", 49_750 + 12 * k, 52_750 + 12 * k, "F", "F")
-        pair("x", 50_020 + 12 * k, 53_020 + 12 * k, "R", "R")
+        d = 20 + 20 * k  # the two gaps to the breakpoints add up to the library's usual one
+        pair("x", 50_000 - d - 99, 53_000 - (214 - d) - 99, "F", "F")
+        pair("x", 50_000 + d, 53_000 + 214 - d, "R", "R")
         pair("y", 70_010 + 11 * k, 71_250 + 11 * k, "R", "F")
     schema = "read_name string, rid long, chrom string, sample string, library string, pos int, mate_pos int, flag int, isize int, mapq int, nm int"
     alignments = spark.createDataFrame(rows, schema).repartition(4)
