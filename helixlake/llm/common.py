@@ -2,17 +2,19 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Callable
 from functools import reduce
 from typing import Any
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.stored import scratch, scratch_dir, store
 
-__all__ = ["Memory", "bound_batches", "crc_mod", "filter_bit", "filter_of", "free_name", "scratch", "scratch_dir", "store", "table"]
+__all__ = ["Memory", "bound_batches", "crc_mod", "filter_bit", "filter_of", "free_name", "release", "scratch", "scratch_dir", "store", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -40,6 +42,14 @@ def limit_rows(spark: SparkSession, rows: int) -> None:
         spark.conf.set(key, str(max(1, rows)))
 
 
+def release() -> None:
+    """Gives back to the system what earlier tasks of a reused Python worker have freed: allocators keep it otherwise."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 class Memory(dict):
     """Remembers what `make` gives for a key (bytes or text), up to about `most` bytes; a full memory is emptied, which
     costs time only. Each task makes its own, so that no memory outlives its task in a reused worker."""
@@ -49,6 +59,7 @@ class Memory(dict):
 
     def __init__(self, make: Callable[[Any], Any], most: int = 24 << 20):
         super().__init__()
+        release()
         self.make, self.most, self.held = make, most, 0
 
     def __missing__(self, key: bytes | str) -> Any:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import bound_batches, free_name, scratch, store
+from helixlake.llm.common import bound_batches, free_name, release, scratch, store
 
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
@@ -123,6 +123,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
     """Over all rows: in how many texts each bucket occurs, and the number of texts."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         df, n = np.zeros(BUCKETS, np.int64), 0
         for batch in batches:
             for text in batch.column(0):
@@ -180,6 +181,7 @@ def _epoch(sample: DataFrame, z: np.ndarray, n: np.ndarray, p: Params, epoch: in
     start = sample.sparkSession.sparkContext.broadcast((z, n))
 
     def learn(frame: pd.DataFrame) -> pd.DataFrame:
+        release()
         state = Ftrl(*(x.copy() for x in start.value), p)
         frame = frame.sort_values("doc_id", kind="stable")
         for k in np.random.default_rng(epoch).permutation(len(frame)):
@@ -220,6 +222,7 @@ def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     at, count = rows.columns.index(name), 1 + len(keep)
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()
         for batch in batches:
             found = [known.value.predict(t.as_py()) for t in batch.column(at)]
             arrays = [*batch.columns[:count], pa.array([x for x, _ in found], pa.string()), pa.array([s for _, s in found], pa.float64())]
