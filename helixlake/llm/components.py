@@ -36,8 +36,9 @@ def _stars(edges: DataFrame) -> bool:
 
 def connected_components(edges: DataFrame, label: str = "components", rounds: int = 40) -> DataFrame:
     """(node, component): the least node that each node reaches. Edges (a, b) of integers; loops, repeated edges
-    and nulls do no harm; a node without edges has no row. Each round is stored, so lineage stays short; minima by
-    aggregation and joins that adaptive execution can split keep a node with very many edges out of a single task.
+    and nulls do no harm; a node without edges has no row. Each round is stored, so lineage
+    stays short. Minima are combined before they are shuffled; in the joins with them a node's edges, of two integers each,
+    pass through one task, since adaptive execution doesn't split a join whose other side is an aggregate.
     """
     found = store(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), label)
     for _ in range(rounds):
