@@ -532,8 +532,8 @@ def cluster_numt(t: Tables) -> DataFrame:
 
 
 def _duplications(t: Tables, kind: str) -> DataFrame:
-    rows = evidence.evidence_fanout(t.evidence).where(F.col("sv_type") == kind).selectExpr("ev_id", "chrom", "concat(sv_type, '_', l_or, r_or) as sv_type", "l_start as pos", "l_end as pos_end", "l_or as or", "max_delta", "conc_max")
-    return clusters.cluster(clusters.region_shapes(rows))
+    found = clusters.duplications(evidence.evidence_fanout(t.evidence).where(F.col("sv_type") == kind))
+    return found.select("chrom", "sv_type", "left_brk", "ev_id", F.count("*").over(Window.partitionBy("cluster_id")).alias("size"))
 
 
 @query

@@ -39,6 +39,14 @@ def shapes(evidence: DataFrame) -> DataFrame:
     return ahead.unionByName(insertion).unionByName(forward).unionByName(back)
 
 
+def duplications(evidence: DataFrame) -> DataFrame:
+    """Clusters of interspersed and inverted duplications: maximal sets of rows of either strand of the left end, of which
+    those of one strand agree on a right breakpoint. Types end in _LEFT or _RIGHT, where the copy lies."""
+    found = cluster(duplication_shapes(evidence), between=True, paired=True)
+    place = F.when(F.col("sv_type").endswith("_RIGHT"), -F.col("left_brk")).otherwise(F.col("left_brk"))
+    return found.withColumn("left_brk", place)
+
+
 def region_shapes(reads: DataFrame) -> DataFrame:
     """Shapes of one-ended evidence (ev_id, chrom, sv_type, pos, pos_end, or, max_delta, conc_max): forward reads reach on to
     the right, reverse reads to the left; any right breakpoint will do."""
@@ -48,6 +56,30 @@ def region_shapes(reads: DataFrame) -> DataFrame:
     return forward.unionByName(back)
 
 
+def duplication_shapes(evidence: DataFrame) -> DataFrame:
+    """Shapes of interspersed (INTERDUP) and inverted duplications (INVDUP); evidence as for shapes. Each row has two: the
+    copy inserted to the left, and to the right of its source, which is the first mirrored about 0, strands turned."""
+    start = F.when(F.col("l_or") == "F", F.col("l_end")).otherwise(F.col("l_start")).cast("long")
+    end = F.when(F.col("r_or") == "F", F.col("r_end")).otherwise(F.col("r_start")).cast("long")
+    columns = ["ev_id", "chrom", F.col("min_delta").alias("_lo"), F.col("max_delta").alias("_hi")]
+    named = lambda to: F.concat("sv_type", F.lit(f"_{to}")).alias("sv_type")
+    far = F.lit(1 << 40)
+    left = evidence.select(*columns, named("LEFT"), start.alias("_s"), end.alias("_e"), F.col("l_or").alias("_side"), F.lit(1).alias("_first"), F.lit(0).alias("_floor"))
+    turned = F.when(F.col("l_or") == "F", "R").otherwise("F")
+    right = evidence.select(*columns, named("RIGHT"), (-end).alias("_s"), (-start).alias("_e"), turned.alias("_side"), (-far).alias("_first"), (-far).alias("_floor"))
+    rows = left.unionByName(right)
+    s, e, lo, hi, first, floor = (F.col(c) for c in ("_s", "_e", "_lo", "_hi", "_first", "_floor"))
+    found = []
+    for side in "FR":
+        own = rows.where(F.col("_side") == side)
+        # Of an interspersed copy both strands look on to the right, with the other end before their mates.
+        found.append(_shape(own.where("sv_type like 'INTERDUP%'"), s + 1, s + hi + 1, e - hi - s, e - lo - s, 1, floor, e, side))
+    inverted = rows.where("sv_type like 'INVDUP%'")
+    found.append(_shape(inverted.where("_side = 'F'"), s + 1, s + hi + 1, e + lo + s, e + hi + s, -1, e, far, "F"))
+    found.append(_shape(inverted.where("_side = 'R'"), F.greatest(first, s - hi), s + 1, e - hi + s, e - lo + s, -1, floor, e, "R"))
+    return found[0].unionByName(found[1]).unionByName(found[2]).unionByName(found[3])
+
+
 def beginnings(rows: list[tuple]) -> set[int]:
     """Left breakpoints, besides arrivals, at which two active shapes begin to overlap: where the upper bound of one rises
     to the lower bound of the other. Bounds are linear or held by a clip, so they meet where two of such pieces do."""
@@ -70,10 +102,32 @@ def beginnings(rows: list[tuple]) -> set[int]:
     return found
 
 
-def sweep(rows: list[tuple], both_sides: bool, between: bool = False) -> list[tuple[int, list[int]]]:
+def cliques(active: list[tuple], b: int) -> list[frozenset[int]]:
+    """The maximal sets of active shapes that share a right breakpoint while the left one is b."""
+    ends = []
+    for r in active:
+        clip = lambda v, r=r: min(max(v + r[5] * b, r[6]), r[7])
+        ends += [(clip(r[3]), 0, r[0]), (clip(r[4]), 1, r[0])]
+    sets: list[frozenset[int]] = []
+    open_now: set[int] = set()
+    grown = False
+    for _, closing, name in sorted(ends):
+        if not closing:
+            open_now.add(name)
+            grown = True
+        else:
+            if grown:
+                sets.append(frozenset(open_now))
+                grown = False
+            open_now.discard(name)
+    return sets
+
+
+def sweep(rows: list[tuple], both_sides: bool, between: bool = False, paired: bool = False) -> list[tuple[int, list[int]]]:
     """Maximal sets of shapes (id, start, stop, low, high, slope, least, most, side) that share a left and a right
     breakpoint, with the left breakpoint where each was first complete. Looked for where shapes arrive, or with between at
-    all left breakpoints: a set that is new at one without an arrival has two shapes that begin to overlap there."""
+    all left breakpoints: a set that is new at one without an arrival has two shapes that begin to overlap there. With
+    paired, a set of either side at one left breakpoint make one together, whatever their right breakpoints."""
     found: dict[frozenset[int], int] = {}
     by_start = sorted(rows, key=lambda r: (r[1], r[0]))
     active: list[tuple] = []
@@ -83,21 +137,13 @@ def sweep(rows: list[tuple], both_sides: bool, between: bool = False) -> list[tu
         while at < len(by_start) and by_start[at][1] == b:
             active.append(by_start[at])
             at += 1
-        ends = []
-        for r in active:
-            clip = lambda v, r=r: min(max(v + r[5] * b, r[6]), r[7])
-            ends += [(clip(r[3]), 0, r[0]), (clip(r[4]), 1, r[0])]
-        open_now: set[int] = set()
-        grown = False
-        for _, closing, name in sorted(ends):
-            if not closing:
-                open_now.add(name)
-                grown = True
-            else:
-                if grown:
-                    found.setdefault(frozenset(open_now), b)
-                    grown = False
-                open_now.discard(name)
+        if paired:
+            forward, back = (cliques([r for r in active if r[8] == side], b) for side in "FR")
+            sets = [x | y for x in forward for y in back]
+        else:
+            sets = cliques(active, b)
+        for own in sets:
+            found.setdefault(own, b)
     side = {r[0]: r[8] for r in rows}
     kept: list[tuple[int, frozenset[int]]] = []
     holds: dict[int, list[int]] = {}
@@ -114,9 +160,9 @@ def sweep(rows: list[tuple], both_sides: bool, between: bool = False) -> list[tu
     return [(b, sorted(own)) for b, own in sorted(kept, key=lambda x: (x[0], sorted(x[1])))]
 
 
-def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2, between: bool = False) -> DataFrame:
-    """cluster_id, chrom, sv_type, left_brk, ev_id: members of the maximal sets with at least `least` rows. both_sides and
-    between: see sweep."""
+def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2, between: bool = False, paired: bool = False) -> DataFrame:
+    """cluster_id, chrom, sv_type, left_brk, ev_id: members of the maximal sets with at least `least` rows. both_sides,
+    between and paired: see sweep."""
     keys = ["chrom", "sv_type"]
     shaped = store(shaped.where("start < stop"), "shapes")
     distinct = store(shaped.groupBy(*keys, *SHAPE).agg(F.min("ev_id").alias("shape")), "distinct-shapes")
@@ -124,7 +170,7 @@ def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2, between
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         head = frame.iloc[0]
-        sets = sweep(list(frame[["shape", *SHAPE]].itertuples(index=False, name=None)), both_sides, between)
+        sets = sweep(list(frame[["shape", *SHAPE]].itertuples(index=False, name=None)), both_sides, between, paired)
         rows = [(f"{head['chrom']}:{head['sv_type']}:{head['island']}:{k}", head["chrom"], head["sv_type"], b, x) for k, (b, own) in enumerate(sets) for x in own]
         return pd.DataFrame(rows, columns=["cluster_id", "chrom", "sv_type", "left_brk", "shape"])
 

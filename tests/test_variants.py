@@ -95,6 +95,74 @@ def test_sweep_between_arrivals_finds_the_maximal_sets(shapes, both):
     assert set(got) == brute_sets_anywhere(rows, both)
 
 
+def brute_pairs_anywhere(rows):
+    """Unions of a set of either side that are active at some left breakpoint, each overlapping at a place of its own."""
+    found = set()
+    for b in range(min((r[1] for r in rows), default=0), max((r[2] for r in rows), default=0)):
+        sets = {"F": set(), "R": set()}
+        for side, own in sets.items():
+            spans = {r[0]: tuple(min(max(v + r[5] * b, r[6]), r[7]) for v in r[3:5]) for r in rows if r[8] == side and r[1] <= b < r[2]}
+            own |= {frozenset(k for k, (lo, hi) in spans.items() if lo <= at <= hi) for s in spans.values() for at in s}
+        found |= {x | y for x in sets["F"] for y in sets["R"] if x and y}
+    return {s for s in found if not any(s < t for t in found)}
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(clipped, max_size=8))
+def test_paired_sweep_finds_the_maximal_pairs(shapes):
+    rows = [(k, a, a + n, lo, lo + w, slope, least, least + room, side) for k, (a, n, lo, w, slope, least, room, side) in enumerate(shapes)]
+    got = [frozenset(s) for _, s in sweep(rows, False, between=True, paired=True)]
+    assert len(got) == len(set(got))
+    assert set(got) == brute_pairs_anywhere(rows)
+
+
+def duplication_spans(row, to):
+    """For each left breakpoint that a row of evidence allows, the right breakpoints that it allows there, position by
+    position: (side, {b: (low, high)}). A copy to the right is one to the left after mirroring about 0."""
+    _, _, kind, ls, le, lo, rs, re, ro, least, most = row
+    start, end = le if lo == "F" else ls, re if ro == "F" else rs
+    floor = 0
+    if to == "RIGHT":
+        start, end, lo, floor = -end, -start, "R" if lo == "F" else "F", -(1 << 40)
+    back = kind == "INVDUP" and lo == "R"
+    out = {}
+    for b in range(start - most, start + 1) if back else range(start + 1, start + most + 1):
+        far = abs(b - start)
+        ends = (max(least - far, 0), most - far)
+        if to == "RIGHT" or b >= 1:
+            ahead = kind == "INVDUP" and not back
+            out[b] = (end + ends[0], end + ends[1]) if ahead else (max(floor, end - ends[1]), max(floor, end - ends[0]))
+    return lo, out
+
+
+def test_duplication_shapes_allow_what_their_rows_do(spark):
+    from helixlake.operators import clusters
+
+    ends = [(3, 12, 40, 49), (50, 59, 90, 99), (20, 29, 22, 31)]
+    rows = [(k, "c", kind, ls, le, o[0], rs, re, o[1], 4, 11) for k, ((ls, le, rs, re), (kind, o)) in enumerate((x, y) for x in ends for y in (("INTERDUP", "FR"), ("INTERDUP", "RF"), ("INVDUP", "FF"), ("INVDUP", "RR")))]
+    df = spark.createDataFrame(rows, "ev_id long, chrom string, sv_type string, l_start int, l_end int, l_or string, r_start int, r_end int, r_or string, min_delta int, max_delta int")
+    got = clusters.duplication_shapes(df).collect()
+    assert len(got) == 2 * len(rows)
+    for r in got:
+        side, spans = duplication_spans(rows[r.ev_id], r.sv_type.split("_")[1])
+        clip = lambda v, b, r=r: min(max(v + r.slope * b, r.least), r.most)
+        assert (r.side, {b: (clip(r.low, b), clip(r.high, b)) for b in range(r.start, r.stop)}) == (side, spans)
+
+
+def test_duplication_needs_both_strands(spark):
+    from helixlake.operators import clusters
+
+    # Two FR and two RF pairs around one place; a third FR pair whose mate lies elsewhere; FF and RR pairs alone.
+    rows = [
+        (1, "c", "INTERDUP", 901, 1000, "F", 5000, 5099, "R", 119, 327), (2, "c", "INTERDUP", 911, 1010, "F", 5015, 5114, "R", 119, 327),
+        (3, "c", "INTERDUP", 1020, 1119, "R", 7001, 7100, "F", 119, 327), (4, "c", "INTERDUP", 1040, 1139, "R", 7021, 7120, "F", 119, 327),
+        (5, "c", "INTERDUP", 921, 1020, "F", 9000, 9099, "R", 119, 327), (6, "d", "INVDUP", 901, 1000, "F", 5000, 5099, "F", 119, 327),
+    ]
+    df = spark.createDataFrame(rows, "ev_id long, chrom string, sv_type string, l_start int, l_end int, l_or string, r_start int, r_end int, r_or string, min_delta int, max_delta int")
+    found = clusters.duplications(df).where("sv_type = 'INTERDUP_LEFT'").groupBy("cluster_id").agg({"ev_id": "collect_set"}).collect()
+    assert sorted(sorted(r[1]) for r in found) == [[1, 2, 3, 4], [3, 4, 5]]
+
+
 def test_inversion_that_begins_between_arrivals(spark):
     from helixlake.operators import clusters
 
