@@ -8,6 +8,8 @@ distinct coordinates in it, not the depth of coverage. Inside an island a sweep
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -127,7 +129,10 @@ def sweep(rows: list[tuple], both_sides: bool, between: bool = False, paired: bo
     """Maximal sets of shapes (id, start, stop, low, high, slope, least, most, side) that share a left and a right
     breakpoint, with the left breakpoint where each was first complete. Looked for where shapes arrive, or with between at
     all left breakpoints: a set that is new at one without an arrival has two shapes that begin to overlap there. With
-    paired, a set of either side at one left breakpoint make one together, whatever their right breakpoints."""
+    paired, a set of either side at one left breakpoint make one together, whatever their right breakpoints, and between is
+    implied; the left breakpoint is the last one looked at."""
+    if paired:
+        return maximal([(b, x | y) for b, x, y in pairs(rows)])
     found: dict[frozenset[int], int] = {}
     by_start = sorted(rows, key=lambda r: (r[1], r[0]))
     active: list[tuple] = []
@@ -137,19 +142,17 @@ def sweep(rows: list[tuple], both_sides: bool, between: bool = False, paired: bo
         while at < len(by_start) and by_start[at][1] == b:
             active.append(by_start[at])
             at += 1
-        if paired:
-            forward, back = (cliques([r for r in active if r[8] == side], b) for side in "FR")
-            sets = [x | y for x in forward for y in back]
-        else:
-            sets = cliques(active, b)
-        for own in sets:
+        for own in cliques(active, b):
             found.setdefault(own, b)
     side = {r[0]: r[8] for r in rows}
+    return maximal([(b, own) for own, b in found.items() if not both_sides or len({side[x] for x in own}) > 1])
+
+
+def maximal(found: list[tuple[int, frozenset[int]]]) -> list[tuple[int, list[int]]]:
+    """Of sets (place, members), those that lie in no other; of equal sets the one with the least place."""
     kept: list[tuple[int, frozenset[int]]] = []
     holds: dict[int, list[int]] = {}
-    for own, b in sorted(found.items(), key=lambda x: (-len(x[0]), x[1], sorted(x[0]))):
-        if both_sides and len({side[x] for x in own}) < 2:
-            continue
+    for b, own in sorted(found, key=lambda x: (-len(x[1]), x[0], sorted(x[1]))):
         # A superset holds every member, so it is among those that hold the rarest one.
         rarest = min(own, key=lambda x: len(holds.get(x, ())))
         if any(own <= kept[k][1] for k in holds.get(rarest, ())):
@@ -160,6 +163,37 @@ def sweep(rows: list[tuple], both_sides: bool, between: bool = False, paired: bo
     return [(b, sorted(own)) for b, own in sorted(kept, key=lambda x: (x[0], sorted(x[1])))]
 
 
+def pairs(rows: list[tuple]) -> Iterator[tuple[int, frozenset[int], frozenset[int]]]:
+    """(b, forward, back): sets of either side at one left breakpoint b. What lies in a pair at the next or, unless it is
+    equal, at the previous one is left out, so that what is gathered follows where sets end and not how long they stand."""
+    sided = {side: sorted((r for r in rows if r[8] == side), key=lambda r: (r[1], r[0])) for side in "FR"}
+    active: dict[str, list[tuple]] = {"F": [], "R": []}
+    at = {"F": 0, "R": 0}
+    before: list[list[frozenset[int]]] = [[], []]
+    now: list[list[frozenset[int]]] = [[], []]
+    place = 0
+
+    def ends(after: list[list[frozenset[int]]]) -> Iterator[tuple[int, frozenset[int], frozenset[int]]]:
+        goes_on = [{x for x in now[k] if any(x <= y for y in after[k])} for k in (0, 1)]
+        was = [{x: 2 if any(x < y for y in before[k]) else 1 for x in now[k] if any(x <= y for y in before[k])} for k in (0, 1)]
+        for x in now[0]:
+            for y in now[1]:
+                if not (x in goes_on[0] and y in goes_on[1]) and was[0].get(x, -9) + was[1].get(y, -9) < 3:
+                    yield place, x, y
+
+    for b in sorted({r[1] for r in rows} | beginnings(sided["F"]) | beginnings(sided["R"])):
+        for side, own in sided.items():
+            active[side] = [r for r in active[side] if r[2] > b]
+            while at[side] < len(own) and own[at[side]][1] <= b:
+                if own[at[side]][2] > b:
+                    active[side].append(own[at[side]])
+                at[side] += 1
+        after = [cliques(active[side], b) for side in "FR"]
+        yield from ends(after)
+        before, now, place = now, after, b
+    yield from ends([[], []])
+
+
 def cluster(shaped: DataFrame, both_sides: bool = False, least: int = 2, between: bool = False, paired: bool = False) -> DataFrame:
     """cluster_id, chrom, sv_type, left_brk, ev_id: members of the maximal sets with at least `least` rows. both_sides,
     between and paired: see sweep."""
