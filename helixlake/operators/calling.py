@@ -28,11 +28,19 @@ def discordant_pairs(alignments: DataFrame, band: DataFrame, p: Params = P) -> D
 
 
 def clustered(rows: DataFrame) -> DataFrame:
-    """Members of the maximal sets of deletions, insertions, tandem duplications and inversions, with their evidence: one
-    mapping for each read name and place, and each row in its first clusters only; two members at least."""
+    """Members of the maximal sets of deletions, insertions, all duplications and inversions, with their evidence: one
+    mapping for each read name and place, and each row in its first clusters only; two members at least. Members of
+    interspersed and inverted duplications stand with the ends that their strands point from, and with turned strands where
+    the copy lies to the right."""
     straight = clusters.cluster(clusters.shapes(rows.where("sv_type in ('DEL', 'INS', 'TDUP')")))
     turned = clusters.cluster(clusters.shapes(rows.where("sv_type = 'INV'")), both_sides=True, between=True)
-    members = straight.unionByName(turned).join(rows.drop("chrom", "sv_type"), "ev_id")
+    copied = evidence.span_caps(evidence.evidence_fanout(rows).where("sv_type in ('INVDUP', 'INTERDUP')"))
+    found = straight.unionByName(turned).unionByName(clusters.duplications(copied))
+    members = found.join(rows.drop("chrom", "sv_type"), "ev_id")
+    copy = F.col("sv_type").isin(*scoring.DUPLICATIONS)
+    start, end = F.when(F.col("l_or") == "F", F.col("l_end")).otherwise(F.col("l_start")), F.when(F.col("r_or") == "F", F.col("r_end")).otherwise(F.col("r_start"))
+    strand = F.when(copy & F.col("sv_type").endswith("_RIGHT"), F.when(F.col("l_or") == "F", "R").otherwise("F")).otherwise(F.col("l_or"))
+    members = members.withColumns({"l_end": F.when(copy, start).otherwise(F.col("l_end")), "r_start": F.when(copy, end).otherwise(F.col("r_start")), "l_or": strand})
     members = store(clusters.read_cluster_cap(clusters.clonal_dedup(members)), "cluster-members")
     enough = members.groupBy("cluster_id").agg(F.count("*").alias("_n")).where("_n >= 2").select("cluster_id")
     return members.join(enough, "cluster_id")
