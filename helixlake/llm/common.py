@@ -3,18 +3,19 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from functools import reduce
 from typing import Any
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.stored import scratch, scratch_dir, store
 
-__all__ = ["Memory", "bound_batches", "crc_mod", "filter_bit", "filter_of", "free_name", "release", "scratch", "scratch_dir", "store", "table"]
+__all__ = ["Memory", "bound_batches", "crc_mod", "filter_bit", "filter_of", "free_name", "release", "scratch", "scratch_dir", "slices", "store", "table"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -42,6 +43,17 @@ def limit_rows(spark: SparkSession, rows: int) -> None:
         spark.conf.set(key, str(max(1, rows)))
 
 
+def slices(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:
+    """The batches cut into runs of rows whose texts take `size` bytes at most, or single rows."""
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        start = 0
+        while start < len(ends):
+            stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + size, "right")))
+            yield batch.slice(start, stop - start)
+            start = stop
+
+
 def release() -> None:
     """Gives back to the system what earlier tasks of a reused Python worker have freed: allocators keep it otherwise."""
     pa.default_memory_pool().release_unused()

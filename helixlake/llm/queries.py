@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.llm import language, toxicity
+from helixlake.llm.alignment import token_alignment
 from helixlake.llm.common import crc_mod, table
 from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.html_text import main_texts
@@ -86,6 +87,13 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    a, b = (str(public_tokenizers.path(name)) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment(table(spark, sf_dir, "documents"), a, b)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_language": op1_language,
     "op2_quality": op2_quality,
@@ -97,5 +105,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_decontaminate": op10_decontaminate,
+    "op13_token_alignment": op13_token_alignment,
 }
 
