@@ -90,4 +90,18 @@ near as (select r, count(distinct item_id) as near_items from met join needed us
 select doc_id, len(w) as n_words, coalesce(n_hit, 0) as n_hit, coalesce(n_items, 0) as n_items, sha256(coalesce(names, '')) as items_sha256, coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated,
   coalesce(near_items, 0) as near_items from d left join hit using (r) left join items using (r) left join near using (r)"""
 
-ORACLE_SQL = {"op2_quality": OP2, "op5_licences": OP5, "op7_near_duplicates": OP7, "op10_decontaminate": OP10}
+OP12 = rf"""with pieces as (select coalesce(lang, 'und') as lang, unnest(string_split_regex({LOWER}, '[.,;:!?\x0A-\x0D]')) as piece from documents),
+parts as (select lang, regexp_extract_all(piece, '[^\x20\x09]+') as w from pieces),
+totals as (select lang, cast(sum(len(w)) as bigint) as n from parts group by 1),
+runs as (select lang, g, array_to_string(w[k:k + g - 1], ' ') as phrase from (select lang, w, g, unnest(range(1, len(w) - g + 2)) as k from parts, (select unnest(range(1, 6)) as g) where len(w) >= g)),
+counted as (select lang, g, phrase, count(*) as f from runs group by all having count(*) >= 100),
+candidates as (select lang, g, phrase, f as a, string_split(phrase, ' ') as w from counted where g > 1),
+inside as (select lang, phrase, max(a) as longer from (select lang, a, array_to_string(w[k:k + m - 1], ' ') as phrase from (select lang, a, w, m, unnest(range(1, g - m + 2)) as k from candidates, (select unnest(range(2, 5)) as m) where m < g)) group by all),
+own as (select c.* from candidates c left join inside i using (lang, phrase) where i.longer is null or 100 * i.longer < 100 * c.a),
+cuts as (select lang, phrase, a, k, array_to_string(w[1:k], ' ') as head, array_to_string(w[k + 1:g], ' ') as rest from (select *, unnest(range(1, g)) as k from own)),
+scored as (select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, t.n, cast((1000::hugeint * c.a * t.n) // (x.f::hugeint * y.f) as bigint) as score from cuts c join counted x on x.lang = c.lang and x.phrase = c.head
+  join counted y on y.lang = c.lang and y.phrase = c.rest join totals t on t.lang = c.lang),
+best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
+select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from best qualify rank <= 2000"""
+
+ORACLE_SQL = {"op12_collocations": OP12, "op2_quality": OP2, "op5_licences": OP5, "op7_near_duplicates": OP7, "op10_decontaminate": OP10}

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from helixlake.llm import language, toxicity
 from helixlake.llm.alignment import token_alignment
+from helixlake.llm.collocations import collocations
 from helixlake.llm.common import crc_mod, table
 from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.html_text import main_texts
@@ -87,6 +88,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -105,6 +110,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_decontaminate": op10_decontaminate,
+    "op12_collocations": op12_collocations,
     "op13_token_alignment": op13_token_alignment,
 }
 
