@@ -104,4 +104,7 @@ scored as (select c.lang, c.phrase, c.a, c.k, x.f as l, y.f as r, t.n, cast((100
 best as (select * from scored qualify row_number() over (partition by lang, phrase order by score, k) = 1)
 select lang, row_number() over (partition by lang order by score desc, a desc, phrase) as rank, phrase, a, l, r, n, score from best qualify rank <= 2000"""
 
-ORACLE_SQL = {"op12_collocations": OP12, "op2_quality": OP2, "op5_licences": OP5, "op7_near_duplicates": OP7, "op10_decontaminate": OP10}
+#: The same join at another threshold, without a choice among members.
+OP11 = OP7.replace("100 * c >= 75 *", "100 * c >= 80 *").replace(", doc_id = component_id as kept", "")
+
+ORACLE_SQL = {"op11_ngram_join": OP11, "op12_collocations": OP12, "op2_quality": OP2, "op5_licences": OP5, "op7_near_duplicates": OP7, "op10_decontaminate": OP10}

@@ -15,6 +15,7 @@ from helixlake.llm.decontaminate import decontaminate
 from helixlake.llm.html_text import main_texts
 from helixlake.llm.licences import scan
 from helixlake.llm.near_dup import near_duplicates
+from helixlake.llm.ngram_join import similar_documents
 from helixlake.llm.oracle import ORACLE_SQL
 from helixlake.llm.packing import pack_documents
 from helixlake.llm.pseudonyms import pseudonym_report
@@ -88,6 +89,10 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("item_ids")
 
 
+def op11_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similar_documents(table(spark, sf_dir, "documents"))
+
+
 def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations(table(spark, sf_dir, "documents"))
 
@@ -110,6 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_pack": op8_pack,
     "op9_pseudonyms": op9_pseudonyms,
     "op10_decontaminate": op10_decontaminate,
+    "op11_ngram_join": op11_ngram_join,
     "op12_collocations": op12_collocations,
     "op13_token_alignment": op13_token_alignment,
 }

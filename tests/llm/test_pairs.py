@@ -23,7 +23,7 @@ def frame(spark, rows):
     return spark.createDataFrame([(i, t, "en", "s", 1, 7, 7, 7, "x") for i, t in rows], DOCS)
 
 
-def brute_components(rows):
+def brute_components(rows, percent=75):
     sets = {}
     for i, t in rows:
         w = re.findall(rb"[^\x20\x09-\x0D]+", (t or "").encode().lower())
@@ -45,7 +45,7 @@ def brute_components(rows):
             for j in by[x]:
                 common[j] += 1
         for j, c in common.items():
-            if j > i and 100 * c >= 75 * (len(s) + len(sets[j]) - c):
+            if j > i and 100 * c >= percent * (len(s) + len(sets[j]) - c):
                 a, b = sorted((find(i), find(j)))
                 parent[b] = a
     return {i: (len(s), find(i)) for i, s in sets.items()}
