@@ -8,11 +8,11 @@
    of those that have nothing else in the range. Sets below SMALL take their least hashes as ranges of one (similar sets
    share one of these). Of a set only as many ranges are written as it takes; a set with too few filled ranges, which only
    chance could make, is dealt to tiles by every shingle, together with all sets that share one with it.
-3. Each tile proposes links between its members and the least of them. Links are confirmed by intersecting sorted arrays.
+3. Each tile proposes links between its members and the least of them. Parity bitmaps, of more bits than the sets have
+   elements, differ in no more bits than the sets in elements, so that the bits that differ bound the overlap from above;
+   what they let pass is confirmed by intersecting sorted arrays.
 4. Tiles whose members then lie in more than one component are looked through once more, in square blocks of bounded size;
-   tiles of equal members count once. First with parity bitmaps alone, of more bits than the sets have elements: two
-   bitmaps differ in no more bits than the sets in elements, so that the bits that differ bound the overlap from above.
-   Only members with a partner that the bound lets pass come back with their sets, for exact intersections.
+   tiles of equal members count once. First with bitmaps alone; only members with a partner that the bitmaps let pass come back with their sets, for exact intersections.
 5. Components over all confirmed links, by alternating large-star and small-star.
 
 No pair at or above the threshold is lost, but for collisions of 64-bit hashes. Members of one component needn't be
@@ -166,12 +166,14 @@ def _key(own: np.ndarray) -> bytes | None:
 
 
 def sketches(docs: DataFrame, percent: int) -> DataFrame:
-    """doc_id, n_shingles, set_key (null for an empty set), enough (see tile_keys)."""
+    """doc_id, n_shingles, set_key and bits (null for an empty set), enough (see tile_keys)."""
 
     def make(ids: pa.Array, sets: list[np.ndarray]) -> list:
-        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array([bool(tile_keys(s, percent)[1]) for s in sets], pa.bool_())]
+        bits = [bitmap(s).tobytes() if len(s) else None for s in sets]
+        enough = [bool(tile_keys(s, percent)[1]) for s in sets]
+        return [ids, pa.array([len(s) for s in sets], pa.int64()), pa.array([_key(s) for s in sets], pa.binary()), pa.array(bits, pa.binary()), pa.array(enough, pa.bool_())]
 
-    return _over(docs, make, "doc_id long, n_shingles long, set_key binary, enough boolean", name="doc_id")
+    return _over(docs, make, "doc_id long, n_shingles long, set_key binary, bits binary, enough boolean", name="doc_id")
 
 
 def tiles(docs: DataFrame, reps: DataFrame, scarce: DataFrame, percent: int) -> DataFrame:
@@ -198,13 +200,13 @@ def tiles(docs: DataFrame, reps: DataFrame, scarce: DataFrame, percent: int) ->
 
 
 def payloads(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """rep, shingles (sorted), bits, of at least the documents in ids, from their texts."""
+    """rep, shingles (sorted), of at least the documents in ids, from their texts."""
 
     def load(batch_ids: pa.Array, sets: list[np.ndarray]) -> list:
         keep = [k for k, s in enumerate(sets) if len(s)]
-        return [batch_ids.take(pa.array(keep, pa.int64())), pa.array([sets[k].tobytes() for k in keep], pa.binary()), pa.array([bitmap(sets[k]).tobytes() for k in keep], pa.binary())]
+        return [batch_ids.take(pa.array(keep, pa.int64())), pa.array([sets[k].tobytes() for k in keep], pa.binary())]
 
-    return _over(docs, load, "rep long, shingles binary, bits binary", filter_of(ids, F.xxhash64("rep")))
+    return _over(docs, load, "rep long, shingles binary", filter_of(ids, F.xxhash64("rep")))
 
 
 def _dealt(members: DataFrame, most: int, shingles: int) -> DataFrame:
@@ -237,6 +239,24 @@ def _let_pass(a: int, b: np.ndarray, apart: np.ndarray, percent: int) -> np.ndar
     return 100 * (a + b - apart) >= percent * (a + b + apart)
 
 
+def close(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) that the bitmaps let pass. sized: rep, n, bits."""
+
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n, m = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            apart = np.zeros(batch.num_rows, np.int64)
+            for k, (x, y) in enumerate(zip(batch.column(4), batch.column(5))):
+                x, y = np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U)
+                words = min(len(x), len(y))
+                apart[k] = np.bitwise_count(_folded(x, words) ^ _folded(y, words)).sum()
+            yield batch.select([0, 1]).filter(pa.array(_let_pass(n, m, apart, percent)))
+
+    of = lambda c, n, bits: sized.select(F.col("rep").alias(c), F.col("n").alias(n), F.col("bits").alias(bits))
+    joined = pairs.join(of("b", "m", "bits_b"), "b").join(of("a", "n", "bits_a"), "a").where(f"100 * least(n, m) >= {percent} * greatest(n, m)")
+    return joined.select("a", "b", "n", "m", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
+
+
 def _bounded(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
     """Members of a block that have a partner in another component which the bitmaps let pass."""
     n, comp = frame["n"].to_numpy(), frame["component"].to_numpy()
@@ -278,16 +298,18 @@ def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 def _similar(docs: DataFrame, percent: int) -> DataFrame:
     sketch = store(sketches(docs, percent), "set-keys")
     classes = sketch.where("set_key is not null and doc_id is not null").groupBy("set_key")
-    classes = store(classes.agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("enough").alias("enough")), "set-classes")
+    classes = classes.agg(F.min("doc_id").alias("rep"), *[F.first(c).alias(as_c) for c, as_c in (("n_shingles", "n"), ("enough", "enough"), ("bits", "bits"))])
+    classes = store(classes, "set-classes")
     dealt = tiles(docs, classes, classes.where("not enough").select("rep"), percent)
     by_tile = Window.partitionBy("tile").orderBy("rep")
     shared = dealt.withColumn("head", F.first("rep").over(by_tile)).where("rep <> head")
     shared = store(shared.select("tile", "head", "rep").distinct(), "shared-tiles")
     star = store(shared.select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct(), "star")
-    loaded = store(payloads(docs, star.select(F.explode(F.array("a", "b")).alias("rep"))), "sets")
-    first = store(confirmed(star, loaded.select("rep", "shingles"), percent), "star-links")
+    star = store(close(star, classes, percent), "close-star")
+    sets = payloads(docs, star.select(F.explode(F.array("a", "b")).alias("rep")))
+    first = store(confirmed(star, store(sets, "star-sets"), percent), "star-links")
     part = store(connected_components(first, "star-components"), "star-parts")
-    edges = part.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_across_tiles(shared, loaded, part, classes, percent))
+    edges = part.select(F.col("component").alias("a"), F.col("node").alias("b")).union(_across_tiles(docs, shared, part, classes, percent))
     final = connected_components(edges, "similar-components")
 
     named = classes.select("set_key", "rep").join(final.withColumnRenamed("node", "rep"), "rep", "left")
@@ -296,7 +318,7 @@ def _similar(docs: DataFrame, percent: int) -> DataFrame:
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
-def _across_tiles(shared: DataFrame, loaded: DataFrame, part: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+def _across_tiles(docs: DataFrame, shared: DataFrame, part: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """Confirmed links between components within tiles."""
     # Tiles with the same members are one; of two members the links are known.
     member = F.xxhash64("rep")
@@ -308,8 +330,8 @@ def _across_tiles(shared: DataFrame, loaded: DataFrame, part: DataFrame, classes
     rows = store(rows.join(classes.select("rep", "n"), "rep").select("tile", "rep", "n", "component"), "tile-members")
     split = rows.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tile")
     rows = store(rows.join(store(split, "open-tiles"), "tile"), "open-members")
-    bits = loaded.select("rep", "bits")
+    bits = classes.select("rep", "bits")
     survivors = _dealt(rows, BLOCK, 1 << 40).join(bits, "rep").groupBy("tile", "low", "high").applyInPandas(lambda frame: _bounded(frame, percent), "tile long, rep long")
     near = store(rows.join(store(survivors.distinct(), "let-pass"), ["tile", "rep"], "left_semi"), "near-members")
-    sets = loaded.select("rep", "shingles")
+    sets = store(payloads(docs, near.select("rep")), "near-sets")
     return _dealt(near, SET_BLOCK, SET_SHINGLES).join(sets, "rep").groupBy("tile", "low", "high").applyInPandas(lambda frame: _joined(frame, percent), "a long, b long")
