@@ -31,7 +31,6 @@ import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
@@ -225,13 +224,50 @@ def _dealt(members: DataFrame, most: int, shingles: int) -> DataFrame:
     return met.select("tile", "rep", "n", "component", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), (F.col("own") > F.col("other")).cast("int").alias("side"))
 
 
-def _sides(frame: pd.DataFrame) -> Iterator[tuple[int, np.ndarray]]:
-    """Of a block, each row of the first side with the rows that it may meet."""
-    side = frame["side"].to_numpy()
-    same = frame["low"].iloc[0] == frame["high"].iloc[0]
-    right = np.flatnonzero(side == 1) if not same else np.arange(len(side))
-    for i in np.flatnonzero(side == 0).tolist():
-        yield i, right[right > i] if same else right
+def _by_block(dealt: DataFrame, kernel: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str) -> DataFrame:
+    """What kernel gives for the rows of each block. A task takes its blocks one after the other from sorted rows, so that a
+    block costs no more than it holds."""
+
+    def starts(rows: pa.RecordBatch) -> np.ndarray:
+        keys = [rows.column(c).to_numpy() for c in ("tile", "low", "high")]
+        return np.flatnonzero(np.concatenate([[True], np.logical_or.reduce([x[1:] != x[:-1] for x in keys])]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = batch if rest is None else pa.Table.from_batches([rest, batch]).combine_chunks().to_batches()[0]
+            at = starts(rows).tolist()
+            for a, b in zip(at, at[1:]):
+                if (out := kernel(rows.slice(a, b - a))) is not None:
+                    yield out
+            rest = rows.slice(at[-1])
+        if rest is not None and (out := kernel(rest)) is not None:
+            yield out
+
+    block = ["tile", "low", "high"]
+    return dealt.repartition(*block).sortWithinPartitions(*block, "side", "rep").mapInArrow(run, schema)
+
+
+def _meeting(block: pa.RecordBatch, percent: int, bits: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Rows of a block, in pairs, that lie in different components and may be similar by their sizes, and by bitmaps if there
+    are some. Bounded numbers of pairs are looked at at once."""
+    side, n, comp = (block.column(c).to_numpy() for c in ("side", "n", "component"))
+    same = block.column("low")[0] == block.column("high")[0]
+    left, right = np.flatnonzero(side == 0), np.arange(len(side)) if same else np.flatnonzero(side == 1)
+    step = max(1, (1 << 21) // max(1, len(right) * (1 if bits is None else bits.shape[1])))
+    for k in range(0, len(left), step):
+        own = left[k : k + step]
+        x, y = n[own][:, None], n[right][None, :]
+        good = (comp[own][:, None] != comp[right][None, :]) & _let_pass(x, y, np.abs(x - y), percent)
+        if same:
+            good &= own[:, None] < right[None, :]
+        if bits is not None and good.any():
+            good &= _let_pass(x, y, np.bitwise_count(bits[own][:, None, :] ^ bits[right][None, :, :]).sum(axis=2, dtype=np.int64), percent)
+        i, j = np.nonzero(good)
+        if len(i):
+            yield own[i], right[j]
 
 
 def _let_pass(a: int, b: np.ndarray, apart: np.ndarray, percent: int) -> np.ndarray:
@@ -257,34 +293,31 @@ def close(pairs: DataFrame, sized: DataFrame, percent: int) -> DataFrame:
     return joined.select("a", "b", "n", "m", "bits_a", "bits_b").mapInArrow(check, "a long, b long")
 
 
-def _bounded(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
-    """Members of a block that have a partner in another component which the bitmaps let pass."""
-    n, comp = frame["n"].to_numpy(), frame["component"].to_numpy()
-    bits = [np.frombuffer(x, U) for x in frame["bits"]]
-    words = min(map(len, bits))
-    table = np.stack([_folded(x, words) for x in bits])
-    good = np.zeros(len(frame), bool)
-    for i, others in _sides(frame):
-        others = others[(comp[others] != comp[i]) & _let_pass(n[i], n[others], np.abs(n[others] - n[i]), percent)]
-        if len(others):
-            apart = np.bitwise_count(table[others] ^ table[i]).sum(axis=1, dtype=np.int64)
-            found = others[_let_pass(n[i], n[others], apart, percent)]
-            good[found] = True
-            good[i] |= len(found) > 0
-    return frame.loc[good, ["tile", "rep"]]
-
-
-def _joined(frame: pd.DataFrame, percent: int) -> pd.DataFrame:
+def _bounded(block: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
+    """tile, rep: members of a block that have a partner in another component which the bitmaps let pass."""
+    raw = block.column("bits").to_pylist()
+    sizes = {len(x) for x in raw}
+    if len(sizes) == 1:
+        bits = np.frombuffer(b"".join(raw), U).reshape(len(raw), -1)
+    else:
+        bits = np.stack([_folded(np.frombuffer(x, U), min(sizes) // 8) for x in raw])
+    good = np.zeros(len(raw), bool)
+    for i, j in _meeting(block, percent, bits):
+        good[i] = good[j] = True
+    return block.select(["tile", "rep"]).filter(pa.array(good)) if good.any() else None
+
+
+def _joined(block: pa.RecordBatch, percent: int) -> pa.RecordBatch | None:
     """Links between components in a block, as many as it takes to join what they join."""
-    rep, comp, n = (frame[c].to_numpy().copy() for c in ("rep", "component", "n"))
-    sets = [np.frombuffer(x, U) for x in frame["shingles"]]
+    rep, comp = block.column("rep").to_numpy(), block.column("component").to_numpy().copy()
+    sets = [np.frombuffer(x.as_buffer(), U) for x in block.column("shingles")]
     out: list[tuple[int, int]] = []
-    for i, others in _sides(frame):
-        for k in others[_let_pass(n[i], n[others], np.abs(n[others] - n[i]), percent)].tolist():
+    for left, right in _meeting(block, percent):
+        for i, k in zip(left.tolist(), right.tolist()):
             if comp[k] != comp[i] and _linked(sets[i], sets[k], percent):
                 out.append((min(rep[i], rep[k]), max(rep[i], rep[k])))
                 comp[comp == comp[k]] = comp[i]
-    return pd.DataFrame(np.array(out, np.int64).reshape(-1, 2), columns=["a", "b"])
+    return pa.RecordBatch.from_arrays([pa.array([x[c] for x in out], pa.int64()) for c in (0, 1)], ["a", "b"]) if out else None
 
 
 def similar_documents(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -331,7 +364,7 @@ def _across_tiles(docs: DataFrame, shared: DataFrame, part: DataFrame, classes:
     split = rows.groupBy("tile").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high").select("tile")
     rows = store(rows.join(store(split, "open-tiles"), "tile"), "open-members")
     bits = classes.select("rep", "bits")
-    survivors = _dealt(rows, BLOCK, 1 << 40).join(bits, "rep").groupBy("tile", "low", "high").applyInPandas(lambda frame: _bounded(frame, percent), "tile long, rep long")
+    survivors = _by_block(_dealt(rows, BLOCK, 1 << 40).join(bits, "rep"), lambda block: _bounded(block, percent), "tile long, rep long")
     near = store(rows.join(store(survivors.distinct(), "let-pass"), ["tile", "rep"], "left_semi"), "near-members")
     sets = store(payloads(docs, near.select("rep")), "near-sets")
-    return _dealt(near, SET_BLOCK, SET_SHINGLES).join(sets, "rep").groupBy("tile", "low", "high").applyInPandas(lambda frame: _joined(frame, percent), "a long, b long")
+    return _by_block(_dealt(near, SET_BLOCK, SET_SHINGLES).join(sets, "rep"), lambda block: _joined(block, percent), "a long, b long")
