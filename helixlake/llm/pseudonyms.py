@@ -6,8 +6,10 @@ up. The permutation depends on the key and the kind alone, so equal values get e
 different values get different ones, and the same key undoes it.
 
 Kinds: card (13 to 19 digits, Luhn), iban (mod 97), phone (North American: with country code or brackets, or a possible number), ssn, ip
-(dotted quad), date (ISO, and day/month/year or month/day/year with slashes or dots: the day moves within 1900 to 2099),
-email (name; the domain stays), key (cloud access keys, and long values after token, secret, key or password).
+(dotted quad of version 4), date (ISO, and day/month/year or month/day/year with slashes or dots: the day moves within 1900 to 2099,
+with years of four digits), email (name; the domain stays), key (cloud access keys, and values after token, secret,
+password, passwd or api key in letters of any case). Numbers of other countries' phones, addresses of version 6 and years of two
+digits are no kinds, and stay.
 
 Defined cases: a null text stays null, an empty one empty; what fails its checks stays as it is; repeated rows and null
 ids are rows like others; a text of any length is taken whole; an empty table gives an empty result; other columns pass
@@ -23,6 +25,7 @@ import re
 from collections.abc import Callable, Iterator
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -30,6 +33,8 @@ from pyspark.sql import functions as F
 from helixlake.llm.common import bound_batches
 
 ROUNDS = 8
+#: Letters of a word that are still taken for one number.
+LONG = 64
 
 
 class Feistel:
@@ -62,6 +67,27 @@ class Feistel:
         return x
 
 
+class LongFeistel:
+    """A keyed permutation of words of `length` digits below `size`, for words too long to be taken for one number: halves of
+    the digits are added in turn to streams keyed by the other half, in time proportional to the length."""
+
+    def __init__(self, key: bytes, kind: str, size: int, length: int):
+        self.mac, self.size, self.half = hmac.new(key, f"{kind}/{size}/{length}/long".encode(), hashlib.sha256), size, length // 2
+
+    def _stream(self, k: int, other: np.ndarray, n: int) -> np.ndarray:
+        mac = self.mac.copy()
+        mac.update(bytes([k]) + other.astype("<u2").tobytes())
+        return (np.frombuffer(hashlib.shake_256(mac.digest()).digest(8 * n), "<u8") % np.uint64(self.size)).astype(np.int64)
+
+    def permuted(self, digits: np.ndarray, back: bool = False) -> np.ndarray:
+        halves = [digits[: self.half], digits[self.half :]]
+        for k in reversed(range(ROUNDS)) if back else range(ROUNDS):
+            own, other = k % 2, 1 - k % 2
+            stream = self._stream(k, halves[other], len(halves[own]))
+            halves[own] = (halves[own] + (-stream if back else stream)) % self.size
+        return np.concatenate(halves)
+
+
 def luhn(digits: str) -> int:
     """0 for a valid number."""
     total = 0
@@ -95,6 +121,9 @@ class Pseudonyms:
 
     def _letters(self, kind: str, word: str, alphabet: str, back: bool) -> str:
         size = len(alphabet)
+        if len(word) > LONG:
+            digits = np.array([alphabet.index(c) for c in word], np.int64)
+            return "".join(map(alphabet.__getitem__, LongFeistel(self.key, kind, size, len(word)).permuted(digits, back).tolist()))
         x = 0
         for c in word:
             x = x * size + alphabet.index(c)
@@ -204,8 +233,9 @@ class Pseudonyms:
         return whole[:start] + made + whole[start + len(value) :]
 
     PATTERN = re.compile(
-        r"(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
-        r"|(?P<key>\b(?P<k1>A[KS]IA[A-Z0-9]{16})\b|\b(?:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<k2>[A-Za-z0-9+/=_.-]*[A-Za-z0-9+/=_-]))"
+        # A name begins where its run of characters does, so that no run is looked at from each of its letters.
+        r"(?<![A-Za-z0-9._%+-])[._%+-]*(?P<email>[A-Za-z0-9][A-Za-z0-9._%+-]*@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+)"
+        r"|(?P<key>\b(?P<k1>A[KS]IA[A-Z0-9]{16})\b|\b(?i:token|secret|password|passwd|api[_-]?key)\b[\"']?\s*[=:]\s*[\"']?(?P<k2>[A-Za-z0-9+/=_.-]*[A-Za-z0-9+/=_-]))"
         r"|\b(?P<iban>[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?)\b"
         r"|(?<![\w.])(?P<ip>[0-9]{1,3}(?:\.[0-9]{1,3}){3})(?![\w]|\.[0-9])"
         r"|(?<![\w./-])(?P<date>(?P<d1>[0-9]{4}|[0-9]{1,2})(?P<sep>[-/.])(?P<d2>[0-9]{1,2})(?P=sep)(?P<d3>[0-9]{4}|[0-9]{1,2}))(?![\w/-]|\.[0-9])"
@@ -224,17 +254,17 @@ class Pseudonyms:
             made = self.kinds[kind](m, back)
             if made is None:
                 continue
-            out += [text[at : m.start()], made]
-            size += m.start() - at
+            out += [text[at : m.start(kind)], made]
+            size += m.start(kind) - at
             found.append((kind, size, size + len(made)))
             size += len(made)
-            at = m.end()
+            at = m.end(kind)
         out.append(text[at:])
         return "".join(out), found
 
 
 #: Every match of PATTERN holds one of these: an e-mail name has @, keys are of three kinds, and all else has digits.
-HINT = re.compile(r"[0-9@]|A[KS]IA|token|secret|passw|key")
+HINT = re.compile(r"[0-9@]|A[KS]IA|(?i:token|secret|passw|key)")
 
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:

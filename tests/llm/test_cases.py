@@ -1,6 +1,7 @@
 """Very long texts, clashing column names, marks taken off pages, several blocks of windows, full licence texts."""
 
 import re
+import time
 from collections import Counter
 
 import numpy as np
@@ -81,6 +82,36 @@ def test_what_has_a_match_has_a_hint(text):
     assert Pseudonyms.PATTERN.search(text) and HINT.search(text)
 
 
+@pytest.mark.parametrize("text", ["password=" + "aB3/" * 25_000, "Token: " + "0f" * 50_000, "q" * 100_000 + "@mail.example.com", "SECRET='" + "Zz" * 50_000 + "'", "7" * 100_000 + "@a.bc"])
+def test_long_values_come_back(text):
+    own = Pseudonyms(b"key")
+    made, found = own.replaced(text)
+    assert len(found) == 1 and made != text and len(made) == len(text) and own.replaced(made, back=True)[0] == text
+    assert own.replaced(text)[0] == made != Pseudonyms(b"other").replaced(text)[0]
+
+
+def test_marks_before_a_name_stay():
+    made, found = Pseudonyms(b"key").replaced("see ..ann@mail.example.com, -bob@x.org")
+    assert made.startswith("see ..") and ", -" in made and [made[a:b].split("@")[1] for _, a, b in found] == ["mail.example.com", "x.org"]
+
+
+@pytest.mark.parametrize("run", ["a1", "a.", "..", "1-", "token ", "token=", "@", "a@", "a@b.", "AB12", "1.", "(", "0 ", "A" * 16])
+def test_runs_of_a_megabyte_take_seconds(run):
+    text = run * (1_000_000 // len(run))
+    began = time.time()
+    own = Pseudonyms(b"key")
+    made, _ = own.replaced(text)
+    assert time.time() - began < 60 and own.replaced(made, back=True)[0] == text
+
+
+@pytest.mark.parametrize("run", ["<a", "<", "<!", "<script", "<a \"", "<a '", "<a x='\"", "</script ", "</", "&#", "<!--", "<p class=", "<a b", "<div class=\"x\" ", "a>"])
+def test_odd_markup_takes_seconds(run):
+    began = time.time()
+    extract(run * (1_000_000 // len(run)))
+    extract("<script>" + run * (500_000 // len(run)))
+    assert time.time() - began < 20
+
+
 def test_full_and_wrapped_licences(spark):
     full = {name: wording for name, wording in TEMPLATES if len(wording.split()) > 60}
     rows = [(k, f"d{k}/note", f"Copyright (c) 2020 Some One\n\n{wording}") for k, wording in enumerate(full.values())]
