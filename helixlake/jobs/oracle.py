@@ -104,7 +104,7 @@ sided_votes as (select s.cluster_id, s.ev_id, s.l_end, s.r_start, count(*) filte
   count(*) filter (m.ev_id <> s.ev_id and m.l_end <> s.l_end and m.r_start <> s.r_start) as different from sided s join sided m using (cluster_id) where s.library = 'SplitRead' and m.library = 'SplitRead' and s.sv_type in ('DEL', 'TDUP', 'INV', 'MEI_F') group by all),
 better as (select cluster_id, arg_max(l_end, ev_id) as l, arg_max(r_start, ev_id) as r from sided_votes join sums using (cluster_id) where same >= different and rp > 5 and sr > 3 group by 1),
 final_ends as (select b.cluster_id, chrom, sv_type, coalesce(l, inner_start) as i_s, coalesce(l, outer_start) as o_s, coalesce(r, inner_end) as i_e, coalesce(r, outer_end) as o_e, l is not null as precise from sided_bounds b left join better using (cluster_id)),
-own_samples as (select b.cluster_id, string_agg(printf('%s:%.6f:%d:%d', ['0/0', '0/1', '1/0', '1/1'][cast(zygosity + 1 as int)], score, coalesce(rp, 0), coalesce(sr, 0)), chr(9) order by x.sample) as samples
+own_samples as (select b.cluster_id, string_agg(printf('%s:%.6f:%d:%d', case when coalesce(rp, 0) > 0 then ['0/0', '0/1', '1/0', '1/1'][cast(zygosity + 1 as int)] else '0/0' end, score, coalesce(rp, 0), coalesce(sr, 0)), chr(9) order by x.sample) as samples
   from sided_bounds b join scores x on x.cluster_id = regexp_replace(b.cluster_id, '^[A-Z]+_[A-Z]+:', '') left join sided_support s on s.cluster_id = b.cluster_id and s.sample = x.sample group by 1),
 records as (select chrom, p + 1 as pos, concat('sv_', case k when 'F' then 'mei' when 'R' then 'numt' when 'RIGHT' then 'dup' when 'LEFT' then 'dup' when 'TDUP' then 'dup' else lower(sv_type) end, '_', cluster_id) as id, '.' as ref,
   case sv_type when 'DEL' then case when o_s % 7 = 0 then '<DEL:ME:SINE/Alu>' else '<DEL>' end when 'INS' then '<INS>' when 'INV' then '<INV>' when 'TDUP' then '<DUP:TANDEM>' when 'MEI_F' then '<INS:ME:SINE/Alu>' when 'NUMT_R' then '<INS:MT>' else '<DUP:ISP>' end as alt,
@@ -151,6 +151,10 @@ BODIES = {
     "evidence_union": "select library, sv_type, count(*) as n, cast(sum(l_start) as bigint) as l_sum, cast(sum(r_start) as bigint) as r_sum from (select library, sv_type, l_start, r_start from evidence union all select 'Alternative', 'DEL', l_pos, r_pos from alr union all select 'SplitRead', sv_type, start_pos, pos2 from split_rows) group by all",
     "evidence_fanout": "select ev_id, sv_type from fanned",
     "split_fanout": "select clip_id, split_class, sv_type, orient, start_pos from split_rows",
+    "split_evidence": """select clip_id, split_class, k.sv_type, k.l_or, k.r_or, ls + a as l_start, le + a as l_end, rs + b as r_start, re + b as r_end, case when split_class = 'FFAB' or split_class <> 'FFBA' and clip_side = 'TAIL' then le else ls end as bp_l,
+  case when split_class = 'FFBA' or split_class <> 'FFAB' and clip_side = 'TAIL' then re else rs end as bp_r, 0 as min_delta, 100 as max_delta
+from h join (values ('FFAB', 'DEL', 'F', 'R', -20, 20), ('FFAB', 'INTERDUP', 'F', 'R', -20, 20), ('FFBA', 'TDUP', 'R', 'F', -20, 20), ('FFBA', 'INTERDUP', 'R', 'F', -20, 20), ('X', 'INV', 'F', 'F', -20, -20), ('X', 'INV', 'R', 'R', 20, 20), ('X', 'INVDUP', 'F', 'F', 20, 20), ('X', 'INVDUP', 'R', 'R', 20, 20)) k(kind, sv_type, l_or, r_or, a, b)
+  on k.kind = case when split_class like 'FF%' then split_class else 'X' end where le < rs and pos <> hit_pos""",
     "span_caps": "select ev_id, sv_type, r_start + ev_id % 3 * 60000 as r_start from fanned where case sv_type when 'DEL' then r_start + ev_id % 3 * 60000 - l_start < 1000000 when 'INV' then r_start + ev_id % 3 * 60000 - l_start < 5000000 when 'INVDUP' then r_start + ev_id % 3 * 60000 - l_start < 100000 when 'INTERDUP' then r_start + ev_id % 3 * 60000 - l_start < 100000 when 'INS' then r_start + ev_id % 3 * 60000 > l_end else true end",
     "unique_reads": "select read_name from evidence union select read_name from alignments where isize > 0 union select read_name from mates where mate_chrom = 'chrM'",
     "read_ids": "select read_name, row_number() over (order by read_name) - 1 as read_id from (select distinct read_name from evidence)",
@@ -244,7 +248,7 @@ BODIES = {
     "sv_conflicts": "select a, b from clash",
     "conflict_triples": "select x.a, x.b, y.b as c from clash x join clash y on x.b = y.a join clash z on z.a = x.a and z.b = y.b",
     "breakpoint_votes": "select * from votes",
-    "mei_call_filter": "select cluster_id, case when exists (select 1 from repeats r where r.chrom = c.chrom and c.start_pos <= r.end_pos and r.start_pos <= c.end_pos and (r.repeat_class = 'Satellite' or r.repeat_class = case when c.start_pos % 2 = 0 then 'SINE/Alu' else 'LINE/L1' end)) then 'mfilt' else 'PASS' end as filter from calls c",
+    "mei_call_filter": "select cluster_id, case when exists (select 1 from places p join repeats r on r.chrom = p.chrom and p.a <= r.end_pos and r.start_pos <= p.b where p.cluster_id = m.cluster_id and (r.repeat_class = 'Satellite' or r.repeat_class = case when p.place = 'all' then p.element else p.name end and (r.strand = p.strand) <> (p.place = 'middle' and p.strand = '+'))) then 'mfilt' else 'PASS' end as filter from m",
     "report_filter": "select cluster_id, cast(sum(rp) as bigint) as rp, cast(sum(sr) as bigint) as sr, sum(sr) > 3 as refined from support group by 1 having sum(rp) > 5",
 }
 BODIES["observed_rd"] = "select s.span_id, m.sample, cast(coalesce((select sum(n) from depth d where d.chrom = s.chrom and d.sample = m.sample and d.pos >= s.start_pos and d.pos < s.end_pos), 0) as bigint) as observed_rd from spans s cross join (select distinct sample from depth) m"
@@ -272,10 +276,12 @@ PAIR_SHAPES = {
 }
 #: Views of one query alone.
 EXTRA = {
+    "split_evidence": f"""h as (select *, least(pos, hit_pos) as ls, greatest(pos, hit_pos) as rs, least(pos, hit_pos) + case when pos < hit_pos then 100 - clip_len else clip_len end as le, greatest(pos, hit_pos) + case when pos < hit_pos then clip_len else 100 - clip_len end as re from split_class where qual > 5 and hit_mapq > 0 and least(pos, hit_pos) > 0 and greatest(pos, hit_pos) < 1010000 and not {on('satellites', 'split_class', 'split_class.pos', 'split_class.pos + 1')} and not {on('satellites', 'split_class', 'split_class.hit_pos', 'split_class.hit_pos + 1')})""",
+    "mei_call_filter": "m as (select cluster_id, chrom, case when start_pos % 3 = 0 then '-' else '+' end as strand, start_pos as s, start_pos + 40 + start_pos % 300 as e, case when start_pos % 2 = 0 then 'SINE/Alu' else 'LINE/L1' end as element, case when start_pos % 5 < 2 then 'SINE/Alu' else 'Other/SVA' end as name from calls), places as (select *, 'all' as place, s - 1 as a, e as b from m union all select *, 'start', s, s + 1 from m union all select *, 'end', e - 1, e from m union all select *, 'middle', (s + e) // 2, (s + e) // 2 + 1 from m)",
     "maximal_sets": "sets as (select cluster_id, min(chrom) as chrom, list(ev_id order by ev_id) as s from (select ev_id, chrom, concat('a', chrom, ':', sv_type, ':', l_start // 1000) as cluster_id from evidence union all select ev_id, chrom, concat('b', chrom, ':', sv_type, ':', l_start // 1850) from evidence) group by 1)",
     "refine_breakpoints": "rough as (select cluster_id, ev_id, library, l_end - l_end % 1000 as l_end, r_start - r_start % 1000 as r_start from members), rough_votes as (select s.cluster_id, s.ev_id, s.l_end, s.r_start, count(*) filter (m.ev_id <> s.ev_id and (m.l_end = s.l_end or m.r_start = s.r_start)) as same, count(*) filter (m.ev_id <> s.ev_id and m.l_end <> s.l_end and m.r_start <> s.r_start) as different from rough s join rough m using (cluster_id) where s.library = 'SplitRead' and m.library = 'SplitRead' group by all)",
-    "cluster_mei": REGION_SETS.format(least=2, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('MEI', xor(case when (flag & 32 = 0 and strand = '-') or (flag & 32 <> 0 and strand = '+') then 2 * mei_code else 2 * mei_code + 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos as pos_end, max_delta, conc_max from (select a.*, strand, mei_code, row_number() over (partition by a.read_name, a.pos order by start_pos, end_pos, mei_code, strand) as k from alignments a join elements e on a.chrom = e.chrom and start_pos <= mate_pos and mate_pos + 100 <= end_pos where mapq > 5) join band using (library) where k = 1"),
-    "cluster_numt": REGION_SETS.format(least=0, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('NUMT', xor(case when flag & 32 = 0 then 0 else 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos + 100 as pos_end, max_delta + 200 as max_delta, conc_max from mates join band using (library) where mate_chrom = 'chrM'"),
+    "cluster_mei": REGION_SETS.format(least=2, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('MEI', xor(case when (flag & 32 = 0 and strand = '-') or (flag & 32 <> 0 and strand = '+') then 2 * mei_code else 2 * mei_code + 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos as pos_end, max_delta, conc_max from (select a.*, strand, mei_code, row_number() over (partition by a.read_name, a.pos order by start_pos, end_pos, mei_code, strand) as k from classified a join elements e on concat('chr', cast(cast(substring(a.chrom, 4, 1) as int) % 4 + 1 as varchar)) = e.chrom and start_pos <= mate_pos and mate_pos + 100 <= end_pos where mapq > 5 and class not in ('CONC', 'UNMAPPED')) a join band using (library) where k = 1"),
+    "cluster_numt": REGION_SETS.format(least=0, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('NUMT', xor(case when flag & 32 = 0 then 0 else 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos + 100 as pos_end, b.max_delta + 200 as max_delta, b.conc_max from classified join band b using (library) where nm % 2 = 0 and mapq > 5 and class not in ('CONC', 'UNMAPPED')"),
     **{f"cluster_{kind.lower()}": PAIR_SETS.format(shape=shape.format(kind=kind)) for kind, shape in PAIR_SHAPES.items()},
 }
 ORACLE_SQL = {name: BASE + (", " + EXTRA[name] + " " if name in EXTRA else "") + body for name, body in BODIES.items()}

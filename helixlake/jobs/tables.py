@@ -62,6 +62,12 @@ class Tables:
         """Alignments with a mate chromosome: mitochondrial for one in fifty, the next one for one in seventy."""
         return self.alignments.withColumn("mate_chrom", F.expr("case when rid % 50 = 0 then 'chrM' when rid % 70 = 0 then concat('chr', cast(substring(chrom, 4, 1) as int) % 4 + 1) else chrom end"))
 
+    @cached_property
+    def apart(self) -> DataFrame:
+        """Discordant alignments with their mates on the next chromosome."""
+        rows = self.classified.where("class not in ('CONC', 'UNMAPPED')").drop("class", "conc_min", "conc_max")
+        return rows.withColumn("mate_chrom", F.expr("concat('chr', cast(substring(chrom, 4, 1) as int) % 4 + 1)"))
+
     @cached_property
     def evidence(self) -> DataFrame:
         return store(calling.discordant_pairs(self.alignments, self.band), "evidence")

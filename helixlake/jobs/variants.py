@@ -164,6 +164,13 @@ def split_fanout(t: Tables) -> DataFrame:
     return _split(t)
 
 
+@query
+def split_evidence(t: Tables) -> DataFrame:
+    """Evidence rows of accepted hits, with both ends and the breakpoints."""
+    hits = evidence.split_orientation(evidence.split_accept(t.split_hits, t.satellites))
+    return evidence.split_evidence(hits).select("clip_id", "split_class", "sv_type", "l_or", "r_or", "l_start", "l_end", "r_start", "r_end", "bp_l", "bp_r", "min_delta", "max_delta")
+
+
 @query
 def span_caps(t: Tables) -> DataFrame:
     wide = evidence.evidence_fanout(t.evidence).withColumn("r_start", F.col("r_start") + F.col("ev_id") % 3 * 60000)
@@ -518,15 +525,15 @@ def _region(rows: DataFrame, t: Tables, least: int, length: int, further: int) -
 
 @query
 def cluster_mei(t: Tables) -> DataFrame:
-    """Of every read whose mate lies in a mobile element."""
-    rows = reads.mei(t.alignments.where("mapq > 5"), t.elements)
+    """Of discordant reads whose mate lies in a mobile element of another chromosome."""
+    rows = reads.mei(t.apart.where("mapq > 5"), t.elements)
     own = "if(flag & 16 = 0, 'F', 'R')"
     return _region(rows.selectExpr("rid * 2 + if(isize > 0, 0, 1) as ev_id", "chrom", f"concat('MEI', mei_type ^ if({own} = 'R', 1, 0)) as sv_type", "pos", f"{own} as or", "library"), t, 2, 0, 0)
 
 
 @query
 def cluster_numt(t: Tables) -> DataFrame:
-    rows = reads.numt(t.mates)
+    rows = reads.numt(t.apart.where("mapq > 5").withColumn("mate_chrom", F.expr("if(nm % 2 = 0, 'chrM', mate_chrom)")))
     own = "if(flag & 16 = 0, 'F', 'R')"
     return _region(rows.selectExpr("rid * 2 + if(isize > 0, 0, 1) as ev_id", "chrom", f"concat('NUMT', if(numt_type = 'R', 1, 0) ^ if({own} = 'R', 1, 0)) as sv_type", "pos", f"{own} as or", "library"), t, 0, 100, 200)
 
@@ -707,7 +714,12 @@ def refine_breakpoints(t: Tables) -> DataFrame:
 
 @query
 def mei_call_filter(t: Tables) -> DataFrame:
-    return scoring.mei_call_filter(t.calls.withColumn("element", F.expr("case when start_pos % 2 = 0 then 'SINE/Alu' else 'LINE/L1' end")), t.repeats).select("cluster_id", "filter")
+    """Calls of either strand, some of a class and some of a name that lie there."""
+    calls = t.calls.selectExpr(
+        "cluster_id", "chrom", "if(start_pos % 3 = 0, 'MEI_R', 'MEI_F') as sv_type", "start_pos as outer_start", "start_pos + 40 + start_pos % 300 as outer_end",
+        "if(start_pos % 2 = 0, 'SINE/Alu', 'LINE/L1') as element", "if(start_pos % 5 < 2, 'SINE/Alu', 'Other/SVA') as element_name",
+    )
+    return scoring.mei_call_filter(calls, t.elements, t.satellites).select("cluster_id", "filter")
 
 
 @query

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from helixlake.constants import CLIP_WINDOW, KMER, KMER_CAP, MAX_CIGAR_OPS, MAX_HITS, MIN_SOFT_CLIP, MISMATCH_SHARE, SEED_BAND, SPAN_CAPS, Params
+from helixlake.constants import CLIP_WINDOW, KMER, KMER_CAP, MAX_CIGAR_OPS, MAX_HITS, MIN_SOFT_CLIP, MISMATCH_SHARE, SEED_BAND, SPAN_CAPS, SPLIT_MAX_DELTA, Params
 from helixlake.functions.sequence import cigar_ops, hamming, kmer_valid, kmers, reverse_complement
 from helixlake.operators.ranges import free_name, overlap_filter
+from helixlake.operators.reads import with_length
 from helixlake.stored import store
 
 P = Params()
@@ -39,26 +40,29 @@ def softclip_candidates(reads: DataFrame) -> DataFrame:
     return kept.withColumn("clip_side", F.when(F.col("_head"), "HEAD").otherwise("TAIL")).withColumn("clip_len", length).drop("_ops", "_head", "_tail")
 
 
-def softclip_quality(clips: DataFrame) -> DataFrame:
+def clip_quality() -> Column:
     """Mean base quality of the clipped part, rounded down. Needs quals, clip_side and clip_len."""
     part = F.when(F.col("clip_side") == "HEAD", F.slice("quals", F.lit(1), F.col("clip_len"))).otherwise(F.slice("quals", -F.col("clip_len"), F.col("clip_len")))
-    total = F.aggregate(part, F.lit(0), lambda s, q: s + q)
-    return clips.select(F.concat("read_name", F.lit("_Split")).alias("read_name"), "clip_side", "clip_len", F.floor(total / F.col("clip_len")).cast("int").alias("avg_phred"))
+    return F.floor(F.aggregate(part, F.lit(0), lambda s, q: s + q) / F.col("clip_len")).cast("int")
+
 
+def softclip_quality(clips: DataFrame) -> DataFrame:
+    return clips.select(F.concat("read_name", F.lit("_Split")).alias("read_name"), "clip_side", "clip_len", clip_quality().alias("avg_phred"))
 
-def softclip_histogram(clips: DataFrame, least_quality: int = P.mapq) -> DataFrame:
-    return clips.where(F.col("mapq") > least_quality).groupBy("chrom", "brk").agg(F.count("*").alias("n"))
 
+def softclip_histogram(clips: DataFrame, least_quality: int = P.mapq, by: tuple[str, ...] = ("chrom",)) -> DataFrame:
+    return clips.where(F.col("mapq") > least_quality).groupBy(*by, "brk").agg(F.count("*").alias("n"))
 
-def softclip_neighbours(histogram: DataFrame, tile: int = 10_000) -> DataFrame:
+
+def softclip_neighbours(histogram: DataFrame, tile: int = 10_000, by: tuple[str, ...] = ("chrom",)) -> DataFrame:
     """Clips in [brk - 10, brk + 10) of each breakpoint. Positions near a tile's edge are counted in both tiles, so a
     window holds a tile, not a chromosome."""
     half = CLIP_WINDOW // 2
     own = F.floor(F.col("brk") / tile)
     tiles = F.array_distinct(F.array(own, F.floor((F.col("brk") - half) / tile), F.floor((F.col("brk") + half) / tile)))
     dealt = histogram.withColumn("_own", own).withColumn("_tile", F.explode(tiles))
-    near = F.sum("n").over(Window.partitionBy("chrom", "_tile").orderBy("brk").rangeBetween(-half, half - 1))
-    return dealt.withColumn("neighbours", near).where("_own = _tile").select("chrom", "brk", "n", "neighbours")
+    near = F.sum("n").over(Window.partitionBy(*by, "_tile").orderBy("brk").rangeBetween(-half, half - 1))
+    return dealt.withColumn("neighbours", near).where("_own = _tile").select(*by, "brk", "n", "neighbours")
 
 
 def kmer_counts(sequences: DataFrame) -> DataFrame:
@@ -74,8 +78,30 @@ def seed_join(clips: DataFrame, reference: DataFrame) -> DataFrame:
     counts = reference.groupBy("chrom", "kmer").agg(F.count("*").alias("_n")).where(F.col("_n") >= KMER_CAP).select("chrom", "kmer")
     ways = F.array(F.struct(F.lit("F").alias("hit_or"), F.col("seq").alias("probe")), F.struct(F.lit("R").alias("hit_or"), reverse_complement(F.col("seq")).alias("probe")))
     seeds = clips.withColumn("_w", F.explode(ways)).select(*clips.columns, "_w.hit_or", "_w.probe").withColumn("kmer", F.substring("probe", 1, KMER)).where(kmer_valid(F.col("kmer")))
-    rare = reference.join(counts, ["chrom", "kmer"], "left_anti")
-    return seeds.join(rare, ["chrom", "kmer"]).where(F.abs(F.col("at") - F.col("pos")) < SEED_BAND)
+    rare = reference.join(counts, ["chrom", "kmer"], "left_anti").withColumn("_bin", F.floor(F.col("at") / SEED_BAND))
+    # What lies within the band lies in the clip's own bin of that width or in one beside it.
+    home = F.floor(F.col("pos") / SEED_BAND)
+    seeds = seeds.withColumn("_bin", F.explode(F.array(home - 1, home, home + 1)))
+    return seeds.join(rare, ["chrom", "kmer", "_bin"]).where(F.abs(F.col("at") - F.col("pos")) < SEED_BAND).drop("_bin")
+
+
+def extended_pages(pages: DataFrame, more: int, width: int = 1000) -> DataFrame:
+    """Pages (chrom, start_pos, seq) with the first `more` bases of the page after each, at most `width`."""
+    after = pages.select("chrom", (F.col("start_pos") - width).alias("start_pos"), F.substring("seq", 1, more).alias("_more"))
+    return pages.join(after, ["chrom", "start_pos"], "left").select("chrom", "start_pos", "seq", F.concat("seq", F.coalesce("_more", F.lit(""))).alias("long_seq"))
+
+
+def reference_kmers(pages: DataFrame, width: int = 1000) -> DataFrame:
+    """chrom, kmer, at: every k-mer of the reference, those over page ends too."""
+    found = extended_pages(pages, KMER - 1, width).select("chrom", "start_pos", F.explode(kmers(F.col("long_seq"))).alias("k"))
+    return found.where(kmer_valid(F.col("k.kmer"))).select("chrom", "k.kmer", (F.col("start_pos") + F.col("k.at")).alias("at"))
+
+
+def with_reference(seeded: DataFrame, pages: DataFrame, longest: int, width: int = 1000) -> DataFrame:
+    """Adds ref_seq, the bases at each place; clips have `longest` bases at most."""
+    own = extended_pages(pages, longest, width).select("chrom", F.col("start_pos").alias("_page"), "long_seq")
+    paged = seeded.withColumn("_page", F.floor(F.col("at") / width) * width).join(own, ["chrom", "_page"])
+    return paged.withColumn("ref_seq", F.expr("substring(long_seq, cast(at - _page + 1 as int), length(seq))")).drop("long_seq", "_page")
 
 
 def verify(seeded: DataFrame) -> DataFrame:
@@ -98,10 +124,11 @@ SPLIT_CLASS = """case
   when hit_or = 'R' and clip_side = 'TAIL' and hit_pos < pos then 'RFBA' when hit_or = 'R' and clip_side = 'HEAD' and pos < hit_pos then 'FRBA' end"""
 
 
-def split_accept(hits: DataFrame, satellites: DataFrame, p: Params = P) -> DataFrame:
+def split_accept(hits: DataFrame, satellites: DataFrame, p: Params = P, lengths: DataFrame | None = None) -> DataFrame:
     """Hits of split reads with both qualities, both places inside the chromosome, no satellite at either, and one part
     wholly before the other. Adds l_start, l_end, r_start, r_end. Needs qual, hit_mapq, pos, hit_pos, clip_len."""
-    rows = hits.where((F.col("qual") > p.mapq) & (F.col("hit_mapq") > 0) & (F.least("pos", "hit_pos") > 0) & (F.greatest("pos", "hit_pos") < p.chrom_length))
+    rows = with_length(hits.where((F.col("qual") > p.mapq) & (F.col("hit_mapq") > 0) & (F.least("pos", "hit_pos") > 0)), lengths, p)
+    rows = rows.where(F.greatest("pos", "hit_pos") < F.col("_length")).drop("_length")
     first = F.col("pos") < F.col("hit_pos")
     kept, clipped = p.read_length - F.col("clip_len"), F.col("clip_len")
     rows = rows.withColumn("l_start", F.least("pos", "hit_pos")).withColumn("r_start", F.greatest("pos", "hit_pos"))
@@ -128,9 +155,30 @@ def split_fanout(hits: DataFrame) -> DataFrame:
     return hits.withColumn("e", F.explode(rows)).select("clip_id", "split_class", "e.sv_type", "e.orient", (F.col("pos") + F.col("e.shift")).alias("start_pos"))
 
 
-def evidence_filter(pairs: DataFrame, satellites: DataFrame, gaps: DataFrame, p: Params = P) -> DataFrame:
+def split_evidence(hits: DataFrame, max_delta: int = SPLIT_MAX_DELTA) -> DataFrame:
+    """Evidence rows of accepted hits with their class, in a window of their own: two inversions and two inverted
+    duplications for strand changes, else a deletion or a tandem duplication and an interspersed one. Both parts are shifted
+    together or apart, as their type wants, by what a clip's place may be wrong; bp_l and bp_r are the breakpoints unshifted.
+    Needs clip_id and split_class besides what split_accept needs and adds; any other columns stay."""
+    row = lambda kind, ends, left, right: F.struct(F.lit(kind).alias("sv_type"), F.lit(ends[0]).alias("l_or"), F.lit(ends[1]).alias("r_or"), F.lit(left).alias("left"), F.lit(right).alias("right"))
+    w = CLIP_WINDOW
+    turned = F.array(row("INV", "FF", -w, -w), row("INV", "RR", w, w), row("INVDUP", "FF", w, w), row("INVDUP", "RR", w, w))
+    ahead, back = F.array(row("DEL", "FR", -w, w), row("INTERDUP", "FR", -w, w)), F.array(row("TDUP", "RF", -w, w), row("INTERDUP", "RF", -w, w))
+    kind = F.col("split_class")
+    rows = hits.withColumn("_e", F.explode(F.when(kind == "FFAB", ahead).when(kind == "FFBA", back).otherwise(turned)))
+    # Without a strand change the inner ends or, of a duplication, the outer ones; else the sides on which the read was clipped.
+    tail = F.col("clip_side") == "TAIL"
+    bp_l = F.when((kind == "FFAB") | ((kind != "FFBA") & tail), F.col("l_end")).otherwise(F.col("l_start"))
+    bp_r = F.when((kind == "FFBA") | ((kind != "FFAB") & tail), F.col("r_end")).otherwise(F.col("r_start"))
+    rows = rows.withColumns({"bp_l": bp_l, "bp_r": bp_r, "sv_type": F.col("_e.sv_type"), "l_or": F.col("_e.l_or"), "r_or": F.col("_e.r_or")})
+    rows = rows.withColumns({**{c: F.col(c) + F.col("_e.left") for c in ("l_start", "l_end")}, **{c: F.col(c) + F.col("_e.right") for c in ("r_start", "r_end")}})
+    return rows.withColumns({"min_delta": F.lit(0), "max_delta": F.lit(max_delta), "library": F.lit("SplitRead")}).drop("_e")
+
+
+def evidence_filter(pairs: DataFrame, satellites: DataFrame, gaps: DataFrame, p: Params = P, lengths: DataFrame | None = None) -> DataFrame:
     """Both mapping qualities above the threshold, strictly inside the chromosome, no satellite at an end, no gap between."""
-    rows = pairs.where((F.col("mq1") > p.mapq) & (F.col("mq2") > p.mapq) & (F.col("l_start") > 0) & (F.col("r_end") < p.chrom_length))
+    rows = with_length(pairs.where((F.col("mq1") > p.mapq) & (F.col("mq2") > p.mapq) & (F.col("l_start") > 0)), lengths, p)
+    rows = rows.where(F.col("r_end") < F.col("_length")).drop("_length")
     rows = overlap_filter(rows, satellites, ("l_start", "l_end"), ("start_pos", "end_pos"), anti=True)
     rows = overlap_filter(rows, satellites, ("r_start", "r_end"), ("start_pos", "end_pos"), anti=True)
     return overlap_filter(rows, gaps, ("l_end", "r_start"), ("start_pos", "end_pos"), anti=True)

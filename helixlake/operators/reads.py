@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from helixlake.constants import BAND_SIGMAS, FRAGMENT_SAMPLE, MAX_INVERSION, MEI_DISTANCE, MIN_INSERT, PROPER_MASK, Params
 from helixlake.functions.sequence import cigar_ops
-from helixlake.operators.ranges import overlap_filter, overlap_join
+from helixlake.operators.ranges import free_name, overlap_filter, overlap_join
 
 P = Params()
 
@@ -81,13 +83,35 @@ def classify(alignments: DataFrame, band: DataFrame, interchromosomal: bool = Fa
     return alignments.join(F.broadcast(band.select("library", "conc_min", "conc_max")), "library").withColumn("class", F.expr(rule))
 
 
-def accept(alignments: DataFrame, band: DataFrame, satellites: DataFrame, p: Params = P) -> DataFrame:
-    """Proper records above the mapping quality, not too far apart nor too close, with neither end on a satellite."""
-    rows = alignments.join(F.broadcast(band.select("library", "conc_max")), "library")
-    rows = rows.where(proper() & (F.col("mapq") > p.mapq) & (F.abs(F.col("pos") - F.col("mate_pos")) < p.chrom_length - 2 * F.col("conc_max")) & (F.abs("isize") >= MIN_INSERT)).drop("conc_max")
+def with_length(rows: DataFrame, lengths: DataFrame | None, p: Params = P) -> DataFrame:
+    """Adds _length, that of the row's chromosome. lengths: chrom, length; chromosomes that it doesn't have go."""
+    if lengths is None:
+        return rows.withColumn("_length", F.lit(p.chrom_length))
+    return rows.join(F.broadcast(lengths.select("chrom", F.col("length").alias("_length"))), "chrom")  # a row for each chromosome
+
+
+def same_chromosome(rows: DataFrame) -> Column:
+    """Whether the mate lies on the record's own chromosome: so without a column mate_chrom."""
+    return F.col("mate_chrom") == F.col("chrom") if "mate_chrom" in rows.columns else F.lit(True)
+
+
+def _at_mate(rows: DataFrame, found: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What found makes of the rows while chrom is the mate's chromosome."""
+    if "mate_chrom" not in rows.columns:
+        return found(rows)
+    own = free_name(rows.columns, "_own_chrom")
+    return found(rows.withColumn(own, F.col("chrom")).withColumn("chrom", F.col("mate_chrom"))).withColumn("chrom", F.col(own)).drop(own)
+
+
+def accept(alignments: DataFrame, band: DataFrame, satellites: DataFrame, p: Params = P, lengths: DataFrame | None = None) -> DataFrame:
+    """Proper records above the mapping quality, not too far apart nor too close (on one chromosome), with neither end on a
+    satellite."""
+    rows = with_length(alignments.join(F.broadcast(band.select("library", "conc_max")), "library"), lengths, p)
+    near = same_chromosome(rows) & (F.abs("isize") < MIN_INSERT)
+    rows = rows.where(proper() & (F.col("mapq") > p.mapq) & (F.abs(F.col("pos") - F.col("mate_pos")) < F.col("_length") - 2 * F.col("conc_max")) & ~near).drop("conc_max", "_length")
     rows = rows.withColumn("_end", F.col("pos") + p.read_length).withColumn("_mate_end", F.col("mate_pos") + p.read_length)
     rows = overlap_filter(rows, satellites, ("pos", "_end"), ("start_pos", "end_pos"), anti=True)
-    return overlap_filter(rows, satellites, ("mate_pos", "_mate_end"), ("start_pos", "end_pos"), anti=True).drop("_end", "_mate_end")
+    return _at_mate(rows, lambda df: overlap_filter(df, satellites, ("mate_pos", "_mate_end"), ("start_pos", "end_pos"), anti=True)).drop("_end", "_mate_end")
 
 
 def numt(alignments: DataFrame) -> DataFrame:
@@ -99,12 +123,13 @@ def numt(alignments: DataFrame) -> DataFrame:
 def mei(alignments: DataFrame, elements: DataFrame, p: Params = P) -> DataFrame:
     """Reads whose mate lies inside a mobile element (the first by start, end and code), with the type of their pairing."""
     rows = alignments.withColumn("_mate_end", F.col("mate_pos") + p.read_length)
-    found = overlap_join(rows, elements, ("mate_pos", "_mate_end"), ("start_pos", "end_pos")).where("r_start_pos <= mate_pos and _mate_end <= r_end_pos")
-    key = F.struct("r_start_pos", "r_end_pos", "r_mei_code", "r_strand")
+    found = _at_mate(rows, lambda df: overlap_join(df, elements, ("mate_pos", "_mate_end"), ("start_pos", "end_pos"))).where("r_start_pos <= mate_pos and _mate_end <= r_end_pos")
+    kind = F.col("r_repeat_type") if "repeat_type" in elements.columns else F.col("r_repeat_class")
+    key = F.struct("r_start_pos", "r_end_pos", "r_mei_code", "r_strand", F.col("r_repeat_class").alias("element"), kind.alias("element_name"))
     columns = [c for c in alignments.columns]
     one = found.groupBy(*columns).agg(F.min(key).alias("e"))
     opposite = (~bit(0x20) & (F.col("e.r_strand") == "-")) | (bit(0x20) & (F.col("e.r_strand") == "+"))
-    return one.select(*columns, F.col("e.r_mei_code").alias("mei_code"), (2 * F.col("e.r_mei_code") + F.when(opposite, 0).otherwise(1)).alias("mei_type"), F.col("e.r_start_pos").alias("element_start"))
+    return one.select(*columns, F.col("e.r_mei_code").alias("mei_code"), (2 * F.col("e.r_mei_code") + F.when(opposite, 0).otherwise(1)).alias("mei_type"), F.col("e.r_start_pos").alias("element_start"), "e.element", "e.element_name")
 
 
 ROUTE = f"""case when mate_chrom like '%MT%' or mate_chrom like '%chrM%' then 'NUMT'
@@ -123,13 +148,22 @@ def insert_size() -> Column:
     return F.expr("case concat(l_or, r_or) when 'FR' then r_pos + read_length - l_pos when 'RF' then r_pos - l_pos - read_length else r_pos - l_pos end")
 
 
-def mate_join(alignments: DataFrame) -> DataFrame:
-    """One row for each pair of a left and a right mate of a name in a library; equal positions and single mates go."""
-    keys = ["sample", "library", "read_name"]
-    left = alignments.where("pos < mate_pos").select(*keys, "rid", "chrom", F.col("pos").alias("pos1"), F.col("flag"), "isize", F.col("mapq").alias("mq1"), F.col("nm").alias("nm1"))
-    right = alignments.where("pos > mate_pos").select(*keys, F.col("pos").alias("pos2"), F.col("mapq").alias("mq2"), F.col("nm").alias("nm2"))
+def mate_join(alignments: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row for each pair of a left and a right mate of a name in a library, on one chromosome; equal positions and single
+    mates go. more: columns of either mate, which get 1 and 2 behind their names."""
+    keys = ["sample", "library", "read_name", "chrom"]
+    alignments = alignments.where(same_chromosome(alignments))
+    own = lambda k: [F.col(c).alias(f"{c}{k}") for c in more]
+    left = alignments.where("pos < mate_pos").select(*keys, "rid", F.col("pos").alias("pos1"), F.col("flag"), "isize", F.col("mapq").alias("mq1"), F.col("nm").alias("nm1"), *own(1))
+    right = alignments.where("pos > mate_pos").select(*keys, F.col("pos").alias("pos2"), F.col("mapq").alias("mq2"), F.col("nm").alias("nm2"), *own(2))
     strand = lambda b: F.when(bit(b), "R").otherwise("F")
-    return left.join(right, keys).select(*keys, "rid", "chrom", "pos1", "pos2", strand(0x10).alias("or1"), strand(0x20).alias("or2"), "flag", "isize", "mq1", "mq2", (F.col("nm1") + F.col("nm2")).alias("edit"))
+    return left.join(right, keys).select(*keys, "rid", "pos1", "pos2", strand(0x10).alias("or1"), strand(0x20).alias("or2"), "flag", "isize", "mq1", "mq2", (F.col("nm1") + F.col("nm2")).alias("edit"), *[f"{c}{k}" for c in more for k in (1, 2)])
+
+
+def clips(cigar: Column) -> tuple[Column, Column]:
+    """Lengths of a leading and a trailing soft clip."""
+    ops = cigar_ops(cigar)
+    return tuple(F.coalesce(F.when(F.try_element_at(ops, F.lit(at))["op"] == "S", F.try_element_at(ops, F.lit(at))["len"]), F.lit(0)) for at in (1, -1))
 
 
 def clipped_ends(pos: Column, cigar: Column, read_length: int = P.read_length) -> tuple[Column, Column]:

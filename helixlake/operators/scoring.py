@@ -183,10 +183,24 @@ def refine(votes: DataFrame, support: DataFrame, kinds: DataFrame, least: int =
     return kept.groupBy("cluster_id").agg(F.max_by(F.struct("l_end", "r_start"), "ev_id").alias("p")).select("cluster_id", "p.l_end", "p.r_start")
 
 
-def mei_call_filter(calls: DataFrame, elements: DataFrame) -> DataFrame:
-    """Insertion calls that lie on an element of their own class, or on a satellite."""
-    found = overlap_join(calls, elements, ("start_pos", "end_pos"), ("start_pos", "end_pos"))
-    hit = (F.col("r_repeat_class") == F.col("element")) | (F.col("r_repeat_class") == "Satellite")
+def mei_call_filter(calls: DataFrame, elements: DataFrame, satellites: DataFrame) -> DataFrame:
+    """Adds filter: mfilt for insertion calls of mobile elements (MEI_F, MEI_R) that lie on one of their own class on their strand,
+    or on one of their own name at the start, the middle or the end on their strand (in the middle of a forward call: on
+    the other one), or on a satellite at any of these. calls: cluster_id, chrom, sv_type, outer_start, outer_end, element (class),
+    element_name. Each call asks for four places; elements without repeat_type go by their class."""
+    s, e = F.col("outer_start"), F.col("outer_end")
+    middle = F.floor((s + e) / 2).cast("int")
+    place = lambda name, a, b: F.struct(F.lit(name).alias("place"), a.cast("int").alias("s"), b.cast("int").alias("e"))
+    places = F.array(place("all", s - 1, e), place("start", s, s + 1), place("middle", middle, middle + 1), place("end", e - 1, e))
+    asked = calls.select("cluster_id", "chrom", "sv_type", "element", "element_name", F.explode(places).alias("_p")).select("cluster_id", "chrom", "sv_type", "element", "element_name", "_p.place", "_p.s", "_p.e")
+    kind = F.col("repeat_type") if "repeat_type" in elements.columns else F.col("repeat_class")
+    spans = elements.select("chrom", "start_pos", "end_pos", "strand", "repeat_class", kind.alias("repeat_type"), F.lit(False).alias("satellite"))
+    spans = spans.unionByName(satellites.select("chrom", "start_pos", "end_pos", F.lit("").alias("strand"), F.lit("").alias("repeat_class"), F.lit("").alias("repeat_type"), F.lit(True).alias("satellite")))
+    found = overlap_join(asked, spans, ("s", "e"), ("start_pos", "end_pos"))
+    strand = F.when(F.col("sv_type") == "MEI_F", "+").otherwise("-")
+    turned = (F.col("place") == "middle") & (F.col("sv_type") == "MEI_F")
+    own = F.when(F.col("place") == "all", F.col("r_repeat_class") == F.col("element")).otherwise(F.col("r_repeat_type") == F.col("element_name"))
+    hit = F.col("r_satellite") | (own & F.when(turned, F.col("r_strand") != strand).otherwise(F.col("r_strand") == strand))
     bad = found.where(hit).select("cluster_id").distinct().withColumn("filter", F.lit("mfilt"))
     return calls.join(bad, "cluster_id", "left").withColumn("filter", F.coalesce("filter", F.lit("PASS")))
 
