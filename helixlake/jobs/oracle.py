@@ -280,7 +280,7 @@ EXTRA = {
     "mei_call_filter": "m as (select cluster_id, chrom, case when start_pos % 3 = 0 then '-' else '+' end as strand, start_pos as s, start_pos + 40 + start_pos % 300 as e, case when start_pos % 2 = 0 then 'SINE/Alu' else 'LINE/L1' end as element, case when start_pos % 5 < 2 then 'SINE/Alu' else 'Other/SVA' end as name from calls), places as (select *, 'all' as place, s - 1 as a, e as b from m union all select *, 'start', s, s + 1 from m union all select *, 'end', e - 1, e from m union all select *, 'middle', (s + e) // 2, (s + e) // 2 + 1 from m)",
     "maximal_sets": "sets as (select cluster_id, min(chrom) as chrom, list(ev_id order by ev_id) as s from (select ev_id, chrom, concat('a', chrom, ':', sv_type, ':', l_start // 1000) as cluster_id from evidence union all select ev_id, chrom, concat('b', chrom, ':', sv_type, ':', l_start // 1850) from evidence) group by 1)",
     "refine_breakpoints": "rough as (select cluster_id, ev_id, library, l_end - l_end % 1000 as l_end, r_start - r_start % 1000 as r_start from members), rough_votes as (select s.cluster_id, s.ev_id, s.l_end, s.r_start, count(*) filter (m.ev_id <> s.ev_id and (m.l_end = s.l_end or m.r_start = s.r_start)) as same, count(*) filter (m.ev_id <> s.ev_id and m.l_end <> s.l_end and m.r_start <> s.r_start) as different from rough s join rough m using (cluster_id) where s.library = 'SplitRead' and m.library = 'SplitRead' group by all)",
-    "cluster_mei": REGION_SETS.format(least=2, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('MEI', xor(case when (flag & 32 = 0 and strand = '-') or (flag & 32 <> 0 and strand = '+') then 2 * mei_code else 2 * mei_code + 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos as pos_end, max_delta, conc_max from (select a.*, strand, mei_code, row_number() over (partition by a.read_name, a.pos order by start_pos, end_pos, mei_code, strand) as k from classified a join elements e on concat('chr', cast(cast(substring(a.chrom, 4, 1) as int) % 4 + 1 as varchar)) = e.chrom and start_pos <= mate_pos and mate_pos + 100 <= end_pos where mapq > 5 and class not in ('CONC', 'UNMAPPED')) a join band using (library) where k = 1"),
+    "cluster_mei": REGION_SETS.format(least=2, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('MEI', xor(case when (flag & 32 = 0 and strand = '-') or (flag & 32 <> 0 and strand = '+') then 2 * mei_code else 2 * mei_code + 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos as pos_end, band.max_delta, band.conc_max from (select a.*, strand, mei_code, row_number() over (partition by a.read_name, a.pos order by start_pos, end_pos, mei_code, strand) as k from classified a join elements e on concat('chr', cast(cast(substring(a.chrom, 4, 1) as int) % 4 + 1 as varchar)) = e.chrom and start_pos <= mate_pos and mate_pos + 100 <= end_pos where mapq > 5 and class not in ('CONC', 'UNMAPPED')) a join band using (library) where k = 1"),
     "cluster_numt": REGION_SETS.format(least=0, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('NUMT', xor(case when flag & 32 = 0 then 0 else 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos + 100 as pos_end, b.max_delta + 200 as max_delta, b.conc_max from classified join band b using (library) where nm % 2 = 0 and mapq > 5 and class not in ('CONC', 'UNMAPPED')"),
     **{f"cluster_{kind.lower()}": PAIR_SETS.format(shape=shape.format(kind=kind)) for kind, shape in PAIR_SHAPES.items()},
 }

@@ -79,8 +79,8 @@ def split_reads(alignments: DataFrame, pages: DataFrame, band: DataFrame, satell
     seeded = evidence.seed_join(store(usable, "usable-clips"), evidence.reference_kmers(pages, width))
     hits = evidence.hit_cap(store(evidence.verify(evidence.with_reference(seeded, pages, p.read_length, width)), "hits"))
     hits = hits.withColumnRenamed("at", "hit_pos").withColumn("qual", F.col("mapq"))
-    hits = evidence.split_orientation(evidence.split_accept(hits, satellites, p, lengths))
-    rows = evidence.split_evidence(hits)
+    hits = store(evidence.split_accept(hits, satellites, p, lengths), "accepted-hits")  # Spark plans what follows without these rules
+    rows = evidence.split_evidence(evidence.split_orientation(hits))
     return rows.select(
         F.xxhash64("clip_id", "hit_pos", "hit_or", "sv_type", "l_or").alias("ev_id"), "read_name", "chrom", "sample", "library", "l_start", "l_end", "l_or", "r_start", "r_end", "r_or", "sv_type", F.col("mapq").alias("mq1"),
         F.col("hit_mapq").alias("mq2"), F.lit(0).alias("edit"), F.lit(0.0).alias("phred"), "min_delta", "max_delta", F.lit(SPLIT_MAX_DELTA).alias("conc_max"), "bp_l", "bp_r",
@@ -171,11 +171,11 @@ def _call_variants(
 ) -> DataFrame:
     band = store(reads.valid_libraries(reads.concordance_band(reads.fragment_sample(alignments.where(reads.proper())), p.read_length)), "band")  # a row for each library
     mitochondrial, mobile, near = routed(alignments, band, satellites, elements, p, lengths)
-    rows = evidence.evidence_filter(pair_evidence(near, band, p), satellites, gaps, p, lengths)
+    rows = store(evidence.evidence_filter(pair_evidence(near, band, p), satellites, gaps, p, lengths), "pair-rows")
     for more in [split] if pages is None else [split, split_reads(alignments, pages, band, satellites, p, lengths, width)]:
         if more is not None:
-            rows = rows.unionByName(more, allowMissingColumns=True)
-    rows = evidence.span_caps(rows).unionByName(region_evidence(mobile, mitochondrial, band, p), allowMissingColumns=True)
+            rows = rows.unionByName(store(more, "split-rows"), allowMissingColumns=True)
+    rows = evidence.span_caps(rows).unionByName(store(region_evidence(mobile, mitochondrial, band, p), "region-rows"), allowMissingColumns=True)
     for c in ("bp_l", "bp_r"):
         rows = rows if c in rows.columns else rows.withColumn(c, F.lit(None).cast("int"))
     rows = store(rows, "evidence")

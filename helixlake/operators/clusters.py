@@ -229,7 +229,9 @@ def clonal_dedup(members: DataFrame) -> DataFrame:
     """One mapping for each read name in a cluster, and one row for each (l_end, r_start, edit): PCR copies count once."""
     by_name = Window.partitionBy("cluster_id", "read_name").orderBy("edit", "l_end", "r_start", "ev_id")
     once = members.withColumn("_k", F.row_number().over(by_name)).where("_k = 1").drop("_k")
-    by_place = Window.partitionBy("cluster_id", "l_end", "r_start", "edit").orderBy("read_name", "ev_id")
+    # Split reads of one breakpoint have their inner ends in common: their outer ones tell copies (bp_l is theirs alone).
+    outer = [F.when(F.col("bp_l").isNotNull(), F.col(c)) for c in ("l_start", "r_end")] if "bp_l" in members.columns else []
+    by_place = Window.partitionBy("cluster_id", "l_end", "r_start", "edit", *outer).orderBy("read_name", "ev_id")
     return once.withColumn("_k", F.row_number().over(by_place)).where("_k = 1").drop("_k")
 
 
