@@ -1,13 +1,14 @@
 """Phrase collocation mining: frequent phrases of 2 to 5 words and how strongly their words belong together.
 
 1. Words become 64-bit hashes, runs of them Rabin-Karp fingerprints: differences of numpy prefix polynomials modulo 2^64, one
-   subtraction and one product for every run of n words. Each task gathers equal fingerprints with the place of an
-   occurrence, up to some bytes; the shuffle sums them. First runs of one and two words; then those of three to five whose
-   pairs of neighbours may all be frequent: a phrase is never more frequent than a phrase in it.
-2. Frequent fingerprints are a filter of FILTER_BITS bits, of the same size whatever the corpus; what shares a bit by
-   chance costs time only. In a last pass over the texts each task gathers the occurrences that pass it and compares every
-   one with the words at the place that its group points to: fingerprints that collide fall apart there. Only these
-   phrases are written out, and counted by their words.
+   subtraction and one product for every run of n words. Each task gathers equal fingerprints, up to some bytes, with their
+   count, the place of an occurrence (the least hash of a text that holds one) and the sum of a second fingerprint; the
+   shuffle sums them. First runs of one and two words; then those of three to five whose pairs of neighbours may all be
+   frequent: a phrase is never more frequent than a phrase in it.
+2. In a last pass over the texts only those that a place points to write out their phrases: frequent ones, once each. Filters
+   of bounded size tell which; what passes by chance is joined away. Inside a text all runs of a fingerprint are compared
+   in their words, and the second fingerprint of the phrase, times the count, must give the sum: else different
+   phrases share the fingerprint, and those of such fingerprints are counted by their words.
 3. Scores, cuts and ranks are DataFrame operations on the frequent phrases, in whole numbers of up to 38 digits.
 
 Languages are counted apart; null is `und`, together with a language of that name. Pieces end at `.,;:!?` and at line
@@ -33,11 +34,11 @@ from helixlake.llm.shingles import U, mixed
 LONGEST, LEAST, TOP = 5, 100, 2000
 FILTER_BITS = 1 << 26
 #: Fingerprints that a task gathers before it lets them out, and phrases likewise.
-GATHERED, PHRASES = 1 << 21, 200_000
+GATHERED, PHRASES = 1 << 20, 200_000
 #: Delimiters of pieces become line breaks, tabs become spaces, A-Z small letters.
 TABLE = bytes(10 if b in b".,;:!?\n\x0b\x0c\r" else 32 if b == 9 else b for b in range(256)).lower()
 #: Odd, so that its powers can't vanish modulo 2^64.
-BASE = U(0x9E3779B97F4A7C15)
+BASE, SECOND = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
 BREAK, NOTHING = U(1), U(0)
 
 
@@ -61,6 +62,8 @@ class Words:
     """The words of some texts, one after the other, with the piece and the language of each."""
 
     def __init__(self, rows: list[tuple[str | None, str | None]], hashes: Hashes, keep: bool = False):
+        import xxhash
+
         split = [("und" if lang is None else lang, t.encode().translate(TABLE).replace(b"\n", b" \n ").split(b" ")) for lang, t in rows if t]
         self.langs = sorted({lang for lang, _ in split})
         code = {lang: k for k, lang in enumerate(self.langs)}
@@ -71,18 +74,27 @@ class Words:
         real = h > BREAK
         self.h, self.lang, self.piece = h[real], lang[real], piece[real]
         self.words = [words[k] for k in np.flatnonzero(real).tolist()] if keep else []
+        texts = np.array([xxhash.xxh3_64_intdigest(t) >> 1 for _, t in rows if t], U)
+        self.place = np.repeat(texts, [len(own) + 1 for _, own in split])[real]
         # Prefix polynomials: h0 + h1 B + h2 B^2 ..., so that a run's difference is divided by B^start: multiplied by its inverse.
-        n = len(self.h)
-        power = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(max(0, n - 1), BASE, U)])) if n else np.zeros(0, U)
-        self.inverse = np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(max(0, n - 1), U(pow(int(BASE), -1, 1 << 64)), U)])) if n else power
-        self.prefix = np.concatenate([np.zeros(1, U), np.cumsum(self.h * power, dtype=U)])
+        self.sums = [self._prefix(base) for base in (BASE, SECOND)]
         self.own = np.array([_lang_hash(x) for x in self.langs], U)
 
+    def _prefix(self, base: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+        rise = lambda x: np.multiply.accumulate(np.concatenate([np.ones(1, U), np.full(max(0, len(self.h) - 1), x, U)]))[: len(self.h)]
+        return np.concatenate([np.zeros(1, U), np.cumsum(self.h * rise(base), dtype=U)]), rise(U(pow(int(base), -1, 1 << 64)))
+
+    def checks(self, n: int, at: np.ndarray) -> np.ndarray:
+        """The second fingerprints, of 32 bits."""
+        prefix, inverse = self.sums[1]
+        return (mixed((prefix[at + n] - prefix[at]) * inverse[at]) >> U(32)).astype(np.int64)
+
     def runs(self, n: int, starts: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Places of runs of n words within pieces (those among starts), and their fingerprints by language and length."""
         at = np.arange(len(self.h) - n + 1) if starts is None else starts[starts <= len(self.h) - n]
         at = at[self.piece[at] == self.piece[at + n - 1]] if len(at) else at.astype(np.int64)
-        prints = (self.prefix[at + n] - self.prefix[at]) * self.inverse[at]
+        prefix, inverse = self.sums[0]
+        prints = (prefix[at + n] - prefix[at]) * inverse[at]
         return at, mixed(prints ^ self.own[self.lang[at]] ^ mixed(np.full(1, n, U))) if len(at) else prints
 
 
@@ -112,29 +124,33 @@ class Filter:
         return Filter(words.view(U))
 
 
-def _gathered(parts: list[np.ndarray], counts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Equal fingerprints once, with their counts."""
-    prints, n = np.concatenate(parts), np.concatenate(counts)
+GROUPS = "print long, n long, place long, check long"
+
+
+def _gathered(parts: list[list[np.ndarray]]) -> list[np.ndarray]:
+    """Equal fingerprints once, with their counts, least places and sums of second fingerprints."""
+    prints, n, place, check = (np.concatenate([x[k] for x in parts]) for k in range(4))
     order = np.argsort(prints, kind="stable")
-    prints, n = prints[order], n[order]
+    prints = prints[order]
     first = np.flatnonzero(np.concatenate([[True], prints[1:] != prints[:-1]])) if len(prints) else np.zeros(0, np.int64)
-    return prints[first], np.add.reduceat(n, first) if len(first) else n
+    if not len(first):
+        return [prints, n, place, check]
+    return [prints[first], np.add.reduceat(n[order], first), np.minimum.reduceat(place[order], first), np.add.reduceat(check[order], first)]
 
 
 def fingerprints(docs: DataFrame, lengths: list[int], pairs: Filter | None = None) -> DataFrame:
-    """print, n: fingerprints of runs of these lengths with partial counts; with pairs, only of runs whose pairs of
-    neighbours all pass it."""
+    """print, n, place, check: fingerprints of runs of these lengths with partial counts and sums; with pairs, only of runs
+    whose pairs of neighbours all pass it."""
     shared = docs.sparkSession.sparkContext.broadcast(pairs)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes, held, counts, size = Hashes(), [], [], 0
+        hashes, held, size = Hashes(), [], 0
         hashes.clear()
 
         def out() -> pa.RecordBatch:
-            prints, n = _gathered(held, counts)
+            prints, n, place, check = _gathered(held)
             held.clear()
-            counts.clear()
-            return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n)], ["print", "n"])
+            return pa.RecordBatch.from_arrays([pa.array(prints.view(np.int64)), pa.array(n), pa.array(place.view(np.int64)), pa.array(check)], [x.split()[0] for x in GROUPS.split(", ")])
 
         for batch in slices(batches):
             w = Words(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), hashes)
@@ -146,27 +162,83 @@ def fingerprints(docs: DataFrame, lengths: list[int], pairs: Filter | None = Non
             for n in lengths:
                 if shared.value is not None:
                     starts = np.flatnonzero(np.logical_and.reduce([good[k : len(w.h) + k] for k in range(n - 1)]))
-                found.append(w.runs(n, starts)[1])
-            prints, n = _gathered(found, [np.ones(len(x), np.int64) for x in found])
-            held.append(prints)
-            counts.append(n)
-            size += len(prints)
+                at, prints = w.runs(n, starts)
+                found.append([prints, np.ones(len(at), np.int64), w.place[at], w.checks(n, at)])
+            held.append(_gathered(found))
+            size += len(held[-1][0])
             if size > GATHERED:
                 yield out()
                 size = 0
         if held:
             yield out()
 
-    return docs.select("lang", "text").mapInArrow(rows, "print long, n long")
+    return docs.select("lang", "text").mapInArrow(rows, GROUPS)
 
 
 def frequent(partial: DataFrame, least: int) -> DataFrame:
-    return partial.groupBy("print").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
+    sums = partial.groupBy("print").agg(F.sum("n").alias("n"), F.min("place").alias("place"), F.sum("check").alias("check"))
+    return sums.where(F.col("n") >= least)
+
 
+def pointed_phrases(docs: DataFrame, wanted: Filter, pointed: Filter, longest: int) -> DataFrame:
+    """print, place, check, lang, words, phrase: runs whose fingerprints pass the one filter, in texts to which they point by
+    the other; and rows without a fingerprint, whose check is a number of words."""
+    filters = docs.sparkSession.sparkContext.broadcast((wanted, pointed))
+    schema = "print long, place long, check long, lang string, words int, phrase string"
+    types = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string()}[x.split()[1]] for x in schema.split(", ")]
 
-def phrases(docs: DataFrame, wanted: Filter, longest: int = LONGEST) -> DataFrame:
-    """lang, words, phrase, f: runs whose fingerprints pass the filter, with partial counts by their words; and a row
-    without phrase for the number of words."""
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, totals = Hashes(), {}
+        hashes.clear()
+        wanted, pointed = filters.value
+
+        def out(found: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*found), types)], [x.split()[0] for x in schema.split(", ")])
+
+        for batch in slices(batches):
+            w = Words(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), hashes, keep=True)
+            for k, n in enumerate(np.bincount(w.lang, minlength=len(w.langs)).tolist()):
+                totals[w.langs[k]] = totals.get(w.langs[k], 0) + n
+            found, starts = [], None
+            for n in range(1, longest + 1):
+                at, prints = w.runs(n, starts)
+                passed = wanted.has(prints)
+                starts, prints = at[passed], prints[passed]  # a run that goes on begins with one that passed
+                key = prints ^ w.place[starts]
+                here = pointed.has(key) & pointed.has(key >> U(32))
+                # One text at a time: groups by fingerprint and text.
+                own = starts[here]
+                for place in _verified(w, own, key[here], n):
+                    phrase = b" ".join(w.words[place : place + n]).decode()
+                    found.append((place, n, phrase))
+            if found:
+                place = np.array([x[0] for x in found])
+                sizes = np.array([x[1] for x in found])
+                prints, checks = np.zeros(len(found), U), np.zeros(len(found), np.int64)
+                for n in np.unique(sizes).tolist():
+                    own = np.flatnonzero(sizes == n)
+                    prints[own], checks[own] = w.runs(n, place[own])[1], w.checks(n, place[own])
+                texts = w.place[place].view(np.int64).tolist()
+                yield out([(p, t, c, w.langs[w.lang[x]], n, phrase) for p, t, c, (x, n, phrase) in zip(prints.view(np.int64).tolist(), texts, checks.tolist(), found)])
+        if totals:
+            yield out([(None, None, n, lang, 0, None) for lang, n in totals.items()])
+
+    return docs.select("lang", "text").mapInArrow(rows, schema)
+
+
+def _verified(w: Words, at: np.ndarray, keys: np.ndarray, n: int) -> Iterator[int]:
+    """A place of each different run among those at these places: of equal keys, each is compared in its words with the one
+    that its group points to, and what differs forms groups of its own."""
+    while len(at):
+        _, first, group = np.unique(keys, return_index=True, return_inverse=True)
+        point = at[first][group]
+        same = np.array([w.words[a : a + n] == w.words[b : b + n] for a, b in zip(at.tolist(), point.tolist())], bool)
+        yield from at[first].tolist()
+        at, keys = at[~same], keys[~same]
+
+
+def counted_phrases(docs: DataFrame, wanted: Filter, longest: int = LONGEST) -> DataFrame:
+    """lang, words, phrase, f: runs whose fingerprints pass the filter, with partial counts by their words."""
     shared = docs.sparkSession.sparkContext.broadcast(wanted)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -180,18 +252,11 @@ def phrases(docs: DataFrame, wanted: Filter, longest: int = LONGEST) -> DataFram
 
         for batch in slices(batches):
             w = Words(list(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())), hashes, keep=True)
-            for k, n in enumerate(np.bincount(w.lang, minlength=len(w.langs)).tolist()):
-                held[w.langs[k], 0, None] = held.get((w.langs[k], 0, None), 0) + n
-            code: dict[bytes, int] = {}
-            exact = np.fromiter((code.setdefault(x, len(code)) for x in w.words), np.int64, len(w.words))
-            starts = None
             for n in range(1, longest + 1):
-                at, prints = w.runs(n, starts)
-                passed = shared.value.has(prints)
-                starts, prints = at[passed], prints[passed]  # a run that goes on begins with one that passed
-                for place, f in _verified(exact, starts, prints, n):
+                at, prints = w.runs(n)
+                for place in at[shared.value.has(prints)].tolist():
                     key = (w.langs[w.lang[place]], n, b" ".join(w.words[place : place + n]).decode())
-                    held[key] = held.get(key, 0) + f
+                    held[key] = held.get(key, 0) + 1
             if len(held) > PHRASES:
                 yield out()
         if held:
@@ -200,28 +265,32 @@ def phrases(docs: DataFrame, wanted: Filter, longest: int = LONGEST) -> DataFram
     return docs.select("lang", "text").mapInArrow(rows, "lang string, words int, phrase string, f long")
 
 
-def _verified(exact: np.ndarray, at: np.ndarray, prints: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
-    """(place, count) of groups of equal runs among those at these places: equal in their fingerprints and, each compared
-    with the one that its group points to, in their words."""
-    while len(at):
-        _, first, group, counts = np.unique(prints, return_index=True, return_inverse=True, return_counts=True)
-        point = at[first][group]
-        same = np.logical_and.reduce([exact[at + k] == exact[point + k] for k in range(n)])
-        if not same.all():
-            counts = np.bincount(group[same], minlength=len(first))
-        yield from zip(at[first].tolist(), counts.tolist())
-        at, prints = at[~same], prints[~same]
-
-
 def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST, bits: int = FILTER_BITS) -> DataFrame:
     """lang, words, phrase, f: every phrase of up to `longest` words that occurs `least` times or more in a language, and a
     row of no words with the number of the language's words."""
     short = store(frequent(fingerprints(docs, [1, 2]), least), "short-prints")
     lengths = list(range(3, longest + 1))
-    long = frequent(fingerprints(docs, lengths, Filter.of(short, bits)), least) if lengths else short.limit(0)
-    wanted = Filter.of(short.unionByName(store(long, "long-prints")), bits)
-    counted = phrases(docs, wanted, longest).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f"))
-    return counted.where((F.col("words") == 0) | (F.col("f") >= least))
+    prints = short
+    if lengths:
+        prints = short.unionByName(store(frequent(fingerprints(docs, lengths, Filter.of(short, bits)), least), "long-prints"))
+    key = F.col("print").bitwiseXOR(F.col("place"))
+    keys = prints.select(F.explode(F.array(key, F.shiftrightunsigned(key, 32))).alias("print"))
+    written = store(pointed_phrases(docs, Filter.of(prints, bits), Filter.of(keys, bits), longest), "pointed-phrases")
+    totals = written.where("words = 0").groupBy("lang", "words", "phrase").agg(F.sum("check").alias("f"))
+    found = written.where("words > 0").withColumnRenamed("check", "own").distinct().join(prints, ["print", "place"])
+    return _settled(docs, store(found, "found-phrases"), least, longest, bits).unionByName(totals)
+
+
+def _settled(docs: DataFrame, found: DataFrame, least: int, longest: int, bits: int) -> DataFrame:
+    """lang, words, phrase, f of found (print, n, check, own, lang, words, phrase): counts of fingerprints that one phrase has
+    alone; phrases that share one are counted by their words."""
+    alone = found.groupBy("print").agg(F.count("*").alias("_k"), F.max(F.col("check") != F.col("n") * F.col("own")).alias("_other"))
+    shared = store(alone.where("_k > 1 or _other").select("print"), "shared-prints")
+    clear = found.join(shared, "print", "left_anti").select("lang", "words", "phrase", F.col("n").alias("f"))
+    if shared.isEmpty():
+        return clear
+    counted = counted_phrases(docs, Filter.of(shared, bits), longest).groupBy("lang", "words", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return clear.unionByName(counted.join(clear, ["lang", "words", "phrase"], "left_anti"))
 
 
 def _whole(c: str, digits: int) -> Column:

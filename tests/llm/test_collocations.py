@@ -63,8 +63,17 @@ def test_one_very_long_text(spark):
     assert sorted(tuple(r) for r in col.collocations(frame(spark, rows), 100, 50).collect()) == brute(rows, 100, 50)
 
 
-def test_colliding_fingerprints_fall_apart():
-    words = np.array([1, 2, 1, 2, 3, 1, 2, 3, 3])
-    at = np.arange(8)
-    got = Counter({(int(words[p]), int(words[p + 1])): n for p, n in col._verified(words, at, np.zeros(8, U), 2)})
-    assert got == Counter(zip(words[:-1].tolist(), words[1:].tolist()))
+def test_colliding_fingerprints_fall_apart(spark):
+    hashes = col.Hashes()
+    hashes.clear()
+    w = col.Words([("en", "a b a b c a b c c")], hashes, keep=True)
+    places = list(col._verified(w, np.arange(8), np.zeros(8, U), 2))
+    assert sorted(tuple(w.words[p : p + 2]) for p in places) == sorted({(x, y) for x, y in zip(w.words, w.words[1:])})
+    # A fingerprint whose sum isn't that of its one phrase, as if another phrase shared it, is counted by words.
+    docs = frame(spark, [("en", "x y z. " * 7), ("fr", "x y. " * 3)])
+    made = col.frequent_phrases(docs, 2)
+    want = sorted(map(tuple, made.where("words > 0").collect()))
+    w = col.Words([("en", "x y")], hashes, keep=True)
+    at, prints = w.runs(2)
+    odd = spark.createDataFrame([(int(prints.view(np.int64)[0]), 1, 99, 5, 4, "en", 2, "x y")], "print long, place long, n long, check long, own long, lang string, words int, phrase string")
+    assert [tuple(r) for r in col._settled(docs, odd, 2, 5, col.FILTER_BITS).collect()] == [("en", 2, "x y", 7)] and ("en", 2, "x y", 7) in want
