@@ -168,6 +168,9 @@ from h join (values ('FFAB', 'DEL', 'F', 'R', -20, 20), ('FFAB', 'INTERDUP', 'F'
     "read_depth": "select sample, chrom, pos, n from depth",
     "mean_depth": "select sample, chrom, round(sum(n) / 1010000, 9) as mean_depth from depth group by all",
     "gc_depth": "select sample, chrom, gc, round(mean_rd, 9) as mean_rd from gcd",
+    "gc_by_base": "select chrom, gc, count(*) as bases from own_gc group by all",
+    "gc_profile": "select sample, chrom, gc, round(mean_rd, 9) as mean_rd from own_profile",
+    "expected_rd_by_base": "select span_id, sample, round(sum(mean_rd), 6) as expected_rd from spans s join own_gc g on g.chrom = s.chrom and g.spot >= s.start_pos and g.spot < s.end_pos join own_profile p on p.chrom = g.chrom and p.gc = g.gc group by all",
     "observed_rd": "select span_id, sample, cast(coalesce(sum(n), 0) as bigint) as observed_rd from spans s cross join (select distinct sample from depth) left join depth d using (chrom, sample) where true and (d.pos is null or true) group by all having true",
     "expected_rd": "select span_id, sample, round(sum(mean_rd * (least(s.end_pos, g.start_pos + 100) - greatest(s.start_pos, g.start_pos))), 6) as expected_rd from spans s join grid g on g.chrom = s.chrom and g.start_pos > s.start_pos - 100 and g.start_pos < s.end_pos join gcd on gcd.chrom = g.chrom and gcd.gc = g.gc group by all",
     "base_decode": "select rid, ['A', 'C', 'G', 'T', 'N', 'N'][cast(edit % 6 + 1 as int)] as base from read_pairs",
@@ -274,8 +277,14 @@ PAIR_SHAPES = {
     "TDUP": _AHEAD,
     "INS": "select ev_id, chrom, sv_type, l_end as start, r_start as stop, min_delta - (r_start - l_end) as low, max_delta - (r_start - l_end) as high, 0 as slope, -1000000000 as least, 1000000000 as most from evidence where sv_type = '{kind}'",
 }
+#: Bases of the reference with the GC of their own windows, and the depth by it.
+OWN_GC = """bases as (select concat('chr', c) as chrom, (seq_id + c * 7) % (select count(*) from dna) * 64 + i as spot, substring(seq, cast(i + 1 as int), 1) in ('G', 'C') as strong from dna, range(1, 5) as r(c), range(0, 64) as o(i)),
+own_gc as (select chrom, spot, cast(round(100.0 * count(*) filter (strong) over w / count(*) over w) as int) as gc from bases window w as (partition by chrom order by spot rows between current row and 99 following)),
+own_profile as (select s.sample, s.chrom, g.gc, case when g.gc = 0 then 0.0 else coalesce(sum(d.n), 0) / any_value(g.n) end as mean_rd from (select distinct sample, chrom from depth) s join (select chrom, gc, count(*) as n from own_gc group by all) g using (chrom)
+  left join (select sample, d.chrom, gc, sum(n) as n from depth d join own_gc o on o.chrom = d.chrom and o.spot = d.pos group by all) d on d.sample = s.sample and d.chrom = s.chrom and d.gc = g.gc group by s.sample, s.chrom, g.gc)"""
 #: Views of one query alone.
 EXTRA = {
+    **dict.fromkeys(["gc_by_base", "gc_profile", "expected_rd_by_base"], OWN_GC),
     "split_evidence": f"""h as (select *, least(pos, hit_pos) as ls, greatest(pos, hit_pos) as rs, least(pos, hit_pos) + case when pos < hit_pos then 100 - clip_len else clip_len end as le, greatest(pos, hit_pos) + case when pos < hit_pos then clip_len else 100 - clip_len end as re from split_class where qual > 5 and hit_mapq > 0 and least(pos, hit_pos) > 0 and greatest(pos, hit_pos) < 1010000 and not {on('satellites', 'split_class', 'split_class.pos', 'split_class.pos + 1')} and not {on('satellites', 'split_class', 'split_class.hit_pos', 'split_class.hit_pos + 1')})""",
     "mei_call_filter": "m as (select cluster_id, chrom, case when start_pos % 3 = 0 then '-' else '+' end as strand, start_pos as s, start_pos + 40 + start_pos % 300 as e, case when start_pos % 2 = 0 then 'SINE/Alu' else 'LINE/L1' end as element, case when start_pos % 5 < 2 then 'SINE/Alu' else 'Other/SVA' end as name from calls), places as (select *, 'all' as place, s - 1 as a, e as b from m union all select *, 'start', s, s + 1 from m union all select *, 'end', e - 1, e from m union all select *, 'middle', (s + e) // 2, (s + e) // 2 + 1 from m)",
     "maximal_sets": "sets as (select cluster_id, min(chrom) as chrom, list(ev_id order by ev_id) as s from (select ev_id, chrom, concat('a', chrom, ':', sv_type, ':', l_start // 1000) as cluster_id from evidence union all select ev_id, chrom, concat('b', chrom, ':', sv_type, ':', l_start // 1850) from evidence) group by 1)",

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixlake.functions.sequence import reverse_complement
-from helixlake.operators import calling, depth, evidence, reads, scoring
+from helixlake.operators import calling, composition, depth, evidence, reads, scoring
 from helixlake.sources import fixtures
 from helixlake.stored import store
 
@@ -108,6 +108,24 @@ class Tables:
     def windows(self) -> DataFrame:
         return depth.gc_windows(self.dna)
 
+    #: Bases of a page of the reference.
+    page = 64
+
+    @cached_property
+    def reference(self) -> DataFrame:
+        """Pages of four chromosomes, each made of all sequences one after the other, from a place of its own on."""
+        rows = self.dna.crossJoin(self.spark.range(1, 5))  # four chromosomes
+        n = self.dna.agg(F.count("*").alias("n"))  # one row
+        return rows.crossJoin(n).selectExpr("concat('chr', id) as chrom", f"(seq_id + id * 7) % n * {self.page} as start_pos", "seq")
+
+    @cached_property
+    def track(self) -> DataFrame:
+        return store(composition.base_gc(self.reference, self.page), "base-gc")
+
+    @cached_property
+    def base_profile(self) -> DataFrame:
+        return store(composition.gc_profile(self.depth, self.track, self.page), "base-profile")
+
     @cached_property
     def spans(self) -> DataFrame:
         """A span for every gap, and those of the stand-in clusters' regions have names of their own."""

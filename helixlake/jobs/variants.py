@@ -12,7 +12,7 @@ from helixlake.constants import MAX_CALLS, Params
 from helixlake.functions import sequence as s
 from helixlake.functions.likelihood import log_poisson
 from helixlake.jobs.tables import Tables
-from helixlake.operators import calling, clusters, depth, evidence, reads, scoring, vcf
+from helixlake.operators import calling, clusters, composition, depth, evidence, reads, scoring, vcf
 from helixlake.operators.ranges import overlap_filter, overlap_join
 from helixlake.sources import files, fixtures, text
 from helixlake.stored import scratch_dir
@@ -253,6 +253,23 @@ def expected_rd(t: Tables) -> DataFrame:
     return depth.expected_depth(t.spans, depth.gc_depth(t.depth, t.windows), t.windows)
 
 
+@query
+def gc_by_base(t: Tables) -> DataFrame:
+    """How many bases' own windows have each GC percent."""
+    found = composition.base_gc(t.reference, t.page).select("chrom", F.explode("gc").alias("gc"))
+    return found.groupBy("chrom", F.col("gc").cast("int").alias("gc")).agg(F.count("*").alias("bases"))
+
+
+@query
+def gc_profile(t: Tables) -> DataFrame:
+    return t.base_profile.select("sample", "chrom", "gc", F.round("mean_rd", 9).alias("mean_rd"))
+
+
+@query
+def expected_rd_by_base(t: Tables) -> DataFrame:
+    return composition.expected_depth(t.spans, t.base_profile, t.track, t.page)
+
+
 @query
 def base_decode(t: Tables) -> DataFrame:
     return t.pairs.select("rid", s.base_decode(F.expr("case edit % 6 when 0 then 1 when 1 then 2 when 2 then 4 when 3 then 8 when 4 then 15 else 3 end")).alias("base"))

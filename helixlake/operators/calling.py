@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixlake.constants import MAX_INVERSION, MEI_DISTANCE, REVERSE, SPLIT_MAX_DELTA, Params
 from helixlake.functions.sequence import genotype, soft_clipped
-from helixlake.operators import clusters, depth, evidence, reads, scoring
+from helixlake.operators import clusters, composition, depth, evidence, reads, scoring
 from helixlake.stored import scratch, store
 
 P = Params()
@@ -153,12 +153,12 @@ def inserted_elements(bounds: DataFrame, members: DataFrame, elements: DataFrame
 
 
 def call_variants(
-    alignments: DataFrame, satellites: DataFrame, gaps: DataFrame, elements: DataFrame, windows: DataFrame, split: DataFrame | None = None, p: Params = P,
+    alignments: DataFrame, satellites: DataFrame, gaps: DataFrame, elements: DataFrame, windows: DataFrame | None, split: DataFrame | None = None, p: Params = P,
     lengths: DataFrame | None = None, pages: DataFrame | None = None, width: int = 1000,
 ) -> DataFrame:
     """Calls with what `vcf.records` needs. alignments: see the fixture; with mate_chrom, cigar, seq and base_quals they may lie
-    on several chromosomes and be clipped. windows: GC of grid windows; lengths: chrom, length (else all chromosomes are as long
-    as the parameters say); pages: the reference, in which clipped parts are sought; split: evidence rows of split reads found
+    on several chromosomes and be clipped. windows: GC of grid windows, not looked at where pages are given; lengths: chrom, length (else all chromosomes are as long
+    as the parameters say); pages: the reference, by which each base's GC goes and in which clipped parts are sought; split: evidence rows of split reads found
     elsewhere, if there are any."""
     with scratch(alignments.sparkSession) as kept:
         found = store(_call_variants(prepared(alignments), satellites, gaps, elements, windows, split, p, lengths, pages, width), "calls")
@@ -167,7 +167,7 @@ def call_variants(
 
 
 def _call_variants(
-    alignments: DataFrame, satellites: DataFrame, gaps: DataFrame, elements: DataFrame, windows: DataFrame, split: DataFrame | None, p: Params, lengths: DataFrame | None, pages: DataFrame | None, width: int
+    alignments: DataFrame, satellites: DataFrame, gaps: DataFrame, elements: DataFrame, windows: DataFrame | None, split: DataFrame | None, p: Params, lengths: DataFrame | None, pages: DataFrame | None, width: int
 ) -> DataFrame:
     band = store(reads.valid_libraries(reads.concordance_band(reads.fragment_sample(alignments.where(reads.proper())), p.read_length)), "band")  # a row for each library
     mitochondrial, mobile, near = routed(alignments, band, satellites, elements, p, lengths)
@@ -183,8 +183,12 @@ def _call_variants(
     bounds = store(clusters.cluster_prune(scoring.cluster_bounds(members)), "bounds")
     counted = store(depth.read_depth(alignments.where(reads.proper() & (F.col("mapq") > p.mapq))), "depth")
     libraries = alignments.select("sample", "library").distinct().join(F.broadcast(band.select("library")), "library")
-    inputs = scoring.score_inputs(bounds, members, counted, depth.gc_depth(counted, windows), windows, band, libraries)
-    inputs = store(inputs, "score-inputs")
+    if pages is None:
+        track, profile = None, depth.gc_depth(counted, windows)
+    else:
+        track = store(composition.base_gc(pages, width), "base-gc")
+        profile = store(composition.gc_profile(counted, track, width), "profile")
+    inputs = store(scoring.score_inputs(bounds, members, counted, profile, windows, band, libraries, track, width), "score-inputs")
     picked = store(scoring.set_cover(bounds, members, inputs, elements, p.support), "picked")
     support = picked.select("cluster_id", "sample", "rp", "sr")
     kept = scoring.report_filter(support, p.support).select("cluster_id")

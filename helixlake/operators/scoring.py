@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from helixlake.constants import GC_WINDOW, INFINITE_SCORE, ZERO_RATE_DEPTH, ZERO_RATE_PAIRS, Params
 from helixlake.functions.likelihood import erf, log_poisson
+from helixlake.operators import composition
 from helixlake.operators.depth import expected_depth, observed_depth
 from helixlake.operators.ranges import islands, overlap_join
 
@@ -85,16 +86,24 @@ def long_inserts(band: DataFrame, read_length: int = P.read_length) -> DataFrame
     return lengths.groupBy("library").agg(F.sum(tail).alias("spanning"))
 
 
-def score_inputs(bounds: DataFrame, members: DataFrame, depth: DataFrame, profile: DataFrame, windows: DataFrame, band: DataFrame, libraries: DataFrame) -> DataFrame:
+def score_inputs(
+    bounds: DataFrame, members: DataFrame, depth: DataFrame, profile: DataFrame, windows: DataFrame | None, band: DataFrame, libraries: DataFrame, track: DataFrame | None = None, width: int = 1000
+) -> DataFrame:
     """For every call and sample: observed and expected depth (od, ed), pairs of all samples together (op), and expected
-    pairs (ep) by the sample's first library. libraries: sample, library."""
+    pairs (ep) by the sample's first library. libraries: sample, library. With a track (`composition.base_gc`, over pages of
+    `width` bases) a base goes by its own window's GC, else by that of its grid window."""
     region = score_region(bounds)
     spans = region.select(F.col("cluster_id").alias("span_id"), "chrom", "start_pos", "end_pos").where("start_pos < end_pos")
     od = observed_depth(spans, depth).withColumnsRenamed({"span_id": "cluster_id", "observed_rd": "od"})
-    ed = expected_depth(spans, profile, windows).withColumnsRenamed({"span_id": "cluster_id", "expected_rd": "ed"})
+    ed = expected_depth(spans, profile, windows) if track is None else composition.expected_depth(spans, profile, track, width)
+    ed = ed.withColumnsRenamed({"span_id": "cluster_id", "expected_rd": "ed"})
     first = libraries.groupBy("sample").agg(F.min("library").alias("library")).join(long_inserts(band), "library").select("sample", "spanning")  # a row for each sample
-    at = region.select("cluster_id", "chrom", "sv_type", (F.floor(F.col("breakpoint") / GC_WINDOW) * GC_WINDOW).alias("start_pos"))
-    rates = at.join(windows, ["chrom", "start_pos"]).join(profile, ["chrom", "gc"]).select("cluster_id", "sample", "mean_rd")
+    if track is None:
+        at = region.select("cluster_id", "chrom", (F.floor(F.col("breakpoint") / GC_WINDOW) * GC_WINDOW).alias("start_pos"))
+        rates = at.join(windows, ["chrom", "start_pos"]).join(profile, ["chrom", "gc"])
+    else:
+        rates = composition.rate_at(region.select("cluster_id", "chrom", "breakpoint"), profile, track, width)
+    rates = rates.select("cluster_id", "sample", "mean_rd")
     op = members.groupBy("cluster_id").agg(F.count("*").alias("op"))
     rows = region.select("cluster_id", "sv_type").join(op, "cluster_id").crossJoin(F.broadcast(first))
     keys = ["cluster_id", "sample"]
