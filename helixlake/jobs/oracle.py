@@ -192,6 +192,9 @@ from h join (values ('FFAB', 'DEL', 'F', 'R', -20, 20), ('FFAB', 'INTERDUP', 'F'
     "discordant_fastq": "select concat('@', read_name) as name, case when l_or = 'R' then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as seq from evidence join dna on seq_id = ev_id % 2000",
     "fastq_pair_join": "select concat('r', seq_id) as name, substring(seq, 1, 30) as seq1, substring(seq, 2, 30) as seq2 from dna",
     "vcf_records": "select * from records",
+    "resolved_records": """select chrom, r.pos, r.id, case when f.seq is null then '.' when spelt and sv_type in ('DEL', 'INV') then f.seq else base end as ref,
+  case when not spelt or f.seq is null then r.alt when sv_type = 'DEL' then f.seq[1] when sv_type = 'INV' then reverse(translate(f.seq, 'ACGT', 'TGCA')) when sv_type = 'MEI_F' then coalesce(body, '.') when sv_type in ('INS', 'NUMT_R') then '.' else f.seq end as alt
+from records r join spelt_out f using (id, chrom)""",
     "vcf_to_bed": "select chrom, pos - 1 as start_pos, cast(regexp_extract(info, 'END=([0-9]+)', 1) as int) as end_pos, regexp_extract(info, 'SVTYPE=([^;]+)', 1) as sv_type from records",
     "sv_stats": "select regexp_extract(info, 'SVTYPE=([^;]+)', 1) as sv_type, count(*) as n, cast(sum(abs(cast(regexp_extract(info, 'SVLEN=(-?[0-9]+)', 1) as bigint))) as bigint) as total_length from records group by 1",
     "alt_left_prim_right": "select * from alr",
@@ -288,6 +291,13 @@ EXTRA = {
     "split_evidence": f"""h as (select *, least(pos, hit_pos) as ls, greatest(pos, hit_pos) as rs, least(pos, hit_pos) + case when pos < hit_pos then 100 - clip_len else clip_len end as le, greatest(pos, hit_pos) + case when pos < hit_pos then clip_len else 100 - clip_len end as re from split_class where qual > 5 and hit_mapq > 0 and least(pos, hit_pos) > 0 and greatest(pos, hit_pos) < 1010000 and not {on('satellites', 'split_class', 'split_class.pos', 'split_class.pos + 1')} and not {on('satellites', 'split_class', 'split_class.hit_pos', 'split_class.hit_pos + 1')})""",
     "mei_call_filter": "m as (select cluster_id, chrom, case when start_pos % 3 = 0 then '-' else '+' end as strand, start_pos as s, start_pos + 40 + start_pos % 300 as e, case when start_pos % 2 = 0 then 'SINE/Alu' else 'LINE/L1' end as element, case when start_pos % 5 < 2 then 'SINE/Alu' else 'Other/SVA' end as name from calls), places as (select *, 'all' as place, s - 1 as a, e as b from m union all select *, 'start', s, s + 1 from m union all select *, 'end', e - 1, e from m union all select *, 'middle', (s + e) // 2, (s + e) // 2 + 1 from m)",
     "maximal_sets": "sets as (select cluster_id, min(chrom) as chrom, list(ev_id order by ev_id) as s from (select ev_id, chrom, concat('a', chrom, ':', sv_type, ':', l_start // 1000) as cluster_id from evidence union all select ev_id, chrom, concat('b', chrom, ':', sv_type, ':', l_start // 1850) from evidence) group by 1)",
+    "resolved_records": """genome as (select concat('chr', c) as chrom, string_agg(seq, '' order by (seq_id + c * 7) % (select count(*) from dna)) as g from dna, range(1, 5) as r(c) group by c),
+spelt_places as (select *, o_s % 3 = 0 or (coalesce(precise, false) and sv_type not in ('INS', 'MEI_F', 'NUMT_R')) as spelt, case when sv_type in ('DEL', 'INS') then i_s when sv_type like '%LEFT' then i_e else o_s end as place,
+  case when sv_type in ('DEL', 'INS') then i_s when sv_type like '%LEFT' then least(i_e, o_e) when sv_type like '%RIGHT' then least(i_s, o_s) else o_s end as lo,
+  case when sv_type = 'DEL' then i_e when sv_type like '%LEFT' then greatest(i_e, o_e) when sv_type like '%RIGHT' then greatest(i_s, o_s) when sv_type in ('INV', 'TDUP') then o_e when sv_type = 'INS' then i_s else o_s end as hi from final_ends where coalesce(i_s + o_s + i_e + o_e, -1) >= 0),
+spelt_out as (select p.*, case split_part(sv_type, '_', -1) when 'F' then 'sv_mei_' when 'R' then 'sv_numt_' when 'RIGHT' then 'sv_dup_' when 'LEFT' then 'sv_dup_' when 'TDUP' then 'sv_dup_' else concat('sv_', lower(sv_type), '_') end || cluster_id as id,
+  nullif(substring(g, cast(place + 1 as int), 1), '') as base, nullif(case when spelt then substring(g, cast(lo + 1 as int), cast(hi - lo + 1 as int)) else substring(g, cast(place + 1 as int), 1) end, '') as seq,
+  case when o_s % 2 = 0 then nullif(substring(g, cast(o_s - o_s % 1000 + 1 as int), 150), '') end as body from spelt_places p left join genome using (chrom))""",
     "refine_breakpoints": "rough as (select cluster_id, ev_id, library, l_end - l_end % 1000 as l_end, r_start - r_start % 1000 as r_start from members), rough_votes as (select s.cluster_id, s.ev_id, s.l_end, s.r_start, count(*) filter (m.ev_id <> s.ev_id and (m.l_end = s.l_end or m.r_start = s.r_start)) as same, count(*) filter (m.ev_id <> s.ev_id and m.l_end <> s.l_end and m.r_start <> s.r_start) as different from rough s join rough m using (cluster_id) where s.library = 'SplitRead' and m.library = 'SplitRead' group by all)",
     "cluster_mei": REGION_SETS.format(least=2, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('MEI', xor(case when (flag & 32 = 0 and strand = '-') or (flag & 32 <> 0 and strand = '+') then 2 * mei_code else 2 * mei_code + 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos as pos_end, band.max_delta, band.conc_max from (select a.*, strand, mei_code, row_number() over (partition by a.read_name, a.pos order by start_pos, end_pos, mei_code, strand) as k from classified a join elements e on concat('chr', cast(cast(substring(a.chrom, 4, 1) as int) % 4 + 1 as varchar)) = e.chrom and start_pos <= mate_pos and mate_pos + 100 <= end_pos where mapq > 5 and class not in ('CONC', 'UNMAPPED')) a join band using (library) where k = 1"),
     "cluster_numt": REGION_SETS.format(least=0, rows="select rid * 2 + case when isize > 0 then 0 else 1 end as ev_id, chrom, concat('NUMT', xor(case when flag & 32 = 0 then 0 else 1 end, case when flag & 16 = 0 then 0 else 1 end)) as sv_type, pos, flag & 16 = 0 as f, pos + 100 as pos_end, b.max_delta + 200 as max_delta, b.conc_max from classified join band b using (library) where nm % 2 = 0 and mapq > 5 and class not in ('CONC', 'UNMAPPED')"),

@@ -12,7 +12,7 @@ from helixlake.constants import MAX_CALLS, Params
 from helixlake.functions import sequence as s
 from helixlake.functions.likelihood import log_poisson
 from helixlake.jobs.tables import Tables
-from helixlake.operators import calling, clusters, composition, depth, evidence, reads, scoring, vcf
+from helixlake.operators import calling, clusters, composition, depth, evidence, reads, resolve, scoring, vcf
 from helixlake.operators.ranges import overlap_filter, overlap_join
 from helixlake.sources import files, fixtures, text
 from helixlake.stored import scratch_dir
@@ -372,7 +372,7 @@ def fastq_pair_join(t: Tables) -> DataFrame:
     return text.fastq_pairs(text.fastq(_fastq(t, 1)), text.fastq(_fastq(t, 2)))
 
 
-def _records(t: Tables) -> DataFrame:
+def _calls(t: Tables) -> DataFrame:
     """The stand-in clusters, refined by their split reads, with genotypes by the profile; every seventh's deletion is of a
     mobile element, and insertions of one and duplications stand beside them."""
     support = scoring.cluster_support(t.sided)
@@ -384,7 +384,21 @@ def _records(t: Tables) -> DataFrame:
     element = F.expr("case when sv_type = 'MEI_F' or sv_type = 'DEL' and outer_start % 7 = 0 then 'SINE/Alu' end")
     length = F.expr("case when sv_type = 'MEI_F' and outer_start % 2 = 0 then 300 end")
     calls = calling.with_samples(ends, support, genotypes).withColumns({"element": element, "element_length": length, "filtered": F.col("outer_start") % 5 == 0})
-    return vcf.records(calls.withColumn("ref", F.lit(None).cast("string")))
+    return calls.withColumn("ref", F.lit(None).cast("string"))
+
+
+def _records(t: Tables) -> DataFrame:
+    return vcf.records(_calls(t))
+
+
+@query
+def resolved_records(t: Tables) -> DataFrame:
+    """Sequences of the stand-in calls: of precise ones, and of a third of all; some insert an element of a known place."""
+    known = F.col("sv_type").startswith("MEI") & (F.col("outer_start") % 2 == 0)
+    start = F.when(known, F.col("outer_start") - F.col("outer_start") % 1000)
+    calls = _calls(t).withColumns({"element_chrom": F.when(known, F.col("chrom")), "element_start": start, "element_end": start + 150})
+    records = vcf.records(resolve.with_sequences(calls, t.reference, F.col("outer_start") % 3 == 0, t.page))
+    return records.select("chrom", "pos", "id", "ref", "alt")
 
 
 @query

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from helixlake.constants import MAX_INVERSION, MEI_DISTANCE, REVERSE, SPLIT_MAX_DELTA, Params
 from helixlake.functions.sequence import genotype, soft_clipped
-from helixlake.operators import clusters, composition, depth, evidence, reads, scoring
+from helixlake.operators import clusters, composition, depth, evidence, reads, resolve, scoring
 from helixlake.stored import scratch, store
 
 P = Params()
@@ -143,10 +143,11 @@ def prepared(alignments: DataFrame) -> DataFrame:
 
 
 def inserted_elements(bounds: DataFrame, members: DataFrame, elements: DataFrame) -> DataFrame:
-    """cluster_id, element, element_name and element_length of calls of mobile elements: those of most of their reads, and the
-    length of the first such element of the reference."""
+    """cluster_id, element, element_name, element_length and where it stands of calls of mobile elements: those of most of their
+    reads, and the first such element of the reference."""
     kind = F.col("repeat_type") if "repeat_type" in elements.columns else F.col("repeat_class")
-    lengths = elements.select(kind.alias("element_name"), "chrom", "start_pos", "end_pos").groupBy("element_name").agg(F.min_by(F.col("end_pos") - F.col("start_pos"), F.struct("chrom", "start_pos", "end_pos")).alias("element_length"))
+    lengths = elements.select(kind.alias("element_name"), "chrom", "start_pos", "end_pos").groupBy("element_name").agg(F.min(F.struct("chrom", "start_pos", "end_pos")).alias("f"))
+    lengths = lengths.select("element_name", (F.col("f.end_pos") - F.col("f.start_pos")).alias("element_length"), *[F.col(f"f.{c}").alias(to) for c, to in zip(("chrom", "start_pos", "end_pos"), resolve.ELEMENT)])
     counts = members.where("element_name is not null").groupBy("cluster_id", "element", "element_name").agg(F.count("*").alias("_n"))
     named = counts.groupBy("cluster_id").agg(F.max_by(F.struct("element", "element_name"), F.struct("_n", "element_name", "element")).alias("e")).select("cluster_id", "e.element", "e.element_name")
     return named.join(bounds.where("sv_type like 'MEI%'").select("cluster_id"), "cluster_id").join(lengths, "element_name", "left")
@@ -155,20 +156,23 @@ def inserted_elements(bounds: DataFrame, members: DataFrame, elements: DataFrame
 def call_variants(
     alignments: DataFrame, satellites: DataFrame, gaps: DataFrame, elements: DataFrame, windows: DataFrame | None, split: DataFrame | None = None, p: Params = P,
     lengths: DataFrame | None = None, pages: DataFrame | None = None, width: int = 1000,
+    resolved: bool = False,
 ) -> DataFrame:
     """Calls with what `vcf.records` needs. alignments: see the fixture; with mate_chrom, cigar, seq and base_quals they may lie
     on several chromosomes and be clipped. windows: GC of grid windows, not looked at where pages are given; lengths: chrom, length (else all chromosomes are as long
-    as the parameters say); pages: the reference, by which each base's GC goes and in which clipped parts are sought; split: evidence rows of split reads found
+    as the parameters say); pages: the reference, by which each base's GC goes, in which clipped parts are sought, and
+    which gives records their sequences (those of imprecise calls too if `resolved`); split: evidence rows of split reads found
     elsewhere, if there are any."""
     with scratch(alignments.sparkSession) as kept:
-        found = store(_call_variants(prepared(alignments), satellites, gaps, elements, windows, split, p, lengths, pages, width), "calls")
+        found = store(_call_variants(prepared(alignments), satellites, gaps, elements, windows, split, p, lengths, pages, width, resolved), "calls")
         kept.append(found.stored_at)
     return found
 
 
 def _call_variants(
-    alignments: DataFrame, satellites: DataFrame, gaps: DataFrame, elements: DataFrame, windows: DataFrame | None, split: DataFrame | None, p: Params, lengths: DataFrame | None, pages: DataFrame | None, width: int
-) -> DataFrame:
+    alignments: DataFrame, satellites: DataFrame, gaps: DataFrame, elements: DataFrame, windows: DataFrame | None, split: DataFrame | None, p: Params, lengths: DataFrame | None, pages: DataFrame | None, width: int,
+    resolved: bool,
+) -> DataFrame:
     band = store(reads.valid_libraries(reads.concordance_band(reads.fragment_sample(alignments.where(reads.proper())), p.read_length)), "band")  # a row for each library
     mitochondrial, mobile, near = routed(alignments, band, satellites, elements, p, lengths)
     rows = store(evidence.evidence_filter(pair_evidence(near, band, p), satellites, gaps, p, lengths), "pair-rows")
@@ -202,4 +206,7 @@ def _call_variants(
     calls = calls.join(found.withColumnRenamed("element", "_deleted"), "cluster_id", "left").join(inserted, "cluster_id", "left")
     calls = store(calls.withColumn("element", F.coalesce("element", "_deleted")).drop("_deleted"), "named-calls")
     barred = scoring.mei_call_filter(calls.where("sv_type like 'MEI%'"), elements, satellites).where("filter = 'mfilt'").select("cluster_id", F.lit(True).alias("filtered"))
-    return calls.join(barred, "cluster_id", "left").withColumn("ref", F.lit(None).cast("string"))
+    calls = calls.join(barred, "cluster_id", "left")
+    if pages is None:
+        return calls.withColumn("ref", F.lit(None).cast("string"))
+    return resolve.with_sequences(calls, pages, resolved, width)

@@ -32,7 +32,8 @@ def _lookup(values: dict[str, str]) -> Column:
 def records(calls: DataFrame) -> DataFrame:
     """Columns of a variant record. calls: cluster_id, chrom, sv_type, inner_start, outer_start, inner_end, outer_end; rp,
     sr (of all samples); precise; element and element_length (class and length of the mobile element that is inserted or
-    deleted, or null); filtered (null: no); ref (the base at the position, or null); samples (array of sample, gt, score,
+    deleted, or null); filtered (null: no); ref (the base at the position, or null); alt, if there is such a column (a sequence, or
+    null for a symbolic allele: see `resolve.with_sequences`); samples (array of sample, gt, score,
     rp, sr)."""
     kind, i_s, o_s, i_e, o_e = (F.col(c) for c in ("sv_type", "inner_start", "outer_start", "inner_end", "outer_end"))
     left, right, mobile, region = kind.endswith("_LEFT"), kind.endswith("_RIGHT"), kind.startswith("MEI"), kind.isin(*REGIONS)
@@ -44,6 +45,8 @@ def records(calls: DataFrame) -> DataFrame:
     of_element = lambda prefix, plain: F.when(mobile, F.concat(F.lit(f"{prefix}INS:ME:"), F.coalesce("element", F.lit(".")))).when((kind == "DEL") & F.col("element").isNotNull(), F.concat(F.lit(f"{prefix}DEL:ME:"), "element")).otherwise(plain)
     alt = of_element("<", _lookup(ALLELES))
     alt = F.when(alt.endswith(">"), alt).otherwise(F.concat(alt, F.lit(">")))
+    if "alt" in calls.columns:
+        alt = F.coalesce("alt", alt)
     interval = lambda to, back: F.concat(F.lit("CIEND=0,"), to, F.lit(";CIPOS=-"), back, F.lit(",0;IMPRECISE"))
     info = F.concat_ws(
         ";", F.concat(F.lit("END="), end + 1), F.concat(F.lit("SVLEN="), F.when(kind == "DEL", -size).otherwise(size)), F.when(mobile, F.concat(F.lit("MEINFO="), F.col("element"))),
