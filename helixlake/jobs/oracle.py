@@ -192,6 +192,10 @@ from h join (values ('FFAB', 'DEL', 'F', 'R', -20, 20), ('FFAB', 'INTERDUP', 'F'
     "discordant_fastq": "select concat('@', read_name) as name, case when l_or = 'R' then reverse(translate(seq, 'ACGT', 'TGCA')) else seq end as seq from evidence join dna on seq_id = ev_id % 2000",
     "fastq_pair_join": "select concat('r', seq_id) as name, substring(seq, 1, 30) as seq1, substring(seq, 2, 30) as seq2 from dna",
     "vcf_records": "select * from records",
+    "annotation_tables": """select 'chromosome' as kind, chrom, 0 as start_pos, size as end_pos, gc from sizes union all
+select distinct 'gap', chrom, start_pos, least(end_pos, size), null::double from (select * from gaps union all select case when start_pos % 2 = 0 then chrom else 'chr9' end, start_pos + 1900, end_pos + 1900 from gaps) join sizes using (chrom) where start_pos < size union all
+select distinct 'duplication', chrom, start_pos, least(end_pos, size), null from gaps join sizes using (chrom) where start_pos < size union all
+select kind, chrom, start_pos, end_pos, null from (select distinct case when repeat_class = 'Satellite' then 'satellite' else 'element' end as kind, chrom, start_pos, least(end_pos, size) as end_pos, strand, repeat_class, mei_code from repeats join sizes using (chrom) where start_pos < size)""",
     "resolved_records": """select chrom, r.pos, r.id, case when f.seq is null then '.' when spelt and sv_type in ('DEL', 'INV') then f.seq else base end as ref,
   case when not spelt or f.seq is null then r.alt when sv_type = 'DEL' then f.seq[1] when sv_type = 'INV' then reverse(translate(f.seq, 'ACGT', 'TGCA')) when sv_type = 'MEI_F' then coalesce(body, '.') when sv_type in ('INS', 'NUMT_R') then '.' else f.seq end as alt
 from records r join spelt_out f using (id, chrom)""",
@@ -291,6 +295,7 @@ EXTRA = {
     "split_evidence": f"""h as (select *, least(pos, hit_pos) as ls, greatest(pos, hit_pos) as rs, least(pos, hit_pos) + case when pos < hit_pos then 100 - clip_len else clip_len end as le, greatest(pos, hit_pos) + case when pos < hit_pos then clip_len else 100 - clip_len end as re from split_class where qual > 5 and hit_mapq > 0 and least(pos, hit_pos) > 0 and greatest(pos, hit_pos) < 1010000 and not {on('satellites', 'split_class', 'split_class.pos', 'split_class.pos + 1')} and not {on('satellites', 'split_class', 'split_class.hit_pos', 'split_class.hit_pos + 1')})""",
     "mei_call_filter": "m as (select cluster_id, chrom, case when start_pos % 3 = 0 then '-' else '+' end as strand, start_pos as s, start_pos + 40 + start_pos % 300 as e, case when start_pos % 2 = 0 then 'SINE/Alu' else 'LINE/L1' end as element, case when start_pos % 5 < 2 then 'SINE/Alu' else 'Other/SVA' end as name from calls), places as (select *, 'all' as place, s - 1 as a, e as b from m union all select *, 'start', s, s + 1 from m union all select *, 'end', e - 1, e from m union all select *, 'middle', (s + e) // 2, (s + e) // 2 + 1 from m)",
     "maximal_sets": "sets as (select cluster_id, min(chrom) as chrom, list(ev_id order by ev_id) as s from (select ev_id, chrom, concat('a', chrom, ':', sv_type, ':', l_start // 1000) as cluster_id from evidence union all select ev_id, chrom, concat('b', chrom, ':', sv_type, ':', l_start // 1850) from evidence) group by 1)",
+    "annotation_tables": "sizes as (select concat('chr', c) as chrom, cast(sum(length(seq)) as int) as size, round(100.0 * sum(length(regexp_replace(seq, '[^GC]', '', 'g'))) / sum(length(seq)), 6) as gc from dna, range(1, 5) as r(c) group by c)",
     "resolved_records": """genome as (select concat('chr', c) as chrom, string_agg(seq, '' order by (seq_id + c * 7) % (select count(*) from dna)) as g from dna, range(1, 5) as r(c) group by c),
 spelt_places as (select *, o_s % 3 = 0 or (coalesce(precise, false) and sv_type not in ('INS', 'MEI_F', 'NUMT_R')) as spelt, case when sv_type in ('DEL', 'INS') then i_s when sv_type like '%LEFT' then i_e else o_s end as place,
   case when sv_type in ('DEL', 'INS') then i_s when sv_type like '%LEFT' then least(i_e, o_e) when sv_type like '%RIGHT' then least(i_s, o_s) else o_s end as lo,

@@ -14,7 +14,7 @@ from helixlake.functions.likelihood import log_poisson
 from helixlake.jobs.tables import Tables
 from helixlake.operators import calling, clusters, composition, depth, evidence, reads, resolve, scoring, vcf
 from helixlake.operators.ranges import overlap_filter, overlap_join
-from helixlake.sources import files, fixtures, text
+from helixlake.sources import annotation, files, fixtures, text
 from helixlake.stored import scratch_dir
 
 P = Params()
@@ -824,6 +824,18 @@ def repeat_masker_reader(t: Tables) -> DataFrame:
     return files.repeat_masker(t.spark, _kept(t, head.unionByName(rows), "masker"))
 
 
+@query
+def annotation_tables(t: Tables) -> DataFrame:
+    """Lengths and GC of chromosomes, and intervals cut to them: gaps once moved over an end, once as they are, and repeats."""
+    gaps = t.gaps.unionByName(t.gaps.selectExpr("if(start_pos % 2 = 0, chrom, 'chr9') as chrom", "start_pos + 1900 as start_pos", "end_pos + 1900 as end_pos"))
+    made = annotation.annotate(t.reference, gaps, t.gaps, t.repeats, t.page)
+    kinds = {"gap": made.gaps, "duplication": made.duplications, "satellite": made.satellites, "element": made.elements}
+    rows = made.lengths.selectExpr("'chromosome' as kind", "chrom", "0 as start_pos", "length as end_pos", "gc")
+    for kind, found in kinds.items():
+        rows = rows.unionByName(found.select(F.lit(kind).alias("kind"), "chrom", "start_pos", "end_pos", F.lit(None).cast("double").alias("gc")))
+    return rows
+
+
 @query
 def input_list(t: Tables) -> DataFrame:
     rows = fixtures.table(t.spark, t.sf_dir, "nation").selectExpr("concat(n_name, '.bam, ', n_regionkey, '.bam,') as value")
