@@ -123,4 +123,8 @@ def test_split_reads_give_the_base(spark, side):
     got = {c.sv_type: (c.outer_start, c.outer_end) for c in calls if c.precise}
     assert got == {"DEL": (20_013, 22_007), "INV": (50_021, 53_002), "TDUP": (70_005, 71_503)}
     assert all(c.sr == 7 for c in calls if c.precise) and [c.sv_type for c in calls if not c.precise] in ([], ["TDUP"])
+    spelt = {c.sv_type: (c.ref, c.alt) for c in calls if c.precise}
+    whole = ref[50_021:53_003]
+    assert spelt == {"DEL": (ref[20_013:22_008], ref[20_013]), "INV": (whole, whole[::-1].translate(str.maketrans("ACGT", "TGCA"))), "TDUP": (ref[70_005], ref[70_005:71_504])}
+    assert all(c.alt is None and c.ref == ref[c.outer_start] for c in calls if not c.precise and c.sv_type == "TDUP")
     assert sum("PRECISE" in r.info.split(";") for r in records.values()) >= 3
