@@ -204,7 +204,7 @@ from records r join spelt_out f using (id, chrom)""",
     "alt_left_prim_right": "select * from alr",
     "alt_left_alt_right": 'select l.read_name, l.chrom, l.pos as l_pos, l."or" as l_or, r.pos as r_pos, r."or" as r_or, l.nm + r.nm as edit from alt l join alt r using (read_name, chrom) where l.pos < r.pos',
     "prim_left_alt_right": 'select l.read_name, l.chrom, l.pos as l_pos, l."or" as l_or, r.pos as r_pos, r."or" as r_or, l.nm + r.nm as edit from prim l join alt r using (read_name, chrom) where l.isize > 0 and l.pos < r.pos',
-    "alt_classify": "select read_name, l_pos, r_pos, i as insert_size, case when l_or = r_or then 'INV' when l_or = 'R' then 'TDUP' when i > 500 then 'DEL' when i < 300 then 'INS' else 'CONC' end as class from (select *, case when l_or = 'F' and r_or = 'R' then r_pos + 100 - l_pos when l_or = 'R' and r_or = 'F' then r_pos - l_pos - 100 else r_pos - l_pos end as i from alr)",
+    "alt_classify": "select read_name, l_pos, r_pos, i as insert_size, case when l_or = r_or then 'INV' when l_or = 'R' then 'TDUP' when i < conc_min then 'INS' when i > conc_max then 'DEL' else 'CONC' end as class from (select alr.*, conc_min, conc_max, case when l_or = 'F' and r_or = 'R' then r_pos + 100 - l_pos when l_or = 'R' and r_or = 'F' then r_pos - l_pos - 100 else r_pos - l_pos end as i from alr join (select read_name, library from alignments where isize < 0) using (read_name) join band using (library))",
     "softclip_candidates": "select read_name, pos, clip_side, clip_len from clipped",
     "softclip_quality": "select concat(read_name, '_Split') as read_name, clip_side, clip_len, cast(floor(sum((i * 7 + rid) % 41) / clip_len) as int) as avg_phred from clipped, range(1, 101) as r(i) where (clip_side = 'HEAD' and i <= clip_len) or (clip_side = 'TAIL' and i > 100 - clip_len) group by read_name, rid, pos, clip_side, clip_len",
     "softclip_hist": "select chrom, brk, n from hist",

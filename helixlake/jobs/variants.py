@@ -445,8 +445,9 @@ def prim_left_alt_right(t: Tables) -> DataFrame:
 
 @query
 def alt_classify(t: Tables) -> DataFrame:
-    rows = _alternatives(t).withColumn("read_length", F.lit(100)).withColumn("insert_size", reads.insert_size())
-    return rows.select("read_name", "l_pos", "r_pos", "insert_size", F.expr("case when l_or = r_or then 'INV' when l_or = 'R' then 'TDUP' when insert_size > 500 then 'DEL' when insert_size < 300 then 'INS' else 'CONC' end").alias("class"))
+    libraries = t.alignments.where("isize < 0").select("read_name", "library")
+    rows = _alternatives(t).join(libraries, "read_name").withColumn("read_length", F.lit(100)).withColumn("insert_size", reads.insert_size())
+    return evidence.classify_alternatives(rows, t.band).select("read_name", "l_pos", "r_pos", "insert_size", "class")
 
 
 @query

@@ -31,6 +31,14 @@ def alternatives(left: DataFrame, right: DataFrame) -> DataFrame:
     return both.where("l_pos < r_pos").select("read_name", "chrom", "l_pos", "l_or", "r_pos", "r_or", (F.col("l_nm") + F.col("r_nm")).alias("edit"))
 
 
+def classify_alternatives(rows: DataFrame, band: DataFrame) -> DataFrame:
+    """Adds class by strands and by the library's band of insert sizes; libraries without a band go. Needs l_or, r_or, library
+    and insert_size."""
+    sized = rows.join(F.broadcast(band.select("library", "conc_min", "conc_max")), "library")  # a row for each library
+    found = "case when l_or = r_or then 'INV' when l_or = 'R' then 'TDUP' when insert_size < conc_min then 'INS' when insert_size > conc_max then 'DEL' else 'CONC' end"
+    return sized.withColumn("class", F.expr(found)).drop("conc_min", "conc_max")
+
+
 def softclip_candidates(reads: DataFrame) -> DataFrame:
     """At most two CIGAR operations, the first or last a soft clip above the least length. Adds the clip's side and length."""
     ops = reads.withColumn("_ops", cigar_ops(F.col("cigar")))
