@@ -5,6 +5,7 @@ from __future__ import annotations
 import argparse
 from collections.abc import Sequence
 from dataclasses import replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -12,14 +13,21 @@ from pyspark.sql import functions as F
 from helixlake.constants import Params
 from helixlake.operators import reads, vcf
 from helixlake.operators.calling import call_variants
-from helixlake.sources import annotation, files
+from helixlake.sources import annotation, bam, files
 
 P = Params()
 
 
-def alignment_files(spark: SparkSession, *paths: str) -> DataFrame:
-    """Records of SAM files as the calling job takes them: a read's name in its library numbers its pair."""
-    rows = files.sam(spark, *paths)
+def alignment_files(spark: SparkSession, *paths: str, chroms: Sequence[str] = ()) -> DataFrame:
+    """Records of SAM and BAM files (what ends in .bam) as the calling job takes them, of `chroms` only where given: a read's
+    name in its library numbers its pair."""
+    packed = [path for path in paths if path.endswith(".bam")]
+    plain = [path for path in paths if path not in packed]
+    found = [bam.bam(spark, *packed, chroms=list(chroms) or None)] if packed else []
+    found += [files.sam(spark, *plain)] if plain else []
+    rows = reduce(DataFrame.unionByName, found)
+    if chroms:
+        rows = rows.where(F.col("chrom").isin(*chroms))
     known = lambda c: F.nullif(c, F.lit("*")).alias(c)
     rid = F.xxhash64("sample", "library", "read_name").alias("rid")
     return rows.select("read_name", rid, "chrom", known("mate_chrom"), "sample", "library", "pos", "mate_pos", "flag", "isize", "mapq", F.coalesce("nm", F.lit(0)).alias("nm"), known("cigar"), known("seq"), "base_quals")
@@ -35,9 +43,7 @@ def call_files(
 ) -> None:
     """Calls the variants of alignment files by a stored annotation and writes under `out`: `histogram` (fragment sizes),
     `calls` (lines of a VCF file, in order over its parts) and `totals` (calls and bases by type)."""
-    alignments = alignment_files(spark, *paths)
-    if chroms:
-        alignments = alignments.where(F.col("chrom").isin(*chroms))
+    alignments = alignment_files(spark, *paths, chroms=chroms)
     fragment_histogram(alignments).orderBy("library", "isize").write.option("header", True).csv(f"{out}/histogram")
     if histogram_only:
         return
@@ -63,7 +69,7 @@ def main(arguments: Sequence[str] | None = None) -> None:
     for name in ("gaps", "dups", "reps"):
         make.add_argument(f"--{name}", nargs="*", default=[])
     call = jobs.add_parser("call", help="call the variants of alignment files")
-    call.add_argument("--input", nargs="+", required=True, help="SAM files")
+    call.add_argument("--input", nargs="+", required=True, help="SAM files, and BAM files, whose names end in .bam")
     call.add_argument("--annotation", required=True, help="where build has stored it")
     call.add_argument("--mq", type=int, default=P.mapq)
     call.add_argument("--rp", type=int, default=P.support)

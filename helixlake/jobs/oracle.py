@@ -242,6 +242,7 @@ from records r join spelt_out f using (id, chrom)""",
     "genome_depth": "select sample, gc, round(sum(mean_rd * w) / sum(w), 9) as mean_rd from gcd join (select chrom, gc, count(*) as w from grid group by all) using (chrom, gc) group by all",
     "widest_delta": "select max(max_delta) as max_delta from band",
     "sam_reader": "select read_name, flag, chrom, pos, mapq, mate_chrom, mate_pos, isize, library, (select min(sample) from read_pairs p where p.library = m.library) as sample, nm, seq, case substring(seq, 1, 1) when 'A' then 40 when 'C' then 20 when 'G' then 2 else 0 end as first_quality from (select *, translate(md5(read_name), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from mates) m",
+    "bam_reader": "select read_name, flag, chrom, pos, mapq, '32M' as cigar, mate_chrom, mate_pos, isize, library, (select min(sample) from read_pairs p where p.library = m.library) as sample, nm, seq, case substring(seq, 1, 1) when 'A' then 40 when 'C' then 20 when 'G' then 2 else 0 end as first_quality from (select *, translate(md5(read_name), '0123456789abcdef', 'ACGTACGTACGTACGT') as seq from mates) m where chrom in ('chr2', 'chr4')",
     "fasta_reader": "select concat('s', seq_id) as chrom, k * 25 as start_pos, substring(seq, cast(k * 25 + 1 as int), 25) as seq from dna, range(0, 3) as r(k)",
     "fastq_reader": "select concat('r', seq_id, '/1') as qname, substring(seq, 1, 30) as seq, repeat('I', 30) as qual from dna",
     "bed_reader": "select chrom, start_pos, end_pos from gaps",

@@ -14,7 +14,7 @@ from helixlake.functions.likelihood import log_poisson
 from helixlake.jobs.tables import Tables
 from helixlake.operators import calling, clusters, composition, depth, evidence, reads, resolve, scoring, vcf
 from helixlake.operators.ranges import overlap_filter, overlap_join
-from helixlake.sources import annotation, files, fixtures, text
+from helixlake.sources import annotation, bam, files, fixtures, text
 from helixlake.stored import scratch_dir
 
 P = Params()
@@ -796,6 +796,19 @@ def sam_reader(t: Tables) -> DataFrame:
     return files.sam(t.spark, path).select("read_name", "flag", "chrom", "pos", "mapq", "mate_chrom", "mate_pos", "isize", "library", "sample", "nm", "seq", F.element_at("base_quals", 1).alias("first_quality"))
 
 
+@query
+def bam_reader(t: Tables) -> DataFrame:
+    """Alignments as compressed files in order of place, and those of two chromosomes read back in small splits."""
+    rows = _sam_rows(t)
+    ends = rows.selectExpr("explode(array(struct(chrom, pos), struct(mate_chrom as chrom, mate_pos as pos))) as e").groupBy("e.chrom").agg((F.max("e.pos") + 1000).alias("length"))
+    contigs = [(r.chrom, r.length) for r in ends.orderBy("chrom").collect()]  # a row for each chromosome
+    samples = {r.library: r.sample for r in t.libraries.groupBy("library").agg(F.min("sample").alias("sample")).collect()}  # a row for each library
+    path = f"{scratch_dir(t.spark)}/bam-{uuid.uuid4().hex}"
+    bam.write_bam(rows, path, contigs, samples)
+    found = bam.bam(t.spark, path, chroms=["chr2", "chr4"], split=4 << 20)
+    return found.select("read_name", "flag", "chrom", "pos", "mapq", "cigar", "mate_chrom", "mate_pos", "isize", "library", "sample", "nm", "seq", F.element_at("base_quals", 1).alias("first_quality"))
+
+
 @query
 def fasta_reader(t: Tables) -> DataFrame:
     rows = t.dna.selectExpr("seq_id", "explode(array(struct(0 as k, concat('>s', seq_id, ' of the fixture') as value), struct(1 as k, lower(substring(seq, 1, 40)) as value), struct(2 as k, substring(seq, 41, 24) as value))) as l")
