@@ -3,8 +3,8 @@
 from __future__ import annotations
 
 import ctypes
+import re
 from collections.abc import Callable, Iterator
-from functools import reduce
 from typing import Any
 
 import numpy as np
@@ -22,25 +22,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: What Python gets at once, in bytes of text and in rows.
-BATCH_BYTES, BATCH_ROWS = 8 << 20, 1000
+#: What Python gets at once, in bytes: a batch ends with the row that passes them.
+BATCH_BYTES = 4 << 20
 
 
-def bound_batches(df: DataFrame, *texts: str, size: int = BATCH_BYTES, most: int = BATCH_ROWS) -> None:
-    """From here on, this session hands Python so few rows at once that the texts in them take `size` bytes at most,
-    or one row. The longest row tells how many: a pass over the texts inside the JVM. The number is only ever lowered,
-    since results that are still to be computed count on it."""
-    long = reduce(lambda a, b: a + b, [F.coalesce(F.octet_length(c), F.lit(0)).cast("long") for c in texts])
-    longest = df.agg(F.max(long).alias("n")).first()["n"] or 0
-    limit_rows(df.sparkSession, min(most, size // max(1, longest)))
-
-
-def limit_rows(spark: SparkSession, rows: int) -> None:
-    """Lowers the number of rows that Python gets at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    now = int(spark.conf.get(key))
-    if now <= 0 or now > rows:
-        spark.conf.set(key, str(max(1, rows)))
+def bound_batches(spark: SparkSession) -> None:
+    """From here on, this session ends the batches that it hands Python once they pass BATCH_BYTES, so that a long text is
+    alone in its batch's excess and rows about it still go together. The bound doesn't depend on the rows. It is only ever
+    lowered, and stays, since results that are still to be computed count on it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    unit = {"b": 1, "k": 1 << 10, "m": 1 << 20, "g": 1 << 30}
+    number, power = re.fullmatch(r"(-?\d+)([bkmg]?)b?", spark.conf.get(key).strip().lower()).groups()
+    now = int(number) * unit[power or "b"]
+    if now <= 0 or now > BATCH_BYTES:
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def slices(batches: Iterator[pa.RecordBatch], column: int = 1, size: int = 2 << 20) -> Iterator[pa.RecordBatch]:

@@ -216,8 +216,7 @@ def search(index: DataFrame, block: TestBlock, near_span: int, gap: int) -> Data
 
 def decontaminate(docs: DataFrame, items: DataFrame, near_terms: int = 4, near_span: int = 26, percent: int = 5) -> DataFrame:
     """doc_id, n_words, n_hit, n_items, items_sha256, contaminated, item_ids, near_items for every row of docs."""
-    bound_batches(docs, "text")
-    bound_batches(items, "text")
+    bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as kept:
         found = store(_decontaminated(docs, items, near_terms, near_span, percent), "contamination")
         kept.append(found.stored_at)

@@ -147,7 +147,7 @@ def extract(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
 def main_texts(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
 
-    bound_batches(pages, "html")
+    bound_batches(pages.sparkSession)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -140,7 +140,7 @@ def document_frequencies(rows: DataFrame) -> tuple[np.ndarray, int]:
 
 
 def fit(docs: DataFrame, train: Column, p: Params = Params()) -> Model:
-    bound_batches(docs, "text")
+    bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession):  # the sample goes when the model is there
         return _fit(docs, train, p)
 
@@ -213,7 +213,7 @@ def _temperature(sample: DataFrame, model: Model) -> float:
 
 def identify(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
     """doc_id, the columns in keep, lang_pred and score for every row of docs."""
-    bound_batches(docs, "text")
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
     keep = [c for c in keep if c not in ("doc_id", "lang_pred", "score")]
     # The text goes to Python once, whether it is kept or not.

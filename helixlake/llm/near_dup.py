@@ -30,7 +30,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import BATCH_BYTES, bound_batches, filter_bit, filter_of, scratch, store
+from helixlake.llm.common import bound_batches, filter_bit, filter_of, scratch, slices, store
 from helixlake.llm.components import connected_components
 from helixlake.llm.shingles import Minima, U, WordHashes, band_keys, mixed, shingle_set, words
 
@@ -39,8 +39,6 @@ WIDTH, ROWS, BANDS = 5, 4, 36
 AGREE = 0.5
 #: A block of a bucket: so many members, and so many shingles of theirs, in expectation at most.
 BLOCK, BLOCK_SHINGLES = 512, 500_000
-#: Rows that Python gets at once: a row can hold the sets of two texts, of 8 bytes for each word of them.
-BATCH = 200
 
 
 def _sets(texts: pa.Array, hashes: WordHashes) -> list[np.ndarray]:
@@ -52,7 +50,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima, hashes = Minima(ROWS * BANDS), WordHashes()
-        for batch in batches:
+        for batch in slices(batches, size=1 << 20):
             sets = _sets(batch.column(1), hashes)
             full = [s for s in sets if len(s)]
             bands = iter(band_keys(minima.of(full), ROWS).view(np.int64).tolist() if full else [])
@@ -73,7 +71,7 @@ def payloads(docs: DataFrame, ids: DataFrame) -> DataFrame:
 
     def load(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         minima, hashes = Minima(ROWS * BANDS), WordHashes()
-        for batch in batches:
+        for batch in slices(batches, size=1 << 20):
             batch = batch.filter(pa.array(wanted.value[batch.column(2).to_numpy()] == 1))
             sets = _sets(batch.column(1), hashes)
             keep = [k for k, s in enumerate(sets) if len(s)]
@@ -159,7 +157,7 @@ def cross_links(open_rows: DataFrame, loaded: DataFrame, percent: int) -> DataFr
 
 def near_duplicates(docs: DataFrame, percent: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs."""
-    bound_batches(docs, "text", size=BATCH_BYTES // 2, most=BATCH)
+    bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as kept:
         found = store(_near_duplicates(docs, percent), "near-duplicates")
         kept.append(found.stored_at)

@@ -198,7 +198,7 @@ def repack(bins: DataFrame, size: int, open_bins: int, bins_per_task: int) -> Da
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 2048, open_bins: int = 256, end_id: int = 0, bins_per_task: int = 50_000) -> DataFrame:
     """One row for each piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
-    bound_batches(docs, "text")
+    bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession) as kept:
         found = store(_packed(docs, tokenizer_path, size, open_bins, end_id, bins_per_task), "packed")
         kept.append(found.stored_at)

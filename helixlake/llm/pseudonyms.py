@@ -269,7 +269,7 @@ HINT = re.compile(r"[0-9@]|A[KS]IA|(?i:token|secret|passw|key)")
 
 def pseudonymise(docs: DataFrame, key: bytes, text: str = "text") -> DataFrame:
     """docs with the text replaced, and pii (kind, start, end in the new text), in place of a column of that name."""
-    bound_batches(docs, text)
+    bound_batches(docs.sparkSession)
     docs = docs.drop("pii")
     names = docs.columns
     at = names.index(text)

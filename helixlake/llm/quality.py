@@ -211,7 +211,7 @@ def judge(text: bytes | None, reference: Reference, p: Params, known: WordHashes
 
 
 def quality(docs: DataFrame, p: Params = Params()) -> DataFrame:
-    bound_batches(docs, "text")
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(fit_reference(docs, p))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -159,7 +159,7 @@ def _seeds(sample: DataFrame, p: Params) -> set[str]:
 
 def fit(docs: DataFrame, labels: DataFrame, p: Params = Params()) -> Model:
     """labels: doc_id and toxic (0 or 1)."""
-    bound_batches(docs, "text")
+    bound_batches(docs.sparkSession)
     with scratch(docs.sparkSession):  # the sample goes when the model is there
         return _fit(docs, labels, p)
 
@@ -251,7 +251,7 @@ def _document_weights(sample: DataFrame, model: Model, sizes: dict[int, int]) ->
 
 def toxicity(docs: DataFrame, model: Model, p: Params = Params()) -> DataFrame:
     """doc_id, score, predicted, spans (start and end of offending words, in code points) for every row of docs."""
-    bound_batches(docs, "text")
+    bound_batches(docs.sparkSession)
     known = docs.sparkSession.sparkContext.broadcast(model)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
