@@ -12,28 +12,44 @@ an empty table gives an empty result. Columns other than doc_id and text are ign
 
 from __future__ import annotations
 
-import functools
 import json
 import os
 import re
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from helixlake.llm.common import Memory, bound_batches, scratch, store
+from helixlake.llm.common import Memory, bound_batches, scratch, slices, store
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
-#: A chunk of Latin letters (each composed, so that normalisation leaves it) and a tail of marks: the tokenizer
-#: splits such a chunk just there. Any other chunk goes through the whole tokenizer.
-LATIN = re.compile(r"([A-Za-zÀ-ÖØ-Þß-öø-þ]+)([.,;:!?*&%$#|)\"]*)")
-#: White space to str.split but not to the tokenizer; texts with these are tokenised whole.
-ODD_SPACE = ("\x1c", "\x1d", "\x1e", "\x1f")
+#: What a byte of a text is. A chunk is what stands between spaces; to the tokenizer more characters are white space, but
+#: a chunk that holds these goes through it whole.
+SPACE, LETTER, MARK, OTHER = range(4)
+_KIND = np.array([SPACE if 9 <= b <= 13 or b == 32 else LETTER if chr(b) in string.ascii_letters else MARK if chr(b) in ".,;:!?*&%$#|)\"" else OTHER for b in range(256)], np.uint8)
+_LOWER = np.array([b + 32 if 65 <= b <= 90 else b for b in range(256)], np.uint8)
+#: The second bytes of the letters from U+00C0 to U+00FE, whose first one is 0xC3. They are composed: normalisation leaves them.
+_LATIN_SECOND = np.array([0x80 <= b <= 0xBE and b not in (0x97, 0xB7) for b in range(256)])
+_LATIN_LOWER = np.array([b + 32 if 0x80 <= b <= 0x9E else b for b in range(256)], np.uint8)
+#: By 4 x the kind of the byte before + its own. The tokenizer splits a chunk of letters and a tail of marks just between
+#: them; what has another form is odd.
+_STARTS, _STOPS, _ODD, _PIECE_OVER = (
+    np.array([f(a, b) for a in range(4) for b in range(4)])
+    for f in (
+        lambda a, b: a == SPACE != b,
+        lambda a, b: a != SPACE == b,
+        lambda a, b: b == OTHER or (a, b) in ((SPACE, MARK), (MARK, LETTER)),
+        lambda a, b: a != SPACE == b or (a, b) == (LETTER, MARK),
+    )
+)
 
 
 def _byte_letters() -> dict[str, int]:
@@ -47,12 +63,16 @@ def _byte_letters() -> dict[str, int]:
 class WordTokens:
     """Ids of whole texts by a public word-end BPE tokenizer, whose splits always fall on white space.
 
-    The ids of a text are those of its chunks, one after the other, so each task remembers the chunks and letter
-    runs that it has met, up to some bytes. New letter runs take the merges of the tokenizer's file through tiktoken's BPE, which needs a fifth of the
-    time (a byte that no text holds stands for the end of a word); all else goes through the tokenizer itself.
+    The letter runs and tails of marks of many texts take the merges of the tokenizer's file through tiktoken's BPE, all in
+    one call (a line end, which no chunk holds, stands for the end of a word). Odd chunks go through the tokenizer itself;
+    each task remembers those that it has met, up to some bytes.
     """
 
-    END = b"\xff"
+    END = b"\n"
+    #: Stands for an odd chunk, and is one itself.
+    HOLE = 1
+    #: A longer text is cut at the next space.
+    CUT, _SPACES = 1 << 20, re.compile(rb"[\t-\r ]")
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -67,49 +87,95 @@ class WordTokens:
 
         def written(token: str) -> bytes:
             body = token.removesuffix("</w>")
-            return bytes(letters[c] for c in body) + (self.END if body != token else b"")
+            own = bytes(letters[c] for c in body)
+            return b"" if self.END in own else own + (self.END if body != token else b"")  # in no chunk
 
-        order = [bytes([b]) for b in range(256)] + [bytes([b]) + self.END for b in range(255)]
-        order += [written("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]]
+        order = [bytes([b]) for b in range(256)] + [bytes([b]) + self.END for b in range(256) if b != self.END[0]]
+        order += filter(None, (written("".join(m if isinstance(m, list) else m.split(" "))) for m in model["merges"]))
         ids = {written(token): k for token, k in model["vocab"].items() if not token.startswith("<|")}
-        self.id_bytes = [np.uint32(ids[t]).astype("<u4").tobytes() if t in ids else None for t in order]
-        self.merge = _tiktoken.CoreBPE({t: k for k, t in enumerate(order)}, {}, r"\S+").encode_single_piece
+        self.id_of_rank = np.array([ids.get(t, -1) for t in order], np.int64)
+        self.ends_piece = np.array([t.endswith(self.END) for t in order])
+        self.merge = _tiktoken.CoreBPE({t: k for k, t in enumerate(order)}, {}, r"[^\n]+\n").encode_ordinary
         self.forget()
 
     def forget(self) -> None:
-        """Empties the memories, at the end of a task."""
-        self.chunks, self.runs = Memory(self._chunk, 16 << 20), Memory(self._run, 2 << 20)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def _run(self, run: str) -> bytes:
-        parts = [self.id_bytes[k] for k in self.merge(run.encode() + self.END)]
-        return self._whole(run) if None in parts else b"".join(parts)  # a merge that the vocabulary lacks
-
-    def _chunk(self, chunk: str) -> bytes:
-        if not (m := LATIN.fullmatch(chunk)):
-            return self._whole(chunk)
-        run, marks = m.groups()
-        ids = self.runs[run.lower()]
-        return ids + self.marks(marks) if marks else ids
-
-    @functools.lru_cache(4096)  # noqa: B019  the object lives as long as its process
-    def marks(self, marks: str) -> bytes:
-        return self._whole(marks)
+        """Empties the memory, at the end of a task."""
+        self.odd = Memory(self._whole, 16 << 20)
+
+    def _whole(self, text: bytes) -> bytes:
+        return np.array(self.whole.encode(text.decode(), add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _together(self, texts: list[bytes]) -> list[bytes]:
+        data = b"\n".join([*texts, b""])
+        x = np.frombuffer(data, np.uint8)
+        kind, low = _KIND[x], _LOWER[x]
+        first = np.flatnonzero(x == 0xC3)
+        first = first[_LATIN_SECOND[x[first + 1]]]
+        kind[first] = kind[first + 1] = LETTER
+        low[first + 1] = _LATIN_LOWER[x[first + 1]]
+        step = kind.copy()
+        step[1:] += 4 * kind[:-1]
+        # What to write for each byte: the end of a piece before it, and itself; for an odd chunk, a hole.
+        line = np.empty((len(x), 2), np.uint8)
+        line[:, 0], line[:, 1] = self.END[0], low
+        there = np.empty((len(x), 2), bool)
+        there[:, 0], there[:, 1] = _PIECE_OVER[step], kind != SPACE
+        starts, stops = np.flatnonzero(_STARTS[step]), np.flatnonzero(_STOPS[step])
+        odd = np.unique(np.searchsorted(starts, np.flatnonzero(_ODD[step]), side="right") - 1)
+        starts, stops = starts[odd], stops[odd]
+        if len(odd):
+            edges = np.zeros(len(x), np.int8)
+            edges[starts], edges[stops] = 1, -1
+            there[np.cumsum(edges, dtype=np.int8).view(bool)] = False
+            there[starts, 1], line[starts, 1] = True, self.HOLE
+        written = line[there].tobytes()
+        ranks = np.frombuffer(array("I", self.merge(written.decode())), np.uint32)
+        found, ends = self.id_of_rank[ranks], np.r_[0, np.flatnonzero(self.ends_piece[ranks]) + 1]
+        over = np.flatnonzero(there[:, 0])  # by piece
+        own = {k: data[a:b] for k, a, b in zip(np.searchsorted(over, stops).tolist(), starts.tolist(), stops.tolist())}
+        if len(lacking := np.flatnonzero(found < 0)):  # a merge that the vocabulary lacks
+            pieces = written.split(self.END)
+            own = {k: pieces[k] for k in np.unique(np.searchsorted(ends, lacking, side="right") - 1).tolist()} | own
+        flat, places = found.astype("<u4").tobytes(), 4 * ends
+        until = np.searchsorted(over, np.cumsum([len(t) + 1 for t in texts]) - 1, side="right")
+        holes = np.array(sorted(own), np.int64)
+        filled = zip(places[holes].tolist(), places[holes + 1].tolist(), [self.odd[own[k]] for k in holes.tolist()])
+        out, at, filling = [], 0, next(filled, None)
+        for end in places[until].tolist():
+            parts = []
+            while filling and filling[1] <= end:
+                start, stop, ids = filling
+                if at < start:
+                    parts.append(flat[at:start])
+                parts.append(ids)
+                at, filling = stop, next(filled, None)
+            parts.append(flat[at:end])
+            out.append(b"".join(parts))
+            at = end
+        return out
+
+    def _long(self, text: bytes) -> bytes:
+        out, at = [], 0
+        while at < len(text):
+            cut = self._SPACES.search(text, at + self.CUT)
+            end = cut.start() if cut else len(text)
+            out += self._together([text[at:end]])
+            at = end
+        return b"".join(out)
+
+    def ids_of(self, texts: list[bytes]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of each UTF-8 text."""
+        return self._together(texts) if sum(map(len, texts)) <= 2 * self.CUT else [self._long(t) for t in texts]
 
     def ids(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids."""
-        if any(c in text for c in ODD_SPACE):
-            return self._whole(text)
-        return b"".join(map(self.chunks.__getitem__, text.split()))
+        return self.ids_of([text.encode()])[0]
 
 
 _tokens: dict[str, WordTokens] = {}
 
 
 def word_tokens(path: str) -> WordTokens:
-    """One for each worker process, kept from task to task: of fixed size but for its memories, which each task empties."""
+    """One for each worker process, kept from task to task: of fixed size but for its memory, which each task empties."""
     if path not in _tokens:
         _tokens[path] = WordTokens(path)
     return _tokens[path]
@@ -156,10 +222,11 @@ def tokenise_and_pack(docs: DataFrame, tokenizer_path: str, size: int, open_bins
         first = TaskContext.get().partitionId() << 32
         bins, tokens = OpenBins(size, open_bins), word_tokens(tokenizer_path)
         try:
-            for batch in batches:
+            for batch in slices(batches, size=tokens.CUT):
                 rows: list[tuple] = []
-                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                    ids = tokens.ids(text.as_py() or "") + end
+                texts = [text or b"" for text in pc.cast(batch.column(1), pa.binary()).to_pylist()]
+                for doc_id, ids in zip(batch.column(0).to_pylist(), tokens.ids_of(texts)):
+                    ids += end
                     for piece, at in enumerate(range(0, len(ids), 4 * size)):
                         part = ids[at : at + 4 * size]
                         name, offset = bins.put(len(part) // 4)

@@ -135,6 +135,20 @@ def test_tokens_equal_the_tokenizer(tokens, text):
     assert tokens.ids(text) == want
 
 
+def test_many_texts_take_their_merges_in_one_call(tokens, monkeypatch):
+    """Whatever is new in them; and a text cut at its spaces, or with each merge lacking, has the same ids."""
+    texts = [" ".join(f"{a}{b}Ört" for a in ("neu", "wört", "x") for b in "abcdefgh"), "", "Ends, so; \"said\" he)|\n\n\tit's 4x4 ..", "a\u00a0b c\x1cd \u0065\u0301 × ÷ ÿ Þ \x01", " \n", "Сло́во 漢字, don't!a !", "É" * 300 + "!" * 40]
+    want = [tokens.by_file(t) for t in texts]
+    assert [tokens.ids(t) for t in texts] == want
+    calls, merge = [], tokens.merge
+    monkeypatch.setattr(tokens, "merge", lambda text: calls.append(text) or merge(text))
+    assert tokens.ids_of([t.encode() for t in texts]) == want and len(calls) == 1
+    monkeypatch.setattr(tokens, "CUT", 5)
+    assert tokens.ids_of([t.encode() for t in texts]) == want and len(calls) > 8
+    monkeypatch.setattr(tokens, "id_of_rank", np.where(np.arange(len(tokens.id_of_rank)) % 3, tokens.id_of_rank, -1))
+    assert tokens.ids_of([t.encode() for t in texts]) == want
+
+
 def check_packing(rows, ids_of, got, size):
     places = defaultdict(list)
     for r in got:
