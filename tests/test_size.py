@@ -5,7 +5,9 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from helixlake.operators import clusters
+from helixlake.jobs import QUERIES
+from helixlake.operators import clusters, evidence
+from tests.conftest import TINY
 
 EVIDENCE = "ev_id long, chrom string, sv_type string, l_start int, l_end int, l_or string, r_start int, r_end int, r_or string, min_delta int, max_delta int"
 
@@ -30,3 +32,24 @@ def test_an_island_over_many_tiles_gives_the_sets_of_one_sweep(spark, monkeypatc
     want = clusters.sweep(rows, options.get("both_sides", False), options.get("between", False), options.get("paired", False))
     assert sorted((r.left_brk, r.own) for r in found) == sorted((b, own) for b, own in want if len(own) > 1)
     assert all(r.size == len(r.own) for r in found)
+
+
+def test_kmers_are_never_broadcast(spark):
+    clips = spark.createDataFrame([(1, "c", 4, "ACGTACGTACGT")], "clip_id long, chrom string, pos long, seq string")
+    reference = spark.createDataFrame([("c", "ACGTACGTAC", 4)], "chrom string, kmer string, at long")
+    found = evidence.seed_join(clips, reference)
+    assert [(r.hit_or, r.at) for r in found.collect()] == [("F", 4), ("R", 4)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert "SortMergeJoin [chrom" in plan and "_bin" in plan.split("SortMergeJoin [chrom")[1].split("]")[0]
+
+
+def test_split_evidence_is_planned_in_steps(spark):
+    plan = QUERIES["split_evidence"](spark, str(TINY))._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and plan.count("Relation") == 1
+
+
+def test_kmers_are_made_in_many_tasks(spark):
+    from helixlake.jobs.tables import Tables
+
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert Tables(spark, str(TINY)).reference_kmers.rdd.getNumPartitions() == parts > 1
