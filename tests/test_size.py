@@ -2,12 +2,13 @@
 
 import hashlib
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from helixlake.jobs import QUERIES
-from helixlake.operators import clusters, evidence, resolve
+from helixlake.operators import clusters, depth, evidence, reads, resolve
 from tests.conftest import TINY
 
 EVIDENCE = "ev_id long, chrom string, sv_type string, l_start int, l_end int, l_or string, r_start int, r_end int, r_or string, min_delta int, max_delta int"
@@ -76,3 +77,25 @@ def test_deletion_with_crossed_ends_spells_what_lies_between(spark):
     calls = spark.createDataFrame(rows, "cluster_id string, chrom string, sv_type string, inner_start int, outer_start int, inner_end int, outer_end int, precise boolean")
     got = {r.cluster_id: (r.ref, r.alt) for r in resolve.with_sequences(calls, pages, width=50).collect()}
     assert got == {"a": (text[61:120], text[61]), "b": (".", None), "d": (text[60:62], text[60])}
+
+
+def test_windows_are_never_broadcast(spark):
+    windows = spark.createDataFrame([("c", 0, 40), ("c", 100, 50)], "chrom string, start_pos bigint, gc int")
+    counted = spark.createDataFrame([("s", "c", 5, 10), ("s", "c", 120, 30)], "sample string, chrom string, pos long, n long")
+    spans = spark.createDataFrame([(1, "c", 50, 150)], "span_id long, chrom string, start_pos long, end_pos long")
+    profile = depth.gc_depth(counted, windows)
+    found = depth.expected_depth(spans, profile, windows)
+    assert [tuple(r) for r in found.collect()] == [(1, "s", 20.0)]
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    joins = r"SortMergeJoin \[chrom[^]]*start_pos"
+    assert re.search(joins, plan)
+    assert re.search(joins, profile._jdf.queryExecution().sparkPlan().toString())
+
+
+def test_a_place_of_a_mate_is_looked_up_once(spark, monkeypatch):
+    asked, join = [], reads.overlap_join
+    monkeypatch.setattr(reads, "overlap_join", lambda left, *a, **k: asked.append(left.count()) or join(left, *a, **k))
+    reads_at = spark.range(200).selectExpr("id as rid", "'c' as chrom", "id as pos", "1010L as mate_pos", "0 as flag")
+    elements = spark.createDataFrame([("c", 1000 - k, 1200, "+", "SINE/Alu", 0) for k in range(50)], "chrom string, start_pos int, end_pos int, strand string, repeat_class string, mei_code int")
+    got = reads.mei(reads_at, elements).collect()
+    assert len(got) == 200 and {r.element_start for r in got} == {951} and asked == [1]
